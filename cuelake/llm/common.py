@@ -45,6 +45,31 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+MULTIPLIER = 0x9E3779B97F4A7C15
+INVERSE = pow(MULTIPLIER, -1, 1 << 64)
+_POWERS: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd multiplier and of its inverse modulo 2 ** 64, at least n of each."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(n, 1 << 16)
+        _POWERS[:] = [np.cumprod(np.concatenate([[1], np.full(size, m)]).astype(np.uint64)) for m in (np.uint64(MULTIPLIER), np.uint64(INVERSE))]
+    return _POWERS[0], _POWERS[1]
+
+
+def word_hashes(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, end, 64-bit hash) of every word of a byte array: one running sum serves all words."""
+    space = np.concatenate([[True], IS_SPACE[b], [True]])
+    starts = np.flatnonzero(space[:-1] & ~space[1:])
+    ends = np.flatnonzero(~space[:-1] & space[1:])
+    if not len(starts):
+        return starts, ends, np.zeros(0, dtype=np.uint64)
+    up, down = powers(len(b) + 1)
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), ((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)]).cumsum(dtype=np.uint64)])
+    return starts, ends, mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def bucket_of(column: str, modulus: int):
     """crc32 of an id as text, modulo: the deal of documents into folds."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
