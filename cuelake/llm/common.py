@@ -54,7 +54,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd multiplier and of its inverse modulo 2 ** 64, at least n of each."""
     if not _POWERS or len(_POWERS[0]) < n:
         size = max(n, 1 << 16)
-        _POWERS[:] = [np.cumprod(np.concatenate([[1], np.full(size, m)]).astype(np.uint64)) for m in (np.uint64(MULTIPLIER), np.uint64(INVERSE))]
+        _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, dtype=np.uint64), np.full(size, m, dtype=np.uint64)]), dtype=np.uint64) for m in (np.uint64(MULTIPLIER), np.uint64(INVERSE))]
     return _POWERS[0], _POWERS[1]
 
 
