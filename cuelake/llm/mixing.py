@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import math
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -82,16 +83,22 @@ def permutation(n: int, seed: str) -> tuple[int, int]:
     return a, int.from_bytes(hashlib.sha256(seed.encode()).digest()[:6], "big") % max(n, 1)
 
 
-def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = (), seed: int = 7, block_words: int = BLOCK_WORDS, docs_per_shard: int = DOCS_PER_SHARD) -> DataFrame:
-    """(id, size, source_size, target, taken) of every row, then `keep` and the block plan of its shard.
+def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """(id, size, source_size, target, taken) of every row.
 
     A null text has size 0 and is never taken; null is a source of its own. Repeated rows count
     each. The totals of the sources come to the driver: one row for each source that the mix
-    weighs. Texts are read twice and never shuffled unless `keep` names them.
+    weighs. Texts are read twice and never shuffled.
     """
+    plan = block_plan(df, id_col, text_col, source_col, keep=False, **options)
+    return plan.select(F.col("__id").alias(id_col), F.col("__size").alias("size"), "source_size", "target", "taken")
+
+
+def block_plan(df: DataFrame, id_col: str, text_col: str, source_col: str, keep: bool, seed: int = 7, block_words: int = BLOCK_WORDS, docs_per_shard: int = DOCS_PER_SHARD) -> DataFrame:
+    """What mix_sources returns, the place of each row in its shard and the shard's blocks; with `keep` also the row itself, as a struct."""
     size = n_words(text_col)
     bucket = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)), F.lit(BUCKETS))
-    base = df.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), size.alias("__size"), bucket.alias("__bucket"), *[F.col(c) for c in keep])
+    base = df.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), size.alias("__size"), bucket.alias("__bucket"), *([F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row")] if keep else []))
     stats = written(base.groupBy("__source", "__bucket").agg(F.sum("__size").alias("words"), F.count("*").alias("docs")), "mix-stats")
     totals = stats.groupBy("__source").agg(F.sum("words").alias("words"), F.sum("docs").alias("docs")).collect()
     sizes = {r["__source"]: r["words"] for r in totals}
@@ -123,7 +130,7 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     once = F.expr(f"""aggregate(sequence(start div {block_words}, (start + __size - 1) div {block_words}), 0L,
         (t, b) -> t + IF(pmod(b * a + c, n) < more, least((b + 1) * {block_words}, start + __size) - greatest(b * {block_words}, start), 0L))""")
     taken = F.when(F.col("__size") > 0, F.col("whole") * F.col("__size") + once).otherwise(F.lit(0)).cast("long")
-    return joined.select(F.col("__id").alias(id_col), F.col("__size").alias("size"), "source_size", "target", taken.alias("taken"), *keep, "start", "n", "whole", "more", "a", "c")
+    return joined.select("__id", "__size", "source_size", "target", taken.alias("taken"), *(["__row"] if keep else []), "start", "n", "whole", "more", "a", "c")
 
 
 def mixed_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, **options) -> DataFrame:
@@ -133,12 +140,8 @@ def mixed_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     white space; runs are joined by a newline. A column n_chars follows the text.
     """
     columns = df.columns
-    mixed = mix_sources(df, id_col, text_col, source_col, keep=tuple(c for c in columns if c != id_col), block_words=block_words, **options)
-    names = ["size", "taken", "start", "n", "whole", "more", "a", "c"]
-    packed = mixed.select(*columns, F.struct(*names).alias("__plan")).filter("__plan.taken > 0")
-
-    import re
-
+    mixed = block_plan(df, id_col, text_col, source_col, keep=True, block_words=block_words, **options).filter("taken > 0")
+    packed = mixed.select("__row.*", F.struct(F.col("__size").alias("size"), "taken", "start", "n", "whole", "more", "a", "c").alias("__plan"))
     word = re.compile(WORD)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
