@@ -17,12 +17,13 @@ def batch_numbers(segments: DataFrame, size: int = 8) -> DataFrame:
 def effective_events(events: DataFrame) -> DataFrame:
     """Events up to and with the first cancel that counts: one that follows a state that isn't terminal.
 
-    A cancel of an unknown job or of a finished one changes nothing.
+    A cancel of an unknown job or of a finished one changes nothing; one that counts keeps the progress.
     """
     before = Window.partitionBy("job_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     state = F.last(F.when(F.col("kind") != "cancel", F.col("status")), ignorenulls=True).over(before)
     counts = (F.col("kind") == "cancel") & state.isNotNull() & ~state.isin(*TERMINAL)
-    marked = events.withColumn("__cancels", counts)
+    progress = F.last(F.when(F.col("kind") != "cancel", F.col("progress")), ignorenulls=True).over(before)
+    marked = events.withColumn("__cancels", counts).withColumn("progress", F.when(F.col("kind") == "cancel", progress).otherwise(F.col("progress")))
     first = F.min(F.when(F.col("__cancels"), F.col("seq"))).over(Window.partitionBy("job_id"))
     kept = marked.withColumn("__first", first).filter("(kind <> 'cancel' AND (__first IS NULL OR seq < __first)) OR (__cancels AND seq = __first)")
     cancelled = F.col("kind") == "cancel"

@@ -485,9 +485,9 @@ def _(v):
     return W.batch_numbers(segments(v), 3).select("track_id", "index", "batch")
 
 
-SNAPSHOTS = """st AS (SELECT *, last_value(CASE WHEN kind <> 'cancel' THEN status END IGNORE NULLS) OVER (PARTITION BY job_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM {v_job_events}),
+SNAPSHOTS = """st AS (SELECT *, last_value(CASE WHEN kind <> 'cancel' THEN status END IGNORE NULLS) OVER (PARTITION BY job_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, last_value(CASE WHEN kind <> 'cancel' THEN progress END IGNORE NULLS) OVER (PARTITION BY job_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM {v_job_events}),
     fc AS (SELECT job_id, min(seq) AS f FROM st WHERE kind = 'cancel' AND before IS NOT NULL AND before NOT IN ('succeeded', 'failed', 'cancelled') GROUP BY 1),
-    kept AS (SELECT st.job_id, seq, CASE WHEN kind = 'cancel' THEN 'cancelled' ELSE status END AS status, CASE WHEN kind = 'cancel' THEN 'cancelled' ELSE stage END AS stage, progress, ts FROM st LEFT JOIN fc ON st.job_id = fc.job_id WHERE (kind <> 'cancel' AND (f IS NULL OR seq < f)) OR seq = f),
+    kept AS (SELECT st.job_id, seq, CASE WHEN kind = 'cancel' THEN 'cancelled' ELSE status END AS status, CASE WHEN kind = 'cancel' THEN 'cancelled' ELSE stage END AS stage, CASE WHEN kind = 'cancel' THEN reached ELSE progress END AS progress, ts FROM st LEFT JOIN fc ON st.job_id = fc.job_id WHERE (kind <> 'cancel' AND (f IS NULL OR seq < f)) OR seq = f),
     snap AS (SELECT job_id, max(seq) AS seq, arg_max(status, seq) AS status, arg_max(stage, seq) AS stage, arg_max(progress, seq) AS progress, min(ts) AS created FROM kept GROUP BY 1)"""
 
 
