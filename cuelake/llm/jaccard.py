@@ -12,7 +12,7 @@ Links are found in two steps, since only reachability counts:
    shared leading members. That joins a family of near copies without its pairs.
 2. Groups that still hold several components are searched in full. Their classes are put in blocks
    of bounded size; each pair of blocks that isn't of one component is a task of its own. There
-   each block is a signature tree: nodes hold the OR of 512-bit token bitmaps, the range of set
+   each block is a signature tree: nodes hold the OR of 1024-bit token bitmaps, the range of set
    sizes and the component, and a dual traversal leaves out pairs of nodes whose largest possible
    overlap is too small or that are one component already. The pairs of leaves that remain are
    verified on the whole sets.
@@ -35,13 +35,13 @@ from .graph import components
 SHINGLE = 5
 PERCENT = 80
 #: Members seen so often within one stretch of documents are counted; the most frequent are put last in the order.
-COMMON_IN_STRETCH = 6
-STRETCH_BYTES = 1 << 22
-COMMON_KEPT = 50_000
+COMMON_IN_STRETCH = 3
+STRETCH_BYTES = 1 << 25
+COMMON_KEPT = 200_000
 GROUP_ROWS = 1000
 SMALL_GROUP = 24
 BLOCK_ROWS = 1024
-BITS = 512
+BITS = 1024
 FANOUT = 16
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -176,7 +176,7 @@ def search_blocks(group: pd.DataFrame) -> pd.DataFrame:
     left, right = int(group["i"].iloc[0]), int(group["j"].iloc[0])
 
     def tree(part: pd.DataFrame) -> SignatureTree:
-        bitmaps = np.stack([np.frombuffer(b, dtype=np.uint64) for b in part["bitmap"]])
+        bitmaps = np.stack(part["bitmap"].to_list()).astype(np.int64).view(np.uint64)
         return SignatureTree(bitmaps, part["n"].to_numpy(dtype=np.int64), part["comp"].to_numpy(dtype=np.int64))
 
     a, b = (group[group["block"] == k].reset_index(drop=True) for k in (left, right))
@@ -194,7 +194,21 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("cls").alias("a"), F.col("members").alias("__a"))
     right = sets.select(F.col("cls").alias("b"), F.col("members").alias("__b"))
     shared = F.size(F.array_intersect("__a", "__b"))
-    return pairs.join(left, "a").join(right, "b").filter(overlap_enough(shared, F.size("__a"), F.size("__b"))).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").filter(overlap_enough(shared, F.size("__a"), F.size("__b"))).select("a", "b").distinct()
+
+
+def can_overlap(pairs: DataFrame, bitmaps: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose bitmaps leave room for a link: shared members fall on shared bits."""
+    facts = bitmaps.join(classes.select("cls", "n"), "cls").select("cls", "n", "bitmap", (F.col("n") - ones(F.col("bitmap"))).alias("slack"))
+    left = facts.select(F.col("cls").alias("a"), F.struct("n", "bitmap", "slack").alias("__a"))
+    right = facts.select(F.col("cls").alias("b"), F.struct("n", "bitmap", "slack").alias("__b"))
+    both = ones(F.zip_with("__a.bitmap", "__b.bitmap", lambda x, y: x.bitwiseAND(y)))
+    most = both + F.least("__a.slack", "__b.slack")
+    return pairs.join(left, "a").join(right, "b").filter(overlap_enough(most, F.col("__a.n"), F.col("__b.n"))).select("a", "b")
+
+
+def ones(bitmap):
+    return F.aggregate(bitmap, F.lit(0), lambda t, x: t + F.bit_count(x))
 
 
 def similar_sizes(a: str, b: str):
@@ -211,8 +225,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     first = written(docs.mapInPandas(first_pass, "doc_id long, cls long, n long, times long"), "jaccard-first")
     members = first.filter("n IS NOT NULL").select("doc_id", "cls", "n")
-    common = first.filter("times IS NOT NULL").groupBy("cls").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "cls").limit(COMMON_KEPT).collect()  # at most COMMON_KEPT
-    shared = df.sparkSession.sparkContext.broadcast((np.array([r["cls"] for r in common], dtype=np.int64).astype(np.uint64), np.array([r["times"] for r in common], dtype=np.int64)))
+    common = first.filter("times IS NOT NULL").groupBy("cls").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "cls").limit(COMMON_KEPT).toPandas()  # at most COMMON_KEPT
+    shared = df.sparkSession.sparkContext.broadcast((common["cls"].to_numpy(dtype=np.int64).astype(np.uint64), common["times"].to_numpy(dtype=np.int64)))
     classes = written(members.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "jaccard-classes")
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -255,14 +269,16 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 if class_of(own) == cls:  # rows may share an id
                     bits = np.zeros(BITS, dtype=np.uint8)
                     bits[(own & np.uint64(BITS - 1)).astype(np.int64)] = 1
-                    rows.append((cls, own.astype(np.int64), np.packbits(bits).tobytes()))
+                    rows.append((cls, own.astype(np.int64), np.packbits(bits).view(np.int64)))
             yield pd.DataFrame(rows, columns=["cls", "members", "bitmap"])
 
     same_id = docs["doc_id"].eqNullSafe(wanted["doc_id"])
-    sets = written(docs.join(wanted, same_id).select("text", "wanted").mapInPandas(whole_sets, "cls long, members array<long>, bitmap binary").dropDuplicates(["cls"]), "jaccard-sets")
+    sets = written(docs.join(wanted, same_id).select("text", "wanted").mapInPandas(whole_sets, "cls long, members array<long>, bitmap array<long>"), "jaccard-sets")
+    bitmaps = sets.select("cls", "bitmap").distinct()
 
     leaders = scored.groupBy("token").agg(F.max(F.struct("score", "cls", "n")).alias("lead")).select("token", F.col("lead.cls").alias("a"), F.col("lead.n").alias("a_n"))
-    stars = scored.join(leaders, "token").filter("cls <> a").filter(similar_sizes("n", "a_n")).select("a", F.col("cls").alias("b")).distinct()
+    votes = scored.join(leaders, "token").filter("cls <> a").filter(similar_sizes("n", "a_n")).groupBy("cls", "a").count()
+    stars = votes.groupBy("cls").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", F.col("cls").alias("b"))  # the leader of most of its groups
     links = written(verified(stars, sets), "jaccard-links")
     labels = components(links)
 
@@ -284,10 +300,11 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     other = listed.select("token", F.col("block").alias("j"), F.col("whole").alias("other"))
     tasks = listed.withColumnRenamed("block", "i").join(other, "token").filter("i <= j AND (whole IS NULL OR other IS NULL OR whole <> other)").select("token", "i", "j")
     dealt = tasks.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
-    facts = sets.select("cls", "bitmap").join(blocks.groupBy("cls").agg(F.collect_list("token").alias("tokens")), "cls")
+    facts = bitmaps.join(blocks.groupBy("cls").agg(F.collect_list("token").alias("tokens")), "cls")
     rows = blocks.join(dealt, ["token", "block"]).join(facts, "cls")
     found = rows.groupBy("token", "i", "j").applyInPandas(search_blocks, "a long, b long")
-    more = written(verified(pairs.unionByName(found).distinct(), sets), "jaccard-more")
+    pairs = written(can_overlap(pairs.distinct(), bitmaps, classes).unionByName(found).distinct(), "jaccard-pairs")
+    more = written(verified(pairs, sets), "jaccard-more")
     final = labels if more.isEmpty() else components(links.unionByName(more))
 
     grouped = written(classes.join(final.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc_id", F.coalesce("label", "cls").alias("label")), "jaccard-grouped")
