@@ -29,7 +29,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import as_bytes, mix64, word_hashes, written
+from .common import as_bytes, mix64, packed, unpack_text, word_hashes, written
 from .graph import components
 
 SHINGLE = 5
@@ -264,16 +264,16 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def whole_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for text, cls in zip(batch["text"], batch["wanted"], strict=True):
-                own = shingle_set(as_bytes(text))
+            for text, cls in zip(batch["packed"], batch["wanted"], strict=True):
+                own = shingle_set(unpack_text(text))
                 if class_of(own) == cls:  # rows may share an id
                     bits = np.zeros(BITS, dtype=np.uint8)
                     bits[(own & np.uint64(BITS - 1)).astype(np.int64)] = 1
                     rows.append((cls, own.astype(np.int64), np.packbits(bits).view(np.int64)))
             yield pd.DataFrame(rows, columns=["cls", "members", "bitmap"])
 
-    same_id = docs["doc_id"].eqNullSafe(wanted["doc_id"])
-    sets = written(docs.join(wanted, same_id).select("text", "wanted").mapInPandas(whole_sets, "cls long, members array<long>, bitmap array<long>"), "jaccard-sets")
+    texts = packed(docs, ["doc_id"])
+    sets = written(texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"])).select("packed", "wanted").mapInPandas(whole_sets, "cls long, members array<long>, bitmap array<long>"), "jaccard-sets")
     bitmaps = sets.select("cls", "bitmap").distinct()
 
     leaders = scored.groupBy("token").agg(F.max(F.struct("score", "cls", "n")).alias("lead")).select("token", F.col("lead.cls").alias("a"), F.col("lead.n").alias("a_n"))

@@ -14,7 +14,8 @@ equal windows have anchors at the same offset. Only anchors whose gram comes aga
 - Grams with more than GROUP_MOST distinct neighbourhoods don't go to one task: their windows are
   counted one by one, by a hash of 128 bits.
 
-Rows are told apart by their id and a hash of their text; rows that agree in both are copies.
+Rows are told apart by their id and 16 bits of a hash of their text, so that rows may share an id. Positions
+have 30 bits.
 """
 
 from __future__ import annotations
@@ -28,11 +29,11 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import as_bytes, mix64, written
+from .common import as_bytes, mix64, packed, unpack_text, written
 
 WIDTH = 400
 GRAM = 64
-GROUP_MOST = 256
+GROUP_MOST = 4096
 SHALLOW = 96
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
@@ -204,39 +205,49 @@ def shared_windows(left: list[bytes], right: list[bytes], width: int = WIDTH) ->
     return out
 
 
+#: An anchor's place in one integer: 16 bits of the hash of the text, bytes before and after it in its neighbourhood, position.
+BEFORE, AFTER, OWN = 39, 30, 48
+
+
 def find_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(doc_id, place, gram, whole): whole is a hash of the neighbourhood; with the gram's hash it has 128 bits."""
     for batch in batches:
-        keys, texts, out = batch["doc_id"], batch["th"], []
-        for key, th, text in zip(keys, texts, batch["text"], strict=True):
+        out = []
+        for key, th, text in zip(batch["doc_id"], batch["th"], batch["text"], strict=True):
             data = as_bytes(text)
             at, gram = anchors(data)
             if not len(at):
                 continue
-            rows = []
-            for a in at.tolist():
-                low, high = neighbourhood(len(data), a)
-                whole = xxhash.xxh3_128_intdigest(data[low:high], a - low)
-                rows.append((a - low, high - a, (whole >> 64) - (1 << 63), (whole & ((1 << 64) - 1)) - (1 << 63)))
-            part = pd.DataFrame(rows, columns=["before", "after", "c1", "c2"])
-            part.insert(0, "doc_id", key)
-            part["th"], part["pos"], part["gram"] = th, at, gram.astype(np.int64)
-            out.append(part[["doc_id", "th", "pos", "gram", "before", "after", "c1", "c2"]])
-            if sum(map(len, out)) > 50_000:
+            before, after = np.minimum(at, WIDTH - GRAM), np.minimum(len(data) - at, WIDTH)
+            place = (np.int64(th) << OWN) | (before << BEFORE) | (after << AFTER) | at
+            whole = np.array([xxhash.xxh3_64_intdigest(data[a - b : a + c], b) for a, b, c in zip(at.tolist(), before.tolist(), after.tolist(), strict=True)], dtype=np.uint64)
+            out.append(pd.DataFrame({"doc_id": key, "place": place, "gram": gram.astype(np.int64), "whole": whole.astype(np.int64)}))
+            if len(out) >= 1000:
                 yield pd.concat(out)
                 out = []
         if out:
             yield pd.concat(out)
 
 
+def unpacked(place: str = "place") -> dict:
+    """The parts of a place as columns."""
+    bits = lambda shift, n: F.shiftrightunsigned(place, shift).bitwiseAND((1 << n) - 1)
+    return {"th": bits(OWN, 16), "before": bits(BEFORE, 9), "after": bits(AFTER, 9), "pos": F.col(place).bitwiseAND((1 << AFTER) - 1)}
+
+
 def cut_neighbourhoods(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
-        for key, th, text, wanted in zip(batch["doc_id"], batch["th"], batch["text"], batch["wanted"], strict=True):
-            data = as_bytes(text)
+        for key, th, text, wanted in zip(batch["doc_id"], batch["th"], batch["packed"], batch["wanted"], strict=True):
+            data = unpack_text(text)
             for w in wanted:
                 low, high = neighbourhood(len(data), w["pos"])
-                rows.append((key, th, w["pos"], w["gram"], w["single"], w["many"], data[low : w["pos"]], data[w["pos"] : high]))
-        yield pd.DataFrame(rows, columns=["doc_id", "th", "pos", "gram", "single", "many", "left", "right"])
+                rows.append((key, th, w["pos"], w["gram"], w["single"], data[low : w["pos"]], data[w["pos"] : high]))
+                if len(rows) == 20_000:
+                    yield pd.DataFrame(rows, columns=["doc_id", "th", "pos", "gram", "single", "left", "right"])
+                    rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=["doc_id", "th", "pos", "gram", "single", "left", "right"])
 
 
 def sort_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -296,29 +307,41 @@ def cut_spans(data: bytes, spans: list[list[int]]) -> bytes:
     return b"".join([*parts, data[at:]])
 
 
+def own_hash(text_col: str = "text"):
+    return F.pmod(F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)), F.lit(1 << 16)).cast("int")
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, th, low, high): spans that cover all bytes to remove; docs holds doc_id, th, text."""
     kind = dict(docs.dtypes)["doc_id"]
-    found = written(docs.select("doc_id", "th", "text").mapInPandas(find_anchors, f"doc_id {kind}, th long, pos long, gram long, before int, after int, c1 long, c2 long"), "repeats-anchors")
+    found = written(docs.mapInPandas(find_anchors, f"doc_id {kind}, place long, gram long, whole long"), "repeats-anchors")
     again = found.groupBy("gram").agg(F.count("*").alias("places")).filter("places > 1").select("gram")
     twice = written(found.join(again, "gram"), "repeats-twice")
-    contexts = twice.groupBy("gram", "c1", "c2").agg(F.count("*").alias("places"), F.min(F.struct("doc_id", "th", "pos")).alias("one"))
-    contexts = written(contexts.select("gram", "c1", "c2", "places", "one.*"), "repeats-contexts")
-    settled = twice.join(contexts.filter("places > 1").select("gram", "c1", "c2"), ["gram", "c1", "c2"])
+    contexts = written(twice.groupBy("gram", "whole").agg(F.count("*").alias("places"), F.first("doc_id").alias("doc_id"), F.first("place").alias("place")), "repeats-contexts")
+    settled = twice.join(contexts.filter("places > 1").select("gram", "whole"), ["gram", "whole"]).select("doc_id", *[c.alias(n) for n, c in unpacked().items()])
     spans = settled.filter(F.col("before") + F.col("after") >= WIDTH).select("doc_id", "th", (F.col("pos") - F.col("before")).alias("low"), (F.col("pos") + F.col("after")).alias("high"))
-    groups = contexts.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("places").alias("least")).filter("kinds > 1 AND least = 1")
-    wanted = contexts.join(groups, "gram").select("doc_id", "th", F.struct("pos", "gram", (F.col("places") == 1).alias("single"), (F.col("kinds") > GROUP_MOST).alias("many")).alias("w"))
-    wanted = wanted.groupBy("doc_id", "th").agg(F.collect_list("w").alias("wanted"))  # no more than the anchors of one document
-    same = docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["th"] == wanted["th"])
-    cut = docs.join(wanted, same).select(docs["doc_id"], docs["th"], "text", "wanted").mapInPandas(cut_neighbourhoods, f"doc_id {kind}, th long, pos long, gram long, single boolean, many boolean, left binary, right binary")
-    cut = written(cut, "repeats-cut")
-    schema = f"doc_id {kind}, th long, low long, high long"
-    sorted_ = cut.filter("NOT many").repartition("gram").sortWithinPartitions("gram").mapInPandas(sort_groups, schema)
-    windows = written(cut.filter("many").mapInPandas(list_windows, f"gram long, d int, h1 long, h2 long, single boolean, doc_id {kind}, th long, low long"), "repeats-windows")
+    groups = written(contexts.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("places").alias("least")).filter("kinds > 1 AND least = 1"), "repeats-groups")
+    texts = packed(docs, ["doc_id", "th"])
+
+    def cut(of: DataFrame) -> DataFrame:
+        """The distinct neighbourhoods of some grams, each from the first document that has it."""
+        parts = unpacked()
+        wanted = contexts.join(of.select("gram"), "gram").select("doc_id", parts["th"].alias("th"), F.struct(parts["pos"].alias("pos"), "gram", (F.col("places") == 1).alias("single")).alias("w"))
+        wanted = wanted.groupBy("doc_id", "th").agg(F.collect_list("w").alias("wanted"))  # no more than the anchors of one document
+        wanted = wanted.select(F.col("doc_id").alias("own"), F.col("th").alias("own_th"), "wanted")
+        rows = texts.join(wanted, texts["doc_id"].eqNullSafe(F.col("own")) & (texts["th"] == F.col("own_th")))
+        return rows.select("doc_id", "th", "packed", "wanted").mapInPandas(cut_neighbourhoods, f"doc_id {kind}, th int, pos long, gram long, single boolean, left binary, right binary")
+
+    schema = f"doc_id {kind}, th int, low long, high long"
+    few = cut(groups.filter(F.col("kinds") <= GROUP_MOST)).repartition("gram").sortWithinPartitions("gram").mapInPandas(sort_groups, schema)
+    spans = spans.withColumn("th", F.col("th").cast("int")).unionByName(few)
+    many = groups.filter(F.col("kinds") > GROUP_MOST)
+    if many.isEmpty():
+        return spans
+    windows = written(cut(many).mapInPandas(list_windows, f"gram long, d int, h1 long, h2 long, single boolean, doc_id {kind}, th int, low long"), "repeats-windows")
     key = ["gram", "d", "h1", "h2"]
     counted = windows.groupBy(*key).agg(F.count("*").alias("places")).filter("places > 1").select(*key)
-    single = windows.filter("single").join(counted, key).select("doc_id", "th", "low", (F.col("low") + WIDTH).alias("high"))
-    return spans.unionByName(sorted_).unionByName(single)
+    return spans.unionByName(windows.filter("single").join(counted, key).select("doc_id", "th", "low", (F.col("low") + WIDTH).alias("high")))
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
@@ -328,16 +351,17 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     two passes and shuffled twice, once to cut the neighbourhoods and once to remove the spans.
     """
     kind = dict(df.dtypes)[id_col]
-    docs = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
+    docs = df.select(F.col(id_col).alias("doc_id"), own_hash(text_col).alias("th"), F.col(text_col).alias("text"))
     per_doc = repeated_spans(docs).groupBy("doc_id", "th").agg(F.collect_set(F.struct("low", "high")).alias("spans"))  # within one document
     per_doc = per_doc.select(F.col("doc_id").alias("own"), F.col("th").alias("own_th"), "spans")
-    rows = docs.join(per_doc, docs["doc_id"].eqNullSafe(F.col("own")) & (F.col("th") == F.col("own_th")), "left").select("doc_id", "text", "spans")
+    whole = packed(docs, ["doc_id", "th"])
+    rows = whole.join(per_doc, whole["doc_id"].eqNullSafe(F.col("own")) & (whole["th"] == F.col("own_th")), "left").select("doc_id", "packed", "spans")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for text, spans in zip(batch["text"], batch["spans"], strict=True):
-                data = as_bytes(text)
+            for text, spans in zip(batch["packed"], batch["spans"], strict=True):
+                data = unpack_text(text)
                 runs = merge_spans((s["low"], s["high"]) for s in spans) if spans is not None else []
                 kept = cut_spans(data, runs)
                 row = (len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest())
