@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 ASSETS = "array<struct<stage:string,name:string,url:string,bytes:bigint,sha256:string,required:boolean>>"
@@ -30,8 +32,9 @@ def file_inventory(spark: SparkSession, path: str) -> DataFrame:
     """SRC-6. (name, url, bytes, sha256, required) of the files under path, sorted by path. Hashing runs file by file on the executors;
     Spark leaves out names that begin with a dot or an underscore."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    root = path.rstrip("/") + "/"
-    url = F.expr("substring(path, instr(path, '" + root.replace("'", "\\'") + f"') + {len(root)})")
+    scheme = r"^[A-Za-z][A-Za-z0-9+.-]*:/*"
+    root = re.sub(scheme, "/", path).rstrip("/") + "/"
+    url = F.substring(F.regexp_replace("path", scheme, "/"), len(root) + 1, 1 << 20)
     name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]+$", "")
     return files.select(name.alias("name"), url.alias("url"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.lit(True).alias("required")).orderBy("url")
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..functions.scalars import SRT_TIME, clean_text, parse_srt_ms
 
 MAX_DURATION = 9000.0
-SEGMENT = "array<struct<index:string,start:string,end:string,text:string>>"
+SEGMENT = "index string, start string, end string, text string"
 
 
 def media_catalogue(df: DataFrame, max_s: float = MAX_DURATION) -> DataFrame:
@@ -27,15 +27,13 @@ def read_segments(df: DataFrame, json_col: str = "payload", with_text: bool = Fa
 
     A rejected track comes as one row with null segments. Missing times are 0, a missing index is the position.
     """
-    parsed = F.from_json(F.col(json_col), SEGMENT)
-    raw = F.from_json(F.col(json_col), "array<string>")
-    rows = df.select("track_id", F.when(F.size(parsed) > 0, parsed).alias("items"), raw.alias("raw")).select("track_id", "raw", F.posexplode_outer("items").alias("pos", "item"))
+    elements = F.from_json(F.col(json_col), "array<string>")
+    rows = df.select("track_id", F.posexplode_outer(elements).alias("pos", "element")).withColumn("item", F.from_json("element", SEGMENT))
     number = lambda c, other: F.when(F.col(c).isNull(), F.lit(other)).otherwise(F.col(c).try_cast("double"))
     start, end = number("item.start", 0.0), number("item.end", 0.0)
-    element = F.element_at("raw", F.col("pos") + 1)
     reason = (
         F.when(F.col("pos").isNull(), "At least one segment is required.")
-        .when(~F.coalesce(clean_text(element).startswith("{"), F.lit(False)), "Each segment must be an object.")
+        .when(~F.coalesce(clean_text("element").startswith("{"), F.lit(False)), "Each segment must be an object.")
         .when(start.isNull() | end.isNull(), "Segment times must be numbers.")
         .when(end <= start, "Segment end must be after its start.")
     )
@@ -81,7 +79,7 @@ def parse_srt(df: DataFrame, text_col: str = "srt_text") -> DataFrame:
 def read_srt(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(track_id, srt_text, bytes) of subtitle files: the path names the track; bytes are those of the file, a byte order mark included."""
     files = spark.read.format("binaryFile").load(paths)
-    return files.select(F.col("path").alias("track_id"), F.decode("content", F.lit("UTF-8")).alias("srt_text"), F.col("length").alias("bytes"))
+    return files.select(F.col("path").alias("track_id"), F.decode("content", "UTF-8").alias("srt_text"), F.col("length").alias("bytes"))
 
 
 MARK = r"silence_(start|end): ([0-9.]+)"
