@@ -25,11 +25,15 @@ def stage_root(spark: SparkSession) -> str:
     """The folder shared by driver and executors: spark.checkpoint.dir, or a temporary one where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='stage-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not _OWN_ROOT:
+            _OWN_ROOT.append(f"file://{tempfile.mkdtemp(prefix='stage-')}")
+        root = _OWN_ROOT[0]
     return root.rstrip("/")
 
 
+_OWN_ROOT: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it back, so that a lost executor costs no recomputation."""
     spark = df.sparkSession
