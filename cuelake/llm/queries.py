@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, html_text, jaccard, langid, media, mixing, pii, quality, repeats
+from . import bpe, fingerprints, html_text, jaccard, langid, media, mixing, pii, quality, repeats, sql
 from .common import table
 
 
@@ -72,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_repeats": sql.REPEATS, "op5_jaccard": sql.JACCARD}
