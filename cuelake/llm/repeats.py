@@ -12,7 +12,8 @@ equal windows have anchors at the same offset. Only anchors whose gram comes aga
   and each joined neighbourhood is compared with its two neighbours in prefix order: the longest
   common prefix on both sides says which windows the two share.
 - Grams with more than GROUP_MOST distinct neighbourhoods don't go to one task: their windows are
-  counted one by one, by a hash of 128 bits.
+  counted by hashes of 128 bits, first the part that BLOCK adjoining windows have in common, then one
+  by one those windows whose common part comes again.
 
 Rows are told apart by their id and 16 bits of a hash of their text, so that rows may share an id. Positions
 have 30 bits.
@@ -34,6 +35,7 @@ from .common import as_bytes, mix64, packed, unpack_text, written
 WIDTH = 400
 GRAM = 64
 GROUP_MOST = 4096
+BLOCK = 48
 SHALLOW = 96
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
@@ -242,12 +244,12 @@ def cut_neighbourhoods(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
             data = unpack_text(text)
             for w in wanted:
                 low, high = neighbourhood(len(data), w["pos"])
-                rows.append((key, th, w["pos"], w["gram"], w["single"], data[low : w["pos"]], data[w["pos"] : high]))
+                rows.append((key, th, w["pos"], w["gram"], w["single"], w["many"], data[low : w["pos"]], data[w["pos"] : high]))
                 if len(rows) == 20_000:
-                    yield pd.DataFrame(rows, columns=["doc_id", "th", "pos", "gram", "single", "left", "right"])
+                    yield pd.DataFrame(rows, columns=["doc_id", "th", "pos", "gram", "single", "many", "left", "right"])
                     rows = []
         if rows:
-            yield pd.DataFrame(rows, columns=["doc_id", "th", "pos", "gram", "single", "left", "right"])
+            yield pd.DataFrame(rows, columns=["doc_id", "th", "pos", "gram", "single", "many", "left", "right"])
 
 
 def sort_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -276,16 +278,34 @@ def sort_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["doc_id", "th", "low", "high"])
 
 
+def signed(h: int) -> tuple[int, int]:
+    return (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63)
+
+
+def list_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each neighbourhood and block of windows the hash of what these windows have in common."""
+    for batch in batches:
+        for start in range(0, len(batch), 1000):
+            rows = []
+            for key, th, pos, gram, left, right in batch[["doc_id", "th", "pos", "gram", "left", "right"]].iloc[start : start + 1000].itertuples(index=False, name=None):
+                data, at = left + right, len(left)
+                for block in range((WIDTH - GRAM) // BLOCK + 1):
+                    first, last = block * BLOCK, min(block * BLOCK + BLOCK - 1, WIDTH - GRAM)
+                    if max(first, WIDTH - len(right)) <= min(last, at):
+                        rows.append((gram, block, *signed(xxhash.xxh3_128_intdigest(data[at - first : at - last + WIDTH])), key, th, pos))
+            yield pd.DataFrame(rows, columns=["gram", "block", "h1", "h2", "doc_id", "th", "pos"])
+
+
 def list_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Every window of a neighbourhood: offset of the anchor in it, hash of 128 bits, and its place."""
+    """Every window of some blocks of a neighbourhood: offset of the anchor in it, hash, and its place."""
     for batch in batches:
         for start in range(0, len(batch), 64):
             rows = []
-            for key, th, pos, gram, single, left, right in batch[["doc_id", "th", "pos", "gram", "single", "left", "right"]].iloc[start : start + 64].itertuples(index=False, name=None):
+            for key, th, pos, gram, single, left, right, blocks in batch[["doc_id", "th", "pos", "gram", "single", "left", "right", "blocks"]].iloc[start : start + 64].itertuples(index=False, name=None):
                 data, at = left + right, len(left)
-                for d in range(max(0, WIDTH - len(right)), min(at, WIDTH - GRAM) + 1):
-                    h = xxhash.xxh3_128_intdigest(data[at - d : at - d + WIDTH])
-                    rows.append((gram, d, (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63), single, key, th, pos - d))
+                for block in blocks:
+                    for d in range(max(block * BLOCK, WIDTH - len(right)), min(block * BLOCK + BLOCK - 1, at, WIDTH - GRAM) + 1):
+                        rows.append((gram, d, *signed(xxhash.xxh3_128_intdigest(data[at - d : at - d + WIDTH])), single, key, th, pos - d))
             yield pd.DataFrame(rows, columns=["gram", "d", "h1", "h2", "single", "doc_id", "th", "low"])
 
 
@@ -315,7 +335,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, th, low, high): spans that cover all bytes to remove; docs holds doc_id, th, text."""
     kind = dict(docs.dtypes)["doc_id"]
     found = written(docs.mapInPandas(find_anchors, f"doc_id {kind}, place long, gram long, whole long"), "repeats-anchors")
-    again = found.groupBy("gram").agg(F.count("*").alias("places")).filter("places > 1").select("gram")
+    again = written(found.groupBy("gram").agg(F.count("*").alias("places")).filter("places > 1").select("gram"), "repeats-again")
     twice = written(found.join(again, "gram"), "repeats-twice")
     contexts = written(twice.groupBy("gram", "whole").agg(F.count("*").alias("places"), F.first("doc_id").alias("doc_id"), F.first("place").alias("place")), "repeats-contexts")
     settled = twice.join(contexts.filter("places > 1").select("gram", "whole"), ["gram", "whole"]).select("doc_id", *[c.alias(n) for n, c in unpacked().items()])
@@ -323,22 +343,28 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     groups = written(contexts.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("places").alias("least")).filter("kinds > 1 AND least = 1"), "repeats-groups")
     texts = packed(docs, ["doc_id", "th"])
 
-    def cut(of: DataFrame) -> DataFrame:
-        """The distinct neighbourhoods of some grams, each from the first document that has it."""
-        parts = unpacked()
-        wanted = contexts.join(of.select("gram"), "gram").select("doc_id", parts["th"].alias("th"), F.struct(parts["pos"].alias("pos"), "gram", (F.col("places") == 1).alias("single")).alias("w"))
-        wanted = wanted.groupBy("doc_id", "th").agg(F.collect_list("w").alias("wanted"))  # no more than the anchors of one document
-        wanted = wanted.select(F.col("doc_id").alias("own"), F.col("th").alias("own_th"), "wanted")
-        rows = texts.join(wanted, texts["doc_id"].eqNullSafe(F.col("own")) & (texts["th"] == F.col("own_th")))
-        return rows.select("doc_id", "th", "packed", "wanted").mapInPandas(cut_neighbourhoods, f"doc_id {kind}, th int, pos long, gram long, single boolean, left binary, right binary")
+    # the distinct neighbourhoods of these grams, each from the first document that has it
+    parts = unpacked()
+    member = F.struct(parts["pos"].alias("pos"), "gram", (F.col("places") == 1).alias("single"), (F.col("kinds") > GROUP_MOST).alias("many"))
+    wanted = contexts.join(groups.select("gram", "kinds"), "gram").select("doc_id", parts["th"].alias("th"), member.alias("w"))
+    wanted = wanted.groupBy("doc_id", "th").agg(F.collect_list("w").alias("wanted"))  # no more than the anchors of one document
+    wanted = wanted.select(F.col("doc_id").alias("own"), F.col("th").alias("own_th"), "wanted")
+    rows = texts.join(wanted, texts["doc_id"].eqNullSafe(F.col("own")) & (texts["th"] == F.col("own_th"))).select("doc_id", "th", "packed", "wanted")
+    cut = written(rows.mapInPandas(cut_neighbourhoods, f"doc_id {kind}, th int, pos long, gram long, single boolean, many boolean, left binary, right binary"), "repeats-cut")
 
     schema = f"doc_id {kind}, th int, low long, high long"
-    few = cut(groups.filter(F.col("kinds") <= GROUP_MOST)).repartition("gram").sortWithinPartitions("gram").mapInPandas(sort_groups, schema)
+    few = cut.filter("NOT many").repartition("gram").sortWithinPartitions("gram").mapInPandas(sort_groups, schema)
     spans = spans.withColumn("th", F.col("th").cast("int")).unionByName(few)
-    many = groups.filter(F.col("kinds") > GROUP_MOST)
+    many = cut.filter("many")
     if many.isEmpty():
         return spans
-    windows = written(cut(many).mapInPandas(list_windows, f"gram long, d int, h1 long, h2 long, single boolean, doc_id {kind}, th int, low long"), "repeats-windows")
+    blocks = written(many.mapInPandas(list_blocks, f"gram long, block int, h1 long, h2 long, doc_id {kind}, th int, pos long"), "repeats-blocks")
+    key = ["gram", "block", "h1", "h2"]
+    open_ = blocks.join(blocks.groupBy(*key).agg(F.count("*").alias("places")).filter("places > 1").select(*key), key)
+    open_ = open_.groupBy("gram", F.col("doc_id").alias("own"), F.col("th").alias("own_th"), F.col("pos").alias("own_pos")).agg(F.collect_set("block").alias("blocks")).withColumnRenamed("gram", "own_gram")
+    there = (many["gram"] == open_["own_gram"]) & many["doc_id"].eqNullSafe(open_["own"]) & (many["th"] == open_["own_th"]) & (many["pos"] == open_["own_pos"])
+    listed = many.join(open_, there).select("doc_id", "th", "pos", "gram", "single", "left", "right", "blocks")
+    windows = written(listed.mapInPandas(list_windows, f"gram long, d int, h1 long, h2 long, single boolean, doc_id {kind}, th int, low long"), "repeats-windows")
     key = ["gram", "d", "h1", "h2"]
     counted = windows.groupBy(*key).agg(F.count("*").alias("places")).filter("places > 1").select(*key)
     return spans.unionByName(windows.filter("single").join(counted, key).select("doc_id", "th", "low", (F.col("low") + WIDTH).alias("high")))
