@@ -46,6 +46,9 @@ LEFT_OUT_CUES = frozenset(
     "sidebar aside rail menu nav navbar navigation breadcrumb breadcrumbs share sharing social related recommended comment comments reply replies disqus discussion respond newsletter "
     "subscribe subscription signup footer header masthead widget toolbar pagination pager login search skip contentinfo complementary toc byline-ad".split()
 )
+#: Fixed words: layout classes such as with-sidebar, and headers that hold the article's title.
+NEGATIONS = frozenset("with has no without".split())
+OF_ARTICLE = frozenset("article post entry story content main".split())
 PUNCTUATION = re.compile(r"[.,;:!?。，、；：！？]")
 WORDS = re.compile(r"[a-z]+")
 CONTENT_SHARE = 0.6
@@ -53,15 +56,15 @@ LINK_SHARE = 0.8
 
 
 def is_left_out(tag: str, attrs: str, in_article: bool) -> bool:
-    if tag in LEFT_OUT_TAGS or (tag == "header" and not in_article):
+    if tag in LEFT_OUT_TAGS:
         return True
-    if not attrs or tag in ("html", "body"):
+    names = [WORDS.findall(name) for _, *values in ATTRIBUTE.findall(attrs) for name in "".join(values).lower().split()] if attrs else []
+    titles = [w for w in names if w and w[-1] == "header" and w[0] in OF_ARTICLE]
+    if tag == "header" and not in_article and not titles:
+        return True
+    if tag in ("html", "body"):
         return False
-    for _, *values in ATTRIBUTE.findall(attrs):
-        named = WORDS.findall("".join(values).lower())
-        if any(w in LEFT_OUT_CUES for w in named) and not (tag == "article" or "content" in named and "sidebar" not in named):
-            return True
-    return False
+    return any(cue in LEFT_OUT_CUES for w in names if w and w[0] not in NEGATIONS and w not in titles for cue in w)
 
 
 class Page:
