@@ -1,10 +1,11 @@
 """N-gram Jaccard join with signature trees.
 
 A document's set holds the hashes of its distinct five-word shingles; equal sets form a class.
-Two sets with 100 * intersection >= 80 * union share one of their first n - ceil(0.8 n) + 1
-members under any common order, so classes meet in the groups of these leading members. The order
-puts members that are common in the corpus last, which keeps passages that many documents share
-out of the groups of documents that are otherwise different.
+Two sets with 100 * intersection >= 80 * union share k of their first n - ceil(0.8 n) + k members
+under any common order, so classes meet in the groups of these leading members; k grows with the
+set (1 + n div 20), and a class that shares fewer than k of a set of 0.8 n has no link and goes.
+The order puts members that are common in the corpus last, which keeps passages that many
+documents share out of the groups of documents that are otherwise different.
 
 Links are found in two steps, since only reachability counts:
 
@@ -34,6 +35,8 @@ from .graph import components
 
 SHINGLE = 5
 PERCENT = 80
+#: Leading members beyond the first common one: one more for each so many of a set.
+DEPTH = 20
 #: Members seen so often within one stretch of documents are counted; the most frequent are put last in the order.
 COMMON_IN_STRETCH = 3
 STRETCH_BYTES = 1 << 25
@@ -66,7 +69,7 @@ def class_of(members: np.ndarray) -> int:
 
 
 def leading(n: int) -> int:
-    return n - (PERCENT * n + 99) // 100 + 1
+    return n - (PERCENT * n + 99) // 100 + 1 + n // DEPTH
 
 
 def first_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,17 +192,42 @@ def search_blocks(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": a["cls"].to_numpy()[i[keep]] if len(i) else np.zeros(0, np.int64), "b": b["cls"].to_numpy()[j[keep]] if len(j) else np.zeros(0, np.int64)})
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that are links, on their whole sets."""
-    left = sets.select(F.col("cls").alias("a"), F.col("members").alias("__a"))
-    right = sets.select(F.col("cls").alias("b"), F.col("members").alias("__b"))
-    shared = F.size(F.array_intersect("__a", "__b"))
-    return pairs.join(left, "a").join(right, "b").filter(overlap_enough(shared, F.size("__a"), F.size("__b"))).select("a", "b").distinct()
+def check_class(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The texts that have the wanted class, since rows may share an id, with size and bitmap of their sets."""
+    seen: set[int] = set()
+    for batch in batches:
+        rows = []
+        for text, cls in zip(batch["packed"], batch["wanted"], strict=True):
+            if cls in seen:  # a repeated row
+                continue
+            own = shingle_set(unpack_text(text))
+            if class_of(own) == cls:
+                seen.add(cls)
+                bits = np.zeros(BITS, dtype=np.uint8)
+                bits[(own & np.uint64(BITS - 1)).astype(np.int64)] = 1
+                rows.append((cls, len(own), text, np.packbits(bits).view(np.int64)))
+        yield pd.DataFrame(rows, columns=["cls", "n", "packed", "bitmap"])
+
+
+def check_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        keep = np.zeros(len(batch), dtype=bool)
+        for k, (left, right) in enumerate(zip(batch["__a"], batch["__b"], strict=True)):
+            x, y = shingle_set(unpack_text(left)), shingle_set(unpack_text(right))
+            keep[k] = overlap_enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))
+        yield batch.loc[keep, ["a", "b"]]
+
+
+def verified(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes that are links, on their whole texts; those travel packed, which is smaller than their sets."""
+    left = facts.select(F.col("cls").alias("a"), F.col("packed").alias("__a"))
+    right = facts.select(F.col("cls").alias("b"), F.col("packed").alias("__b"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "__a", "__b").mapInPandas(check_pairs, "a long, b long")
 
 
-def can_overlap(pairs: DataFrame, bitmaps: DataFrame, classes: DataFrame) -> DataFrame:
+def can_overlap(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose bitmaps leave room for a link: shared members fall on shared bits."""
-    facts = bitmaps.join(classes.select("cls", "n"), "cls").select("cls", "n", "bitmap", (F.col("n") - ones(F.col("bitmap"))).alias("slack"))
+    facts = facts.select("cls", "n", "bitmap", (F.col("n") - ones(F.col("bitmap"))).alias("slack"))
     left = facts.select(F.col("cls").alias("a"), F.struct("n", "bitmap", "slack").alias("__a"))
     right = facts.select(F.col("cls").alias("b"), F.struct("n", "bitmap", "slack").alias("__b"))
     both = ones(F.zip_with("__a.bitmap", "__b.bitmap", lambda x, y: x.bitwiseAND(y)))
@@ -256,30 +284,20 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     groups = docs.select("text").mapInPandas(tokens, "token long, salt long, cls long").groupBy("token", "salt").agg(F.collect_set("cls").alias("own")).filter("size(own) > 1 OR salt > 0")
     edges = written(groups.select("token", F.explode("own").alias("cls")), "jaccard-edges")
-    degree = edges.groupBy("cls").count().join(classes, "cls").select("cls", "n", (F.col("count") * 1000 / (F.col("n") - F.expr(f"({PERCENT} * n + 99) div 100") + 1)).cast("int").alias("score"))
+    lead = F.col("n") - F.expr(f"({PERCENT} * n + 99) div 100") + 1 + F.expr(f"n div {DEPTH}")
+    degree = edges.groupBy("cls").count().join(classes, "cls").filter(f"count >= 1 + {PERCENT} * n div {100 * DEPTH}")  # of a partner with 0.8 n at least
+    degree = degree.select("cls", "n", (F.col("count") * 1000 / lead).cast("int").alias("score"))
     scored = written(edges.join(degree, "cls"), "jaccard-scored")
 
-    wanted = classes.join(edges.select("cls").distinct(), "cls", "left_semi").select("doc_id", F.col("cls").alias("wanted"))
-
-    def whole_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for text, cls in zip(batch["packed"], batch["wanted"], strict=True):
-                own = shingle_set(unpack_text(text))
-                if class_of(own) == cls:  # rows may share an id
-                    bits = np.zeros(BITS, dtype=np.uint8)
-                    bits[(own & np.uint64(BITS - 1)).astype(np.int64)] = 1
-                    rows.append((cls, own.astype(np.int64), np.packbits(bits).view(np.int64)))
-            yield pd.DataFrame(rows, columns=["cls", "members", "bitmap"])
-
+    wanted = classes.join(scored.select("cls").distinct(), "cls", "left_semi").select("doc_id", F.col("cls").alias("wanted"))
     texts = packed(docs, ["doc_id"])
-    sets = written(texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"])).select("packed", "wanted").mapInPandas(whole_sets, "cls long, members array<long>, bitmap array<long>"), "jaccard-sets")
-    bitmaps = sets.select("cls", "bitmap").distinct()
+    rows = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"])).select("packed", "wanted")
+    facts = written(rows.mapInPandas(check_class, "cls long, n long, packed binary, bitmap array<long>"), "jaccard-facts")
 
     leaders = scored.groupBy("token").agg(F.max(F.struct("score", "cls", "n")).alias("lead")).select("token", F.col("lead.cls").alias("a"), F.col("lead.n").alias("a_n"))
     votes = scored.join(leaders, "token").filter("cls <> a").filter(similar_sizes("n", "a_n")).groupBy("cls", "a").count()
     stars = votes.groupBy("cls").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", F.col("cls").alias("b"))  # the leader of most of its groups
-    links = written(verified(stars, sets), "jaccard-links")
+    links = written(verified(stars, facts), "jaccard-links")
     labels = components(links)
 
     placed = scored.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("token", "cls", "n", F.coalesce("label", "cls").alias("comp"))
@@ -300,11 +318,11 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     other = listed.select("token", F.col("block").alias("j"), F.col("whole").alias("other"))
     tasks = listed.withColumnRenamed("block", "i").join(other, "token").filter("i <= j AND (whole IS NULL OR other IS NULL OR whole <> other)").select("token", "i", "j")
     dealt = tasks.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
-    facts = bitmaps.join(blocks.groupBy("cls").agg(F.collect_list("token").alias("tokens")), "cls")
-    rows = blocks.join(dealt, ["token", "block"]).join(facts, "cls")
+    lists = facts.select("cls", "bitmap").join(blocks.groupBy("cls").agg(F.collect_list("token").alias("tokens")), "cls")
+    rows = blocks.join(dealt, ["token", "block"]).join(lists, "cls")
     found = rows.groupBy("token", "i", "j").applyInPandas(search_blocks, "a long, b long")
-    pairs = written(can_overlap(pairs.distinct(), bitmaps, classes).unionByName(found).distinct(), "jaccard-pairs")
-    more = written(verified(pairs, sets), "jaccard-more")
+    pairs = written(can_overlap(pairs.distinct(), facts).unionByName(found).distinct(), "jaccard-pairs")
+    more = written(verified(pairs, facts), "jaccard-more")
     final = labels if more.isEmpty() else components(links.unionByName(more))
 
     grouped = written(classes.join(final.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc_id", F.coalesce("label", "cls").alias("label")), "jaccard-grouped")
