@@ -617,7 +617,7 @@ def _(v):
 def stream_of(spark: SparkSession, sf_dir: str, name: str, files: int = 4) -> DataFrame:
     """A table as a stream of a file at a time."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", f"{name}*.parquet").parquet(sf_dir if "/" in sf_dir else ".")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", f"{name}*.parquet").parquet(sf_dir)
 
 
 def drained(stream: DataFrame, name: str, mode: str) -> DataFrame:

@@ -6,6 +6,7 @@ from collections import Counter
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 from cuelake.plans import queries as own
@@ -16,7 +17,7 @@ SF = "/root/testdata/sf0.001"
 def plain(x):
     if hasattr(x, "item"):
         x = x.item()
-    if x is None or x != x:
+    if x is None or x is pd.NA or x != x:
         return None
     return float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
 
