@@ -27,6 +27,7 @@ from .common import as_text
 
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONG_WORD = 64
+STEP = 512
 NO_RANK = 1 << 30
 
 
@@ -60,7 +61,7 @@ def load_vocabulary(path: str) -> dict:
 class ByteLevelCodec:
     """Encodes and decodes; remembers twice `cache_words` distinct chunks at most."""
 
-    def __init__(self, vocabulary: dict, cache_words: int = 300_000):
+    def __init__(self, vocabulary: dict, cache_words: int = 120_000):
         self.pieces = vocabulary["pieces"]
         self.byte_ids, self.special = vocabulary["byte_ids"], vocabulary["special"]
         key = (vocabulary["left"] << 32) | vocabulary["right"]
@@ -193,8 +194,8 @@ class ByteLevelCodec:
 
     def encode_batch(self, texts: list[str]) -> Iterator[tuple[str, str]]:
         """For each text its ids as decimal text joined by commas, and the text that they decode to."""
-        for start in range(0, len(texts), 1024):
-            split = [self.parts(t) for t in texts[start : start + 1024]]
+        for start in range(0, len(texts), STEP):
+            split = [self.parts(t) for t in texts[start : start + STEP]]
             wanted = set()
             for parts in split:
                 for _, chunks in parts:
@@ -247,14 +248,15 @@ def encode_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = codec_of(vocabulary)
         for batch in batches:
-            rows = []
-            for joined, back in codec.encode_batch([as_text(t) for t in batch["text"]]):
-                row = (joined.count(",") + 1 if joined else 0, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
-                rows.append((*row, np.fromstring(joined, dtype=np.int32, sep=",") if joined else np.zeros(0, np.int32)) if ids else row)
-            names = ["n_tokens", "ids_sha256", "decoded_sha256", "token_ids"][: 4 if ids else 3]
-            out = pd.DataFrame(rows, columns=names)
-            out.insert(0, id_col, batch[id_col].to_numpy())
-            yield out
+            for start in range(0, len(batch), STEP):  # what a task holds at once is bounded by a step, not by a batch
+                part, rows = batch.iloc[start : start + STEP], []
+                for joined, back in codec.encode_batch([as_text(t) for t in part["text"]]):
+                    row = (joined.count(",") + 1 if joined else 0, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
+                    rows.append((*row, np.fromstring(joined, dtype=np.int32, sep=",") if joined else np.zeros(0, np.int32)) if ids else row)
+                names = ["n_tokens", "ids_sha256", "decoded_sha256", "token_ids"][: 4 if ids else 3]
+                out = pd.DataFrame(rows, columns=names)
+                out.insert(0, id_col, part[id_col].to_numpy())
+                yield out
 
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", token_ids array<int>" if ids else "")
     return df.selectExpr(f"`{id_col}`", f"`{text_col}` AS text").mapInPandas(run, schema)
