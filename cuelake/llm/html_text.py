@@ -4,8 +4,9 @@ Every text node has a root-to-leaf tag path. Over a page, text length and punctu
 added up per path and divided by the path's node count; both ratios are smoothed with those of
 paths under the same parent, fused into one and compared with a threshold. The paths above it
 vote for the part of the tree that holds the article: from the root downwards the walk follows
-the container that most of the chosen text lies in. Of that part the blocks are kept whose path
-isn't made of links, in page order.
+the container that most of the chosen text lies in, and ends at article or main. Of that part all
+blocks are kept whose path isn't made of links; of the rest of the page the blocks whose path is above the
+threshold, and headings beside the container. Page order stays.
 
 Subtrees that say by their tag, class, id or role that they are menus, headers, footers,
 sidebars, notices, adverts, forms or comments are left out before. Blocks are joined by one
@@ -36,7 +37,9 @@ ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 #: Fixed names of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split())
-CONTAINERS = frozenset("html body main article section div center table tbody thead tr td".split())
+CONTAINERS = frozenset("html body main article div center".split())
+CONTENT = frozenset("main article".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LEFT_OUT_TAGS = frozenset("head nav footer aside form dialog menu".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": set()}
@@ -164,9 +167,8 @@ class Page:
         threshold = sum(fused[p] * length[p] for p in fused) / max(total, 1) / 2
         return {p for p, f in fused.items() if f >= threshold}
 
-    def container(self) -> int:
-        """Where most of the chosen text lies, not below the level of paragraphs."""
-        chosen = self.chosen()
+    def container(self, chosen: set[int]) -> int:
+        """Where most of the chosen text lies, not below article, main, tables, sections or the level of paragraphs."""
         weight: Counter[int] = Counter()
         for _, _, leaf, part, _ in self.nodes:
             if leaf in chosen:
@@ -177,25 +179,32 @@ class Page:
         for p in range(1, len(self.parent)):
             below.setdefault(self.parent[p], []).append(p)
         at = 0
-        while step := [p for p in below.get(at, []) if self.label[p] in CONTAINERS and weight[p] >= CONTENT_SHARE * weight[0] > 0]:
+        while self.label[at] not in CONTENT and (step := [p for p in below.get(at, []) if self.label[p] in CONTAINERS and weight[p] >= CONTENT_SHARE * weight[0] > 0]):
             at = max(step, key=lambda p: weight[p])
         return at
 
     def text(self) -> str:
         if not self.nodes:
             return ""
-        root, inside = self.container(), [False] * len(self.parent)
+        chosen = self.chosen()
+        root, inside = self.container(chosen), [False] * len(self.parent)
+        above, p = set(), root
+        while p > 0:
+            p = self.parent[p]
+            above.add(p)
         for p in range(len(self.parent)):
             inside[p] = p == root or (p > 0 and inside[self.parent[p]])
-        total, linked = Counter(), Counter()
-        for _, own, _, part, link in self.nodes:
+        total, linked, good = Counter(), Counter(), Counter()
+        for _, own, leaf, part, link in self.nodes:
             total[own] += len(part)
             linked[own] += len(part) if link else 0
+            good[own] += len(part) if leaf in chosen else 0
+        kept = [inside[p] or 2 * good[p] >= total[p] > 0 or self.label[p] in HEADINGS and self.parent[p] in above for p in range(len(self.parent))]
         blocks: list[str] = []
         parts: list[str] = []
         last = None
         for block, own, _, part, _ in self.nodes:
-            if not inside[own] or linked[own] > LINK_SHARE * total[own] and self.label[own] != "p":
+            if not kept[own] or linked[own] > LINK_SHARE * total[own] and self.label[own] != "p":
                 continue
             if block != last and parts:
                 blocks.append("".join(parts))
