@@ -8,8 +8,10 @@ the container that most of the chosen text lies in, and ends at article or main.
 blocks are kept whose path isn't made of links; of the rest of the page the blocks whose path is above the
 threshold, and headings beside the container. Page order stays.
 
-Subtrees that say by their tag, class, id or role that they are menus, headers, footers,
-sidebars, notices, adverts, forms or comments are left out before. Blocks are joined by one
+Subtrees that say by their tag, or by a class, id or role that is or ends in a cue word, that they are
+menus, headers, footers, sidebars, notices, adverts, forms or comments are left out before. A cue word elsewhere in
+a name is a doubt: such subtrees have paths of their own and stay where those are above the threshold. Cues don't
+hold for article, main and what they lie in, or on pages with neither for what most of the chosen text lies in. Blocks are joined by one
 newline; white space inside a block, line breaks included, becomes one space. Null, empty and
 text-free pages give the empty string; broken markup never fails.
 """
@@ -58,26 +60,100 @@ CONTENT_SHARE = 0.6
 LINK_SHARE = 0.8
 
 
-def is_left_out(tag: str, attrs: str, in_article: bool) -> bool:
+#: What an element says of itself: it stays, a cue in doubt, a cue, a tag that goes.
+STAYS, DOUBT, CUE, GOES = range(4)
+
+
+def standing(tag: str, attrs: str, in_article: bool) -> int:
     if tag in LEFT_OUT_TAGS:
-        return True
+        return GOES
     names = [WORDS.findall(name) for _, *values in ATTRIBUTE.findall(attrs) for name in "".join(values).lower().split()] if attrs else []
     titles = [w for w in names if w and w[-1] == "header" and w[0] in OF_ARTICLE]
     if tag == "header" and not in_article and not titles:
-        return True
-    if tag in ("html", "body"):
-        return False
-    return any(cue in LEFT_OUT_CUES for w in names if w and w[0] not in NEGATIONS and w not in titles for cue in w)
+        return GOES
+    if tag in ("html", "body") or tag in CONTENT:
+        return STAYS
+    found = STAYS
+    for w in names:
+        for k, word in enumerate(w if w not in titles else ()):
+            if word in NEGATIONS:
+                break
+            if word in LEFT_OUT_CUES:
+                found = max(found, CUE if k == len(w) - 1 else DOUBT)
+    return found
 
 
 class Page:
     """The text nodes of a page: block number, path of the block, path of the leaf, text, whether in a link."""
 
     def __init__(self, source: str):
+        #: Elements in page order, the page itself first: the element around, tag, standing.
+        self.around, self.tags, self.standings = [0], [""], [STAYS]
+        #: Block number, element of the block, element, text (None: white space), whether in a link.
+        self.parts: list[tuple[int, int, int, str | None, bool]] = []
+        self.read(source)
+        self.exempt()
+        self.place([s >= CUE for s in self.standings])
+
+    def place(self, left_out: list[bool]) -> None:
+        """Paths of the elements, and the text nodes that aren't left out."""
         self.paths: dict[tuple[int, str], int] = {}
         self.parent, self.label = [-1], [""]
         self.nodes: list[tuple[int, int, int, str, bool]] = []
-        self.read(source)
+        own, out = [0], [False]
+        for e in range(1, len(self.tags)):
+            a = self.around[e]
+            out.append(out[a] or left_out[e])
+            own.append(own[a] if out[e] else self.path(own[a], self.tags[e] + "?" * (self.standings[e] == DOUBT)))
+        self.place_of = own
+        for block, of, leaf, part, link in self.parts:
+            if out[leaf]:
+                continue
+            if part is not None:
+                self.nodes.append((block, own[of], own[leaf], part, link))
+            elif self.nodes and self.nodes[-1][0] == block:
+                self.nodes.append((block, self.nodes[-1][1], self.nodes[-1][2], " ", False))
+
+    def exempt(self) -> None:
+        """Takes back cues of elements that hold the article."""
+        n, tags, around, standings = len(self.tags), self.tags, self.around, self.standings
+        if not any(s in (DOUBT, CUE) for s in standings):
+            return
+        gone, cued, in_main, in_article = [False], [False], [False], [False]
+        for e in range(1, n):
+            a = around[e]
+            gone.append(gone[a] or standings[e] == GOES)
+            cued.append(cued[a] or standings[e] in (DOUBT, CUE))
+            in_main.append(in_main[a] or tags[a] == "main")
+            in_article.append(in_article[a] or tags[a] == "article")
+        mains = [e for e in range(n) if tags[e] == "main" and not gone[e]]
+        articles = [e for e in range(n) if tags[e] == "article" and not gone[e] and not in_article[e]]
+        size = [0] * n
+        if mains or articles:
+            for _, _, leaf, part, _ in self.parts:
+                size[leaf] += 0 if part is None or gone[leaf] else len(part)
+        else:  # the chosen text, as if there were no cues
+            self.standings = [STAYS if s in (DOUBT, CUE) else s for s in standings]
+            self.place([s == GOES for s in self.standings])
+            self.standings, chosen = standings, self.chosen()
+            for _, _, leaf, part, _ in self.parts:
+                size[leaf] += len(part) if part is not None and not gone[leaf] and self.place_of[leaf] in chosen else 0
+        for e in range(n - 1, 0, -1):
+            size[around[e]] += size[e]
+        if mains or articles:
+            holds = set(mains)
+            if mains:  # an article in main under a cue counts if most of main lies in it
+                articles = [e for e in articles if in_main[e] and 2 * size[e] >= sum(size[m] for m in mains if not in_main[m])]
+            if articles:  # the longest; those under cues beside it are teasers or comments
+                holds.add(max(articles, key=lambda e: (size[e], not cued[e])))
+            for e in range(n - 1, 0, -1):
+                if e in holds:
+                    holds.add(around[e])
+        else:
+            holds = {e for e in range(n) if size[e] >= CONTENT_SHARE * size[0] > 0}
+        for e in holds:
+            if standings[e] in (DOUBT, CUE):
+                standings[e] = STAYS
 
     def path(self, above: int, tag: str) -> int:
         key = (above, tag)
@@ -88,25 +164,25 @@ class Page:
         return self.paths[key]
 
     def read(self, source: str) -> None:
-        stack: list[tuple[str, int, bool]] = []  # tag, path, left out
+        stack: list[tuple[str, int]] = []  # tag, element
         open_: Counter[str] = Counter()
         block = at = 0
         links = 0
 
         def pop() -> None:
             nonlocal links
-            tag, _, _ = stack.pop()
+            tag, _ = stack.pop()
             open_[tag] -= 1
             links -= tag == "a"
 
         def text(part: str) -> None:
-            if part and not part.isspace() and not (stack and stack[-1][2]):
+            if part and not part.isspace():
                 k = len(stack)
                 while k and stack[k - 1][0] in INLINE:
                     k -= 1
-                self.nodes.append((block, stack[k - 1][1] if k else 0, stack[-1][1] if stack else 0, part, links > 0))
-            elif part and self.nodes and self.nodes[-1][0] == block and not (stack and stack[-1][2]):
-                self.nodes.append((block, self.nodes[-1][1], self.nodes[-1][2], " ", False))
+                self.parts.append((block, stack[k - 1][1] if k else 0, stack[-1][1] if stack else 0, part, links > 0))
+            elif part:
+                self.parts.append((block, 0, stack[-1][1] if stack else 0, None, False))
 
         for m in TOKEN.finditer(source):
             text(source[at : m.start()])
@@ -142,9 +218,10 @@ class Page:
                         pop()
             if tag in VOID:
                 continue
-            out = stack[-1][2] if stack else False
-            out = out or is_left_out(tag, m["attrs"], open_["article"] > 0 or open_["main"] > 0)
-            stack.append((tag, self.path(stack[-1][1] if stack else 0, tag), out))
+            self.around.append(stack[-1][1] if stack else 0)
+            self.tags.append(tag)
+            self.standings.append(standing(tag, m["attrs"], open_["article"] > 0 or open_["main"] > 0))
+            stack.append((tag, len(self.tags) - 1))
             open_[tag] += 1
             links += tag == "a"
         text(source[at:])
@@ -192,14 +269,16 @@ class Page:
         while p > 0:
             p = self.parent[p]
             above.add(p)
+        doubted = [False] * len(self.parent)
         for p in range(len(self.parent)):
             inside[p] = p == root or (p > 0 and inside[self.parent[p]])
+            doubted[p] = self.label[p].endswith("?") or (p > 0 and doubted[self.parent[p]])
         total, linked, good = Counter(), Counter(), Counter()
         for _, own, leaf, part, link in self.nodes:
             total[own] += len(part)
             linked[own] += len(part) if link else 0
             good[own] += len(part) if leaf in chosen else 0
-        kept = [inside[p] or 2 * good[p] >= total[p] > 0 or self.label[p] in HEADINGS and self.parent[p] in above for p in range(len(self.parent))]
+        kept = [inside[p] and not doubted[p] or 2 * good[p] >= total[p] > 0 or self.label[p] in HEADINGS and self.parent[p] in above for p in range(len(self.parent))]
         blocks: list[str] = []
         parts: list[str] = []
         last = None

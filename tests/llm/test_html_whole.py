@@ -22,3 +22,25 @@ TEXT = LONG.strip()
 )
 def test_all_blocks_of_the_article_stay(page, text):
     assert main_text(page) == text
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<div class='content-sidebar-wrap'><main><p>{LONG}</p></main></div>", TEXT),
+        (f"<div class='page-with-sidebar'><p>{LONG}</p></div>", TEXT),
+        (f"<div class='layout-sidebar'><article><p>{LONG}</p></article></div>", TEXT),
+        (f"<div class='content-sidebar'><article><p>{LONG}</p></article></div><article><p>Short one.</p></article>", TEXT),
+        (f"<article class='post category-social'><p>{LONG}</p></article>", TEXT),
+        (f"<body><div class='tag-promo'><p>{LONG}</p></div><div><p>x</p></div></body>", f"{TEXT}\nx"),
+        (f"<article><p>{LONG}</p><div class='social-science'><p>{LONG}</p></div></article>", f"{TEXT}\n{TEXT}"),
+    ],
+)
+def test_cue_words_on_what_holds_the_article(page, text):
+    assert main_text(page) == text
+
+
+def test_cue_words_beside_the_article():
+    beside = f"<div class='site-sidebar'><p>{LONG}</p></div><div class='related'><article><p>{LONG}</p></article></div><div class='comments'><article class=comment>{LONG}</article></div>"
+    assert main_text(f"<body><article><p>{LONG}</p><ul class='share-list'><li><a href=x>Mail</a></ul></article>{beside}</body>") == TEXT
+    assert main_text(f"<body><main><p>{LONG}</p><p>{LONG}</p><div class='related'><article><p>{LONG[:60]}</p></article></div></main>{beside}</body>") == f"{TEXT}\n{TEXT}"
