@@ -31,11 +31,13 @@ from .common import as_text
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|title|textarea|iframe|noscript|template|svg|math|object|select|button)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]{0,4096}\"|'[^']{0,4096}')*+)>"
+    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+)>"
     r"|<[!?/][^>]*>",
     re.DOTALL | re.IGNORECASE,
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+#: All attributes are read, so that what stands inside the value of another isn't one; a quote that isn't closed is a plain character.
+ATTRIBUTE = re.compile(r"([^\s=>]++)\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))?+)?+")
+NAMING = frozenset("class id role".split())
 #: Fixed names of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split())
@@ -67,7 +69,7 @@ STAYS, DOUBT, CUE, GOES = range(4)
 def standing(tag: str, attrs: str, in_article: bool) -> int:
     if tag in LEFT_OUT_TAGS:
         return GOES
-    names = [WORDS.findall(name) for _, *values in ATTRIBUTE.findall(attrs) for name in "".join(values).lower().split()] if attrs else []
+    names = [WORDS.findall(name) for key, *values in ATTRIBUTE.findall(attrs) if key.lower() in NAMING for name in "".join(values).lower().split()] if attrs else []
     titles = [w for w in names if w and w[-1] == "header" and w[0] in OF_ARTICLE]
     if tag == "header" and not in_article and not titles:
         return GOES

@@ -44,3 +44,25 @@ def test_cue_words_beside_the_article():
     beside = f"<div class='site-sidebar'><p>{LONG}</p></div><div class='related'><article><p>{LONG}</p></article></div><div class='comments'><article class=comment>{LONG}</article></div>"
     assert main_text(f"<body><article><p>{LONG}</p><ul class='share-list'><li><a href=x>Mail</a></ul></article>{beside}</body>") == TEXT
     assert main_text(f"<body><main><p>{LONG}</p><p>{LONG}</p><div class='related'><article><p>{LONG[:60]}</p></article></div></main>{beside}</body>") == f"{TEXT}\n{TEXT}"
+
+
+DATA = "data:image/png;base64," + "iVBORw0KGgo+/AAAA" * 6000  # 100 KB
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<article><p>{LONG}</p><p><img src=\"{DATA}\" alt=\"a > b\">After it.</p></article>", f"{TEXT}\nAfter it."),
+        (f"<body><article data-json='{{\"class=ad\": \"<p class=\"ad\">{DATA}\"}}'><p>{LONG}</p></article><div>x</div></body>", TEXT),
+        (f"<div style='{DATA}' class=ad>Buy.</div><p>{LONG}</p>", TEXT),
+        (f"<div data-x='id=\"sidebar\" {DATA}'><p>Text, one.</p></div>", "Text, one."),
+        ("<p title=it's>It's one, don't.</p><p class=\"x\"\">Two, \"too\".</p>", "It's one, don't.\nTwo, \"too\"."),
+        ("<p>One, two.</p><p class=\"y>Three, four.</p><p class='z>Five, six.</p>", "One, two.\nThree, four.\nFive, six."),
+    ],
+)
+def test_long_attributes_and_unclosed_quotes(page, text):
+    assert main_text(page) == text
+
+
+def test_broken_quotes_take_no_more_than_a_pass():
+    assert main_text("<p>Text, one.</p>" + "<a x=\"y>" * 40_001).startswith("Text, one.")
