@@ -5,8 +5,9 @@ added up per path and divided by the path's node count; both ratios are smoothed
 paths under the same parent, fused into one and compared with a threshold. The paths above it
 vote for the part of the tree that holds the article: from the root downwards the walk follows
 the container that most of the chosen text lies in, and ends at article or main. Of that part all
-blocks are kept whose path isn't made of links; of the rest of the page the blocks whose path is above the
-threshold, and headings beside the container. Page order stays.
+blocks are kept, of the rest of the page the blocks whose path is above the threshold, and headings beside the
+container. Outside article and main a block goes if it and its path are made of links and the path is below the
+threshold; paragraphs and headings never do. Page order stays.
 
 Subtrees that say by their tag, or by a class, id or role that is or ends in a cue word, that they are
 menus, headers, footers, sidebars, notices, adverts, forms or comments are left out before. A cue word elsewhere in
@@ -44,6 +45,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CONTAINERS = frozenset("html body main article div center".split())
 CONTENT = frozenset("main article".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+NEVER_LINKS = HEADINGS | {"p"}
 LEFT_OUT_TAGS = frozenset("head nav footer aside form dialog menu".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": set()}
@@ -271,21 +273,26 @@ class Page:
         while p > 0:
             p = self.parent[p]
             above.add(p)
-        doubted = [False] * len(self.parent)
+        doubted, content = [False] * len(self.parent), [False] * len(self.parent)
         for p in range(len(self.parent)):
             inside[p] = p == root or (p > 0 and inside[self.parent[p]])
+            content[p] = self.label[p] in CONTENT or (p > 0 and content[self.parent[p]])
             doubted[p] = self.label[p].endswith("?") or (p > 0 and doubted[self.parent[p]])
         total, linked, good = Counter(), Counter(), Counter()
-        for _, own, leaf, part, link in self.nodes:
+        block_total, block_linked = Counter(), Counter()
+        for block, own, leaf, part, link in self.nodes:
             total[own] += len(part)
             linked[own] += len(part) if link else 0
+            block_total[block] += len(part)
+            block_linked[block] += len(part) if link else 0
             good[own] += len(part) if leaf in chosen else 0
         kept = [inside[p] and not doubted[p] or 2 * good[p] >= total[p] > 0 or self.label[p] in HEADINGS and self.parent[p] in above for p in range(len(self.parent))]
+        links = [linked[p] > LINK_SHARE * total[p] and 2 * good[p] < total[p] and not content[p] and self.label[p].rstrip("?") not in NEVER_LINKS for p in range(len(self.parent))]
         blocks: list[str] = []
         parts: list[str] = []
         last = None
         for block, own, _, part, _ in self.nodes:
-            if not kept[own] or linked[own] > LINK_SHARE * total[own] and self.label[own] != "p":
+            if not kept[own] or links[own] and block_linked[block] > LINK_SHARE * block_total[block]:
                 continue
             if block != last and parts:
                 blocks.append("".join(parts))

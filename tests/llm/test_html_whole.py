@@ -66,3 +66,19 @@ def test_long_attributes_and_unclosed_quotes(page, text):
 
 def test_broken_quotes_take_no_more_than_a_pass():
     assert main_text("<p>Text, one.</p>" + "<a x=\"y>" * 40_001).startswith("Text, one.")
+
+
+ITEM = "<li><a href=x>A reference to a page of another site</a></li>"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<article><h1><a href=x>Title</a></h1><p>{LONG}</p></article>", f"Title\n{TEXT}"),
+        (f"<div><h2><a href=x>Title</a></h2><p>{LONG}</p></div>", f"Title\n{TEXT}"),
+        (f"<main><p>{LONG}</p><ul>{ITEM * 5}<li>Plain.</li></ul></main>", f"{TEXT}\n" + "A reference to a page of another site\n" * 5 + "Plain."),
+        (f"<div><p>{LONG}</p><ul>{ITEM * 5}<li>Plain.</li></ul></div>", f"{TEXT}\nPlain."),
+    ],
+)
+def test_linked_blocks(page, text):
+    assert main_text(page) == text
