@@ -12,16 +12,14 @@ from cuelake.llm import bpe, jaccard, langid, mixing, pii
 from cuelake.llm.common import table, written
 from cuelake.llm.queries import tokenizer_path
 
-#: Documents whose best language has less than this score are rejected, and those without a letter.
-LEAST_LANGUAGE_SCORE = 0.5
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the rows with a lang, rejects documents of no clear language, and sets lang to the one found."""
+    """Learns from the rows with a lang, rejects documents without a letter, and sets lang to the one found, where there are rows to learn from."""
     model = langid.fit(docs.filter("lang IS NOT NULL").select("doc_id", "text", "lang"))
+    if not model["langs"]:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     found = langid.predict_with(docs, model, docs.columns, "__lang", "__score")
-    kept = found.filter((F.col("__lang") != langid.UNKNOWN) & (F.col("__score") >= LEAST_LANGUAGE_SCORE))
-    return kept.withColumn("lang", F.col("__lang")).select(*docs.columns)
+    return found.filter(F.col("__lang") != langid.UNKNOWN).withColumn("lang", F.col("__lang")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

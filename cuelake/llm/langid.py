@@ -23,7 +23,7 @@ from .common import as_text, bucket_of
 
 LETTERS = regex.compile(r"\p{L}+")
 LONGEST = 5
-#: The fit's bounds: expected documents of each language, words and n-grams kept of each language.
+#: The fit's bounds: expected documents of each language, words and n-grams of each length kept of each language.
 DOCS_PER_LANGUAGE = 1500
 WORDS_PER_LANGUAGE = 20_000
 GRAMS_PER_LANGUAGE = 20_000
@@ -65,7 +65,7 @@ def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> dict
     sample = labelled.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
     counted = sample.select("lang", "text").mapInPandas(count_partition, "lang string, n int, gram string, k long").groupBy("lang", "n", "gram").agg(F.sum("k").alias("k"))
     total = {(r["lang"], r["n"]): (r["k"], r["v"]) for r in counted.groupBy("lang", "n").agg(F.sum("k").alias("k"), F.count("*").alias("v")).collect()}
-    best = Window.partitionBy("lang", F.col("n") > 0).orderBy(F.col("k").desc(), "n", "gram")
+    best = Window.partitionBy("lang", "n").orderBy(F.col("k").desc(), "gram")
     kept = counted.withColumn("rank", F.row_number().over(best)).filter((F.col("rank") <= F.when(F.col("n") > 0, GRAMS_PER_LANGUAGE).otherwise(WORDS_PER_LANGUAGE)) & ((F.col("n") > 0) | (F.col("k") > 1)))
     rows = kept.select("lang", "n", "gram", "k").toPandas()
     return build(sorted(sizes), total, rows.itertuples(index=False, name=None))
