@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -77,6 +78,26 @@ def word_hashes(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, ends, mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+_CLASSES: dict[tuple[str, ...], np.ndarray] = {}
+
+
+def code_point_classes(patterns: tuple[str, ...]) -> np.ndarray:
+    """For each code point 1 + the number of the first pattern that its character matches, or 0."""
+    if patterns not in _CLASSES:
+        own = np.zeros(0x110000, dtype=np.uint8)
+        for low, high in ((0, 0xD800), (0xE000, 0x110000)):
+            every = "".join(map(chr, range(low, high)))
+            for k, pattern in reversed(list(enumerate(patterns, 1))):
+                for m in regex.finditer(pattern, every):
+                    own[low + m.start() : low + m.end()] = k
+        _CLASSES[patterns] = own
+    return _CLASSES[patterns]
+
+
 def bucket_of(column: str, modulus: int):
     """crc32 of an id as text, modulo: the deal of documents into folds."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

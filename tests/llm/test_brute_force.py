@@ -194,7 +194,7 @@ ODD = ["", "a", "<|endoftext|>", "x <|endoftext|><|endoftext|> y", "   x\x1c y\x
 
 def test_bpe(spark):
     tokenizer = pytest.importorskip("tokenizers").Tokenizer.from_file(queries.tokenizer_path())
-    codec = bpe.ByteLevelCodec(bpe.load_vocabulary(queries.tokenizer_path()), cache_words=50)
+    codec = bpe.ByteLevelCodec(bpe.load_vocabulary(queries.tokenizer_path()), slots=64, pool=100)
     texts = {r.doc_id: r.text for r in table(spark, "documents").collect()}
     for text in ODD + list(texts.values())[:40]:
         ids = tokenizer.encode(text, add_special_tokens=False).ids
