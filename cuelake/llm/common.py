@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stage_root(spark: SparkSession) -> str:
-    """The folder shared by driver and executors: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder shared by driver and executors: spark.checkpoint.dir; where that is unset a temporary one, if all runs on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _OWN_ROOT:
             _OWN_ROOT.append(f"file://{tempfile.mkdtemp(prefix='stage-')}")
         root = _OWN_ROOT[0]
@@ -41,7 +44,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.stage_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more: all that came of them has been written in its turn."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.stage_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Bytes of a batch that goes to Python.
+BATCH_BYTES = "4m"
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def mapped(df: DataFrame, run, schema: str) -> DataFrame:
+    """mapInPandas in batches of BATCH_BYTES, where the session sets no limit of its own: rows with whole texts fill a task's memory long before they are as many as Spark's default."""
+    if df.sparkSession.conf.get(_BATCHES, None) is None:
+        df.sparkSession.conf.set(_BATCHES, BATCH_BYTES)
+    return df.mapInPandas(run, schema)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -134,4 +159,4 @@ def packed(df: DataFrame, keep: list[str]) -> DataFrame:
             out["packed"] = [pack_text(t) for t in batch["text"]]
             yield out
 
-    return df.select(*keep, "text").mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", packed binary")
+    return mapped(df.select(*keep, "text"), run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", packed binary")

@@ -5,20 +5,23 @@ Two sets with 100 * intersection >= 80 * union share k of their first n - ceil(0
 under any common order, so classes meet in the groups of these leading members; k grows with the
 set (1 + n div 20), and a class that shares fewer than k of a set of 0.8 n has no link and goes.
 The order puts members that are common in the corpus last, which keeps passages that many
-documents share out of the groups of documents that are otherwise different.
-
-Links are found in two steps, since only reachability counts:
-
-1. In each group every class is compared with one leader, the class with the largest part of
-   shared leading members. That joins a family of near copies without its pairs.
-2. Groups that still hold several components are searched in full. Their classes are put in blocks
-   of bounded size; each pair of blocks that isn't of one component is a task of its own. There
-   each block is a signature tree: nodes hold the OR of 1024-bit token bitmaps, the range of set
-   sizes and the component, and a dual traversal leaves out pairs of nodes whose largest possible
-   overlap is too small or that are one component already. The pairs of leaves that remain are
-   verified on the whole sets.
-
-Nothing is sampled or capped: a member not recognised as common costs time, not links.
+documents share out of the groups of documents that are otherwise different. Leading members with the
+same classes make one group, which counts as often as it has members.
+
+Every group is a set of signature trees, of BLOCK_ROWS leaves at most: nodes hold the OR of 1024-bit
+token bitmaps, the range of set sizes and the component. They are searched twice, since only reachability
+counts:
+
+1. A group's leader, the class with the largest part of shared leading members, goes down each of
+   its trees; nodes that can't overlap enough are left out. Each class is verified with the leader that it
+   meets most often. That joins a family of near copies without its pairs.
+2. Groups that still hold several components get trees by size range and component. The roots of the trees say which
+   pairs of trees can hold a link at all; each of these is a task of its own, where a dual traversal leaves
+   out pairs of nodes whose largest possible overlap is too small or that are one component
+   already. The pairs of leaves that remain are verified on the whole sets.
+
+No text moves before the trees have been searched. Nothing is sampled or capped: a member not recognised
+as common costs time, not links.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import as_bytes, mix64, packed, unpack_text, word_hashes, written
+from .common import as_bytes, discard, mapped, mix64, packed, unpack_text, word_hashes, written
 from .graph import components
 
 SHINGLE = 5
@@ -39,10 +42,9 @@ PERCENT = 80
 DEPTH = 20
 #: Members seen so often within one stretch of documents are counted; the most frequent are put last in the order.
 COMMON_IN_STRETCH = 3
-STRETCH_BYTES = 1 << 25
+STRETCH_BYTES = 1 << 24
 COMMON_KEPT = 200_000
 GROUP_ROWS = 1000
-SMALL_GROUP = 24
 BLOCK_ROWS = 1024
 BITS = 1024
 FANOUT = 16
@@ -72,16 +74,26 @@ def leading(n: int) -> int:
     return n - (PERCENT * n + 99) // 100 + 1 + n // DEPTH
 
 
+def bitmap_of(members: np.ndarray) -> bytes:
+    bits = np.zeros(BITS, dtype=np.uint8)
+    bits[(members & np.uint64(BITS - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
+FIRST = "doc_id long, cls long, n long, bitmap binary, times long"
+
+
 def first_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Members of the result (doc_id, cls, n), and as rows without an n the members common in a stretch of distinct sets."""
+    """Members of the result (doc_id, cls, n, and a bitmap where the class is new here), and as rows without an n the members common in a stretch of distinct sets."""
     stretch: list[np.ndarray] = []
     seen: set[int] = set()
     size = 0
+    whole = {"doc_id": "Int64", "n": "Int64", "times": "Int64"}
 
     def common() -> pd.DataFrame:
         found, times = np.unique(np.concatenate(stretch), return_counts=True)
         often = times >= COMMON_IN_STRETCH
-        return pd.DataFrame({"doc_id": None, "cls": found[often].astype(np.int64), "n": None, "times": times[often]}).astype({"doc_id": "Int64", "n": "Int64", "times": "Int64"})
+        return pd.DataFrame({"doc_id": None, "cls": found[often].astype(np.int64), "n": None, "bitmap": None, "times": times[often]}).astype(whole)
 
     for batch in batches:
         rows = []
@@ -89,8 +101,9 @@ def first_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             data = as_bytes(text)
             members = shingle_set(data)
             cls = class_of(members)
-            rows.append((key, cls, len(members)))
-            if len(members) and cls not in seen:
+            fresh = len(members) and cls not in seen
+            rows.append((key, cls, len(members), bitmap_of(members) if fresh else None, None))
+            if fresh:
                 seen.add(cls)
                 stretch.append(members)
                 size += len(data)
@@ -99,9 +112,7 @@ def first_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     stretch.clear()
                     seen.clear()
                     size = 0
-        out = pd.DataFrame(rows, columns=["doc_id", "cls", "n"]).astype({"doc_id": "Int64", "n": "Int64"})
-        out["times"] = pd.array([None] * len(out), dtype="Int64")
-        yield out
+        yield pd.DataFrame(rows, columns=["doc_id", "cls", "n", "bitmap", "times"]).astype(whole)
     if stretch:
         yield common()
 
@@ -172,41 +183,121 @@ def dual_traversal(x: SignatureTree, y: SignatureTree, same: bool) -> tuple[np.n
     return (i[i != j], j[i != j]) if same else (i, j)
 
 
-def search_blocks(group: pd.DataFrame) -> pd.DataFrame:
-    """Candidate pairs of one pair of blocks of one group; a pair goes out only in the first large group that both are in."""
-    group = group.sort_values(["n", "cls"], ignore_index=True)
-    own = int(group["token"].iloc[0])
-    left, right = int(group["i"].iloc[0]), int(group["j"].iloc[0])
+def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The stretches of rows that agree in some columns, of rows sorted by these."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        own = batch[keys].to_numpy()
+        cuts = np.flatnonzero((own[1:] != own[:-1]).any(axis=1)) + 1
+        bounds = [0, *cuts.tolist(), len(batch)]
+        if held and (held[-1][keys].iloc[-1].to_numpy() != own[0]).any():
+            yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
+            held = []
+        for low, high in zip(bounds, bounds[1:], strict=False):
+            held.append(batch.iloc[low:high])
+            if high < len(batch):
+                yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
+                held = []
+    if held:
+        yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
+
+
+def tree_of(cls: np.ndarray, n: np.ndarray, comp: np.ndarray, bitmap: list[bytes]) -> tuple[SignatureTree, np.ndarray]:
+    """The tree over some classes, put in order of component and size, and the classes in that order."""
+    order = np.lexsort((cls, n, comp))
+    bits = np.frombuffer(b"".join(bitmap), dtype=np.uint64).reshape(len(cls), -1)
+    return SignatureTree(bits[order], n[order].astype(np.int64), comp[order].astype(np.int64)), cls[order]
+
+
+def columns_of(rows: pd.DataFrame, *names: str) -> list:
+    return [rows[c].to_numpy() for c in names] + [rows["bitmap"].to_list()]
+
+
+def pairs_frame(found: list[tuple[np.ndarray, np.ndarray, int]]) -> pd.DataFrame:
+    a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    return pd.DataFrame({"a": a, "b": b, "weight": np.repeat([f[2] for f in found], [len(f[0]) for f in found])})
+
+
+def search_by_leader(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by group and block: (leader, class, weight) where the leader's way down the tree ends at the class."""
+    found: list[tuple[np.ndarray, np.ndarray, int]] = []
+    for group in runs(batches, ["gid", "block"]):
+        cls, lead = group["cls"].to_numpy(), int(group["lead"].iloc[0])
+        at = int(np.flatnonzero(cls == lead)[0])
+        group = group.iloc[np.flatnonzero((cls != lead) | (np.arange(len(cls)) == at))]
+        cls, n, bitmap = columns_of(group, "cls", "n")
+        tree, own = tree_of(cls, n, cls, bitmap)
+        k = np.flatnonzero(own == lead)
+        bits, sizes = tree.levels[0][0][k], tree.levels[0][1][k]
+        _, j = dual_traversal(SignatureTree(bits, sizes, own[k]), tree, False)
+        if len(j):
+            found.append((np.full(len(j), lead), own[j], int(group["weight"].iloc[0])))
+        if len(found) >= 1000:
+            yield pairs_frame(found)
+            found = []
+    if found:
+        yield pairs_frame(found)
+
+
+def roots_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by group and block: the root of each block's tree."""
+    for batch in batches_of(
+        ((int(g["gid"].iloc[0]), int(g["block"].iloc[0]), *(x[0] for x in tree_of(*columns_of(g, "cls", "n", "comp"))[0].levels[-1])) for g in runs(batches, ["gid", "block"])), 1000
+    ):
+        out = pd.DataFrame(batch, columns=["gid", "block", "bitmap", "low", "high", "slack", "comp"])
+        out["bitmap"] = [b.tobytes() for b in out["bitmap"]]
+        yield out
+
 
-    def tree(part: pd.DataFrame) -> SignatureTree:
-        bitmaps = np.stack(part["bitmap"].to_list()).astype(np.int64).view(np.uint64)
-        return SignatureTree(bitmaps, part["n"].to_numpy(dtype=np.int64), part["comp"].to_numpy(dtype=np.int64))
+def batches_of(rows: Iterator[tuple], size: int) -> Iterator[list[tuple]]:
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) == size:
+            yield held
+            held = []
+    if held:
+        yield held
 
-    a, b = (group[group["block"] == k].reset_index(drop=True) for k in (left, right))
-    if not len(a) or not len(b):
-        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-    x = tree(a)
-    i, j = dual_traversal(x, x if left == right else tree(b), left == right)
-    firsts_a, firsts_b = [set(t.tolist()) for t in a["tokens"]], [set(t.tolist()) for t in b["tokens"]]
-    keep = np.array([min(firsts_a[p] & firsts_b[q]) == own for p, q in zip(i.tolist(), j.tolist(), strict=True)], dtype=bool)
-    return pd.DataFrame({"a": a["cls"].to_numpy()[i[keep]] if len(i) else np.zeros(0, np.int64), "b": b["cls"].to_numpy()[j[keep]] if len(j) else np.zeros(0, np.int64)})
+
+def root_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The pairs of blocks of which the roots don't say that no link is in them."""
+    for batch in batches:
+        x, y = ((np.frombuffer(b"".join(batch[f"{s}_bitmap"]), dtype=np.uint64).reshape(len(batch), -1), *(batch[f"{s}_{c}"].to_numpy(dtype=np.int64) for c in ("low", "high", "slack", "comp"))) for s in "xy")
+        at = np.arange(len(batch))
+        keep = possible(x, at, y, at)
+        yield batch.loc[keep, ["gid", "i", "j"]]
+
+
+def search_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by group and pair of blocks: the candidate pairs of each pair of trees."""
+    found: list[tuple[np.ndarray, np.ndarray, int]] = []
+    for group in runs(batches, ["gid", "i", "j"]):
+        i, j, block = int(group["i"].iloc[0]), int(group["j"].iloc[0]), group["block"].to_numpy()
+        x, own_x = tree_of(*columns_of(group[block == i], "cls", "n", "comp"))
+        y, own_y = (x, own_x) if i == j else tree_of(*columns_of(group[block == j], "cls", "n", "comp"))
+        p, q = dual_traversal(x, y, i == j)
+        if len(p):
+            found.append((np.minimum(own_x[p], own_y[q]), np.maximum(own_x[p], own_y[q]), 1))
+        if len(found) >= 1000:
+            yield pairs_frame(found)
+            found = []
+    if found:
+        yield pairs_frame(found)
 
 
 def check_class(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The texts that have the wanted class, since rows may share an id, with size and bitmap of their sets."""
+    """The texts that have the wanted class, since rows may share an id."""
     seen: set[int] = set()
     for batch in batches:
         rows = []
         for text, cls in zip(batch["packed"], batch["wanted"], strict=True):
-            if cls in seen:  # a repeated row
-                continue
-            own = shingle_set(unpack_text(text))
-            if class_of(own) == cls:
-                seen.add(cls)
-                bits = np.zeros(BITS, dtype=np.uint8)
-                bits[(own & np.uint64(BITS - 1)).astype(np.int64)] = 1
-                rows.append((cls, len(own), text, np.packbits(bits).view(np.int64)))
-        yield pd.DataFrame(rows, columns=["cls", "n", "packed", "bitmap"])
+            if cls not in seen and class_of(shingle_set(unpack_text(text))) == cls:
+                seen.add(cls)  # else a repeated row
+                rows.append((cls, text))
+        yield pd.DataFrame(rows, columns=["cls", "packed"])
 
 
 def check_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -218,44 +309,23 @@ def check_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[keep, ["a", "b"]]
 
 
-def verified(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes that are links, on their whole texts; those travel packed, which is smaller than their sets."""
+    needed = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    wanted = classes.join(needed, "cls", "left_semi").select("doc_id", F.col("cls").alias("wanted"))
+    texts = packed(docs, ["doc_id"])
+    rows = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"])).select("packed", "wanted")
+    facts = written(mapped(rows, check_class, "cls long, packed binary"), "jaccard-facts")
     left = facts.select(F.col("cls").alias("a"), F.col("packed").alias("__a"))
     right = facts.select(F.col("cls").alias("b"), F.col("packed").alias("__b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "__a", "__b").mapInPandas(check_pairs, "a long, b long")
-
-
-def can_overlap(pairs: DataFrame, facts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose bitmaps leave room for a link: shared members fall on shared bits."""
-    facts = facts.select("cls", "n", "bitmap", (F.col("n") - ones(F.col("bitmap"))).alias("slack"))
-    left = facts.select(F.col("cls").alias("a"), F.struct("n", "bitmap", "slack").alias("__a"))
-    right = facts.select(F.col("cls").alias("b"), F.struct("n", "bitmap", "slack").alias("__b"))
-    both = ones(F.zip_with("__a.bitmap", "__b.bitmap", lambda x, y: x.bitwiseAND(y)))
-    most = both + F.least("__a.slack", "__b.slack")
-    return pairs.join(left, "a").join(right, "b").filter(overlap_enough(most, F.col("__a.n"), F.col("__b.n"))).select("a", "b")
+    out = written(mapped(pairs.join(left, "a").join(right, "b").select("a", "b", "__a", "__b"), check_pairs, "a long, b long"), "jaccard-links")
+    discard(facts)
+    return out
 
 
-def ones(bitmap):
-    return F.aggregate(bitmap, F.lit(0), lambda t, x: t + F.bit_count(x))
-
-
-def similar_sizes(a: str, b: str):
-    return (100 * F.col(a) >= PERCENT * F.col(b)) & (100 * F.col(b) >= PERCENT * F.col(a))
-
-
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row.
-
-    component_id is the smallest id that links reach. A text without words (null, empty, blank) has
-    an empty set, no links, and its own id. Rows that repeat an id are documents of their own with
-    the same id; a null id counts as the largest.
-    """
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    first = written(docs.mapInPandas(first_pass, "doc_id long, cls long, n long, times long"), "jaccard-first")
-    members = first.filter("n IS NOT NULL").select("doc_id", "cls", "n")
-    common = first.filter("times IS NOT NULL").groupBy("cls").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "cls").limit(COMMON_KEPT).toPandas()  # at most COMMON_KEPT
-    shared = df.sparkSession.sparkContext.broadcast((common["cls"].to_numpy(dtype=np.int64).astype(np.uint64), common["times"].to_numpy(dtype=np.int64)))
-    classes = written(members.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "jaccard-classes")
+def leading_members(docs: DataFrame, common: pd.DataFrame) -> DataFrame:
+    """(token, salt, cls): the leading members of every class, common ones with a salt, which keeps rows of the next step small."""
+    shared = docs.sparkSession.sparkContext.broadcast((common["cls"].to_numpy(dtype=np.int64).astype(np.uint64), common["times"].to_numpy(dtype=np.int64)))  # at most COMMON_KEPT
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         order = np.argsort(shared.value[0])
@@ -282,53 +352,83 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             if cls:
                 yield pd.DataFrame({"token": np.concatenate(token).astype(np.int64), "salt": np.concatenate(salt), "cls": np.concatenate(cls)})
 
-    groups = docs.select("text").mapInPandas(tokens, "token long, salt long, cls long").groupBy("token", "salt").agg(F.collect_set("cls").alias("own")).filter("size(own) > 1 OR salt > 0")
-    edges = written(groups.select("token", F.explode("own").alias("cls")), "jaccard-edges")
+    return mapped(docs.select("text"), tokens, "token long, salt long, cls long")
+
+
+def leaves_of(docs: DataFrame, classes: DataFrame, common: pd.DataFrame) -> DataFrame:
+    """(gid, weight, cls, n, bitmap, score): the leaves of all trees. A group stands for `weight` leading members with the same classes."""
+    groups = leading_members(docs, common).groupBy("token", "salt").agg(F.array_sort(F.collect_set("cls")).alias("own")).filter("size(own) > 1 OR salt > 0")
+    alone = F.when(F.col("salt") > 0, F.col("token"))  # parts of a common member's group come together again by its name
+    groups = groups.groupBy(alone.alias("alone"), F.xxhash64("own").alias("h1"), F.xxhash64("own", F.lit(1)).alias("h2")).agg(F.min("token").alias("gid"), F.count("*").alias("weight"), F.first("own").alias("own"))
+    edges = written(groups.select("gid", "weight", F.explode("own").alias("cls")), "jaccard-edges")
     lead = F.col("n") - F.expr(f"({PERCENT} * n + 99) div 100") + 1 + F.expr(f"n div {DEPTH}")
-    degree = edges.groupBy("cls").count().join(classes, "cls").filter(f"count >= 1 + {PERCENT} * n div {100 * DEPTH}")  # of a partner with 0.8 n at least
-    degree = degree.select("cls", "n", (F.col("count") * 1000 / lead).cast("int").alias("score"))
-    scored = written(edges.join(degree, "cls"), "jaccard-scored")
+    degree = edges.groupBy("cls").agg(F.sum("weight").alias("met")).join(classes.select("cls", "n", "bitmap"), "cls").filter(f"met >= 1 + {PERCENT} * n div {100 * DEPTH}")  # of a partner with 0.8 n at least
+    out = written(edges.join(degree.select("cls", "n", "bitmap", (F.col("met") * 1000 / lead).cast("int").alias("score")), "cls").select("gid", "weight", "cls", "n", "bitmap", "score"), "jaccard-leaves")
+    discard(edges)
+    return out
+
+
+def leader_pairs(leaves: DataFrame) -> DataFrame:
+    """(a, b): for each class b the leader a that it meets most often by way of the trees."""
+    groups = leaves.groupBy("gid").agg(F.count("*").alias("rows"), F.max(F.struct("score", "cls"))["cls"].alias("lead")).filter("rows > 1")
+    slices = F.floor(F.col("rows") / BLOCK_ROWS).cast("int") + 1
+    own = F.when(F.col("cls") == F.col("lead"), F.sequence(F.lit(0), slices - 1)).otherwise(F.array(F.pmod(F.xxhash64("cls"), slices).cast("int")))  # the leader meets each tree of its group
+    dealt = leaves.join(groups, "gid").select("gid", F.explode(own).alias("block"), "weight", "cls", "n", "bitmap", "lead")
+    dealt = dealt.repartition("gid", "block").sortWithinPartitions("gid", "block")
+    votes = mapped(dealt, search_by_leader, "a long, b long, weight long").groupBy("b", "a").agg(F.sum("weight").alias("votes"))
+    return written(votes.groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a")).select("a", "b"), "jaccard-stars")
+
+
+def open_pairs(leaves: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b): candidates between the components that still meet in a group."""
+    placed = leaves.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("gid", "cls", "n", "bitmap", F.coalesce("label", "cls").alias("comp"))
+    mixed = placed.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("gid")
+    left = written(placed.join(mixed, "gid").withColumn("range", F.floor(F.log("n") / F.log(F.lit(100 / PERCENT))).cast("long")), "jaccard-open")  # a link reaches the next range at most
+    of_range = left.groupBy("gid", "range").agg(F.count("*").alias("of_range"))
+    of_comp = left.groupBy("gid", "range", "comp").agg(F.count("*").alias("of_comp"))
+    slice_ = F.when(F.col("of_comp") >= BLOCK_ROWS, F.xxhash64("comp", F.pmod("cls", F.floor(F.col("of_comp") / BLOCK_ROWS) + 1))).otherwise(F.pmod(F.xxhash64("comp"), F.floor(F.col("of_range") / BLOCK_ROWS) + 1))
+    blocks = left.join(of_range, ["gid", "range"]).join(of_comp, ["gid", "range", "comp"]).select("gid", F.xxhash64("range", slice_).alias("block"), "range", "cls", "n", "bitmap", "comp")
+    blocks = written(blocks, "jaccard-blocks")
+    roots = written(mapped(blocks.drop("range").repartition("gid", "block").sortWithinPartitions("gid", "block"), roots_of, "gid long, block long, bitmap binary, low long, high long, slack long, comp long"), "jaccard-roots")
+    ranges = blocks.select("gid", "block", "range").distinct()
+    placed_roots = roots.join(ranges, ["gid", "block"])
+    side = lambda s, b: placed_roots.select("gid", F.col("range").alias(f"{s}_range"), F.col("block").alias(b), *[F.col(c).alias(f"{s}_{c}") for c in ("bitmap", "low", "high", "slack", "comp")])
+    near = side("x", "i").withColumn("y_range", F.explode(F.array("x_range", F.col("x_range") + 1))).join(side("y", "j"), ["gid", "y_range"]).filter("x_range < y_range OR i <= j")
+    tasks = mapped(near.select("gid", "i", "j", *[f"{s}_{c}" for s in "xy" for c in ("bitmap", "low", "high", "slack", "comp")]), root_pairs, "gid long, i long, j long")
+    tasks = written(tasks, "jaccard-tasks")
+    dealt = tasks.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
+    rows = blocks.drop("range").join(dealt, ["gid", "block"]).repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j")
+    out = written(mapped(rows, search_blocks, "a long, b long, weight long").select("a", "b").distinct(), "jaccard-pairs")
+    discard(left, blocks, roots, tasks)
+    return out
 
-    wanted = classes.join(scored.select("cls").distinct(), "cls", "left_semi").select("doc_id", F.col("cls").alias("wanted"))
-    texts = packed(docs, ["doc_id"])
-    rows = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"])).select("packed", "wanted")
-    facts = written(rows.mapInPandas(check_class, "cls long, n long, packed binary, bitmap array<long>"), "jaccard-facts")
 
-    leaders = scored.groupBy("token").agg(F.max(F.struct("score", "cls", "n")).alias("lead")).select("token", F.col("lead.cls").alias("a"), F.col("lead.n").alias("a_n"))
-    votes = scored.join(leaders, "token").filter("cls <> a").filter(similar_sizes("n", "a_n")).groupBy("cls", "a").count()
-    stars = votes.groupBy("cls").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", F.col("cls").alias("b"))  # the leader of most of its groups
-    links = written(verified(stars, facts), "jaccard-links")
-    labels = components(links)
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row.
 
-    placed = scored.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("token", "cls", "n", F.coalesce("label", "cls").alias("comp"))
-    open_ = written(placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows")).filter("low <> high").select("token", "rows"), "jaccard-open")
-    left = written(placed.join(open_, "token"), "jaccard-left")
-    small = left.filter(F.col("rows") <= SMALL_GROUP).groupBy("token").agg(F.collect_list(F.struct("cls", "n", "comp")).alias("own"))  # at most SMALL_GROUP each
-    pairs = small.select(F.explode("own").alias("x"), "own").select("x", F.explode("own").alias("y")).filter("x.cls < y.cls AND x.comp <> y.comp").select("x.*", F.struct("y.cls", "y.n").alias("y"))
-    pairs = pairs.select(F.col("cls").alias("a"), F.col("n").alias("a_n"), F.col("y.cls").alias("b"), F.col("y.n").alias("b_n")).filter(similar_sizes("a_n", "b_n")).select("a", "b")
-
-    large = left.filter(F.col("rows") > SMALL_GROUP)
-    per_comp = large.groupBy("token", "comp").agg(F.count("*").alias("of_comp"))
-    blocks = large.join(per_comp, ["token", "comp"]).withColumn(
-        "block",
-        F.when(F.col("of_comp") >= BLOCK_ROWS, F.xxhash64("comp", F.pmod("cls", F.floor(F.col("of_comp") / BLOCK_ROWS).cast("long") + 1))).otherwise(F.pmod(F.xxhash64("comp"), F.floor(F.col("rows") / BLOCK_ROWS).cast("long") + 1)),
-    )
-    blocks = written(blocks.select("token", "cls", "n", "comp", "block", F.when(F.col("of_comp") >= BLOCK_ROWS, F.col("comp")).alias("whole")), "jaccard-blocks")
-    listed = blocks.select("token", "block", "whole").distinct()
-    other = listed.select("token", F.col("block").alias("j"), F.col("whole").alias("other"))
-    tasks = listed.withColumnRenamed("block", "i").join(other, "token").filter("i <= j AND (whole IS NULL OR other IS NULL OR whole <> other)").select("token", "i", "j")
-    dealt = tasks.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
-    lists = facts.select("cls", "bitmap").join(blocks.groupBy("cls").agg(F.collect_list("token").alias("tokens")), "cls")
-    rows = blocks.join(dealt, ["token", "block"]).join(lists, "cls")
-    found = rows.groupBy("token", "i", "j").applyInPandas(search_blocks, "a long, b long")
-    pairs = written(can_overlap(pairs.distinct(), facts).unionByName(found).distinct(), "jaccard-pairs")
-    more = written(verified(pairs, facts), "jaccard-more")
+    component_id is the smallest id that links reach. A text without words (null, empty, blank) has
+    an empty set, no links, and its own id. Rows that repeat an id are documents of their own with
+    the same id; a null id counts as the largest. An empty table gives an empty result; other columns are not read.
+    """
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    first = written(mapped(docs, first_pass, FIRST), "jaccard-first")
+    members = first.filter("n IS NOT NULL").select("doc_id", "cls", "n", "bitmap")
+    common = first.filter("times IS NOT NULL").groupBy("cls").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "cls").limit(COMMON_KEPT).toPandas()  # at most COMMON_KEPT
+    classes = written(members.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("bitmap").alias("bitmap")), "jaccard-classes")
+    leaves = leaves_of(docs, classes, common)
+    stars = leader_pairs(leaves)
+    links = verified(stars, docs, classes)
+    labels = components(links)
+    pairs = open_pairs(leaves, labels)
+    discard(leaves)
+    more = verified(pairs, docs, classes)
     final = labels if more.isEmpty() else components(links.unionByName(more))
 
     grouped = written(classes.join(final.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc_id", F.coalesce("label", "cls").alias("label")), "jaccard-grouped")
+    discard(classes, stars, links, pairs, more)
     heads = grouped.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     heads = grouped.join(heads, "label").select("cls", "component_id")
-    out = members.join(heads, "cls", "left")
+    out = members.select("doc_id", "cls", "n").join(heads, "cls", "left")
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

@@ -107,17 +107,45 @@ def families(seed: int):
     return [(k, " ".join(w).title() if k % 3 else " ".join(w)) for k, w in enumerate(out)]
 
 
-@pytest.mark.parametrize(("small", "block", "kept"), [(24, 1024, 200_000), (2, 8, 200_000), (2, 8, 0), (3, 5, 40)])
-def test_components(spark, monkeypatch, small, block, kept):
-    """Also with tiny groups and blocks, so that the trees search everything, and without the order by frequency."""
-    for k, v in {"SMALL_GROUP": small, "BLOCK_ROWS": block, "FANOUT": 3, "GROUP_ROWS": 7, "COMMON_KEPT": max(kept, 1)}.items():
+@pytest.mark.parametrize(("block", "kept"), [(1024, 200_000), (8, 200_000), (8, 0), (5, 40)])
+def test_components(spark, monkeypatch, block, kept):
+    """Also with tiny trees, so that groups have many, and without the order by frequency."""
+    for k, v in {"BLOCK_ROWS": block, "FANOUT": 3, "GROUP_ROWS": 7, "COMMON_KEPT": max(kept, 1)}.items():
         monkeypatch.setattr(jaccard, k, v)
-    rows = families(small + block)
+    rows = families(block)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect()}
     assert got == plain_components(rows)
 
 
+def test_all_links_come_through_the_trees(spark, monkeypatch):
+    """Every class that has a link is a leaf; without what the trees find there is none."""
+    stages = defaultdict(list)
+
+    def written(df, name, own=jaccard.written):
+        stages[name].append(own(df, name))
+        return stages[name][-1]
+
+    monkeypatch.setattr(jaccard, "written", written)
+    monkeypatch.setattr(jaccard, "discard", lambda *tables: None)
+    rows = families(3)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(df).collect()}
+    sets = {i: jaccard.class_of(jaccard.shingle_set(t.encode())) for i, t in rows}
+    sizes = Counter(got.values())
+    linked = {sets[i] for i in got if sizes[got[i]] > 1 and len({sets[j] for j in got if got[j] == got[i]}) > 1}
+    assert linked and linked <= {r.cls for r in stages["jaccard-leaves"][0].select("cls").collect()}
+    found = {tuple(sorted((r.a, r.b))) for name in ("jaccard-stars", "jaccard-pairs") for r in stages[name][0].collect()}
+    assert {tuple(sorted((r.a, r.b))) for links in stages["jaccard-links"] for r in links.collect()} <= found
+    empty = spark.createDataFrame([], "a long, b long, weight long")
+    monkeypatch.setattr(jaccard, "written", lambda df, name, own=stages["jaccard-leaves"].__class__: df)
+    monkeypatch.setattr(jaccard, "leader_pairs", lambda leaves: empty.select("a", "b"))
+    monkeypatch.setattr(jaccard, "open_pairs", lambda leaves, labels: empty.select("a", "b"))
+    apart = {r.doc_id: r.component_id for r in jaccard.jaccard_components(df).collect()}
+    worded = [i for i, t in rows if t.split()]
+    assert [apart[i] for i in worded] == [min(j for j in worded if sets[j] == sets[i]) for i in worded]
+
+
 def test_components_of_the_tables(spark):
     rows = [(r.doc_id, r.text) for r in table(spark, "documents").select("doc_id", "text").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op5_jaccard(spark, SF).collect()}
