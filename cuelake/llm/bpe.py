@@ -26,7 +26,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from .common import as_text, code_point_classes, code_points, mix64, powers
+from .common import as_text, code_point_classes, code_points, mapped, mix64, powers
 
 #: Fixed values of the tokenizer's pattern: 's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+
 CLASSES = (r"\p{L}+", r"\p{N}+", r"\s+")
@@ -359,7 +359,7 @@ def encode_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                     rows, start, held = [], k + 1, 0
 
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", token_ids array<int>" if ids else "")
-    return df.selectExpr(f"`{id_col}`", f"`{text_col}` AS text").mapInPandas(run, schema)
+    return mapped(df.selectExpr(f"`{id_col}`", f"`{text_col}` AS text"), run, schema)
 
 
 def decode_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col: str = "token_ids") -> DataFrame:
@@ -372,4 +372,4 @@ def decode_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
             texts = [codec.decode(ids) if ids is not None else "" for ids in batch["ids"]]
             yield pd.DataFrame({id_col: batch[id_col].to_numpy(), "text": texts})
 
-    return df.selectExpr(f"`{id_col}`", f"`{ids_col}` AS ids").mapInPandas(run, f"`{id_col}` {dict(df.dtypes)[id_col]}, text string")
+    return mapped(df.selectExpr(f"`{id_col}`", f"`{ids_col}` AS ids"), run, f"`{id_col}` {dict(df.dtypes)[id_col]}, text string")

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import as_text, written
+from .common import as_text, mapped, written
 
 BUCKETS = 128
 LENGTH_BASE = 1.2
@@ -110,7 +110,7 @@ def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pd.DataFrame([(held[0], part, "last", held[1], *[None] * 6)], columns=["id", "part", "kind", "text", *NAMES]).astype({"n_chars": "Int64"})
 
     dealt = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    staged = written(dealt.mapInPandas(run, f"id {kind}, part int, kind string, text string, {FIELDS}"), "fingerprints")
+    staged = written(mapped(dealt, run, f"id {kind}, part int, kind string, text string, {FIELDS}"), "fingerprints")
     first = staged.filter("kind = 'first'").select("part", F.col("text").alias("following"))
     every = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     follows = first.select(F.col("part").alias("before"), F.coalesce(F.lead("part").over(Window.orderBy("part")), F.first("part").over(every)).alias("part"))  # a number for each partition
@@ -121,5 +121,5 @@ def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str =
             rows = [(key, *compared(as_text(text), as_text(following))[0]) for key, text, following in zip(batch["id"], batch["text"], batch["following"], strict=True)]
             yield pd.DataFrame(rows, columns=["id", *NAMES])
 
-    last = ends.select("id", "text", "following").mapInPandas(finish, f"id {kind}, {FIELDS}")
+    last = mapped(ends.select("id", "text", "following"), finish, f"id {kind}, {FIELDS}")
     return staged.filter("kind = 'row'").select("id", *NAMES).unionByName(last).withColumnRenamed("id", id_col)

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import as_text
+from .common import as_text, mapped
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -316,4 +316,4 @@ def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
             yield pd.DataFrame({id_col: batch[id_col].to_numpy(), url_col: batch[url_col].to_numpy(), "text": texts, "n_chars": [len(t) for t in texts]})
 
     kinds = dict(df.dtypes)
-    return df.selectExpr(f"`{id_col}`", f"`{url_col}`", f"`{html_col}` AS html").mapInPandas(run, f"`{id_col}` {kinds[id_col]}, `{url_col}` {kinds[url_col]}, text string, n_chars long")
+    return mapped(df.selectExpr(f"`{id_col}`", f"`{url_col}`", f"`{html_col}` AS html"), run, f"`{id_col}` {kinds[id_col]}, `{url_col}` {kinds[url_col]}, text string, n_chars long")

@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import as_text, bucket_of, code_point_classes, code_points, mix64, powers
+from .common import as_text, bucket_of, code_point_classes, code_points, mapped, mix64, powers
 
 LETTERS = (r"\p{L}+",)
 LONGEST = 5
@@ -113,7 +113,7 @@ def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> dict
     sample = labelled.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
     langs = sorted(sizes)
     place = F.create_map(*[x for k, lang in enumerate(langs) for x in (F.lit(lang), F.lit(k))])
-    counted = sample.select("lang", "text").mapInPandas(count_partition, "lang string, n int, gram long, k long").groupBy("lang", "n", "gram").agg(F.sum("k").alias("k"))
+    counted = mapped(sample.select("lang", "text"), count_partition, "lang string, n int, gram long, k long").groupBy("lang", "n", "gram").agg(F.sum("k").alias("k"))
     found = counted.select(place[F.col("lang")].alias("lang"), "n", "gram", "k").toArrow()
     return build(langs, *(found[c].to_numpy() for c in ("lang", "n", "gram", "k")))
 
@@ -197,7 +197,7 @@ def predict_with(df: DataFrame, model: dict, keep: list[str], lang_col: str = "l
 
     kinds = dict(df.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", `{lang_col}` string, `{score_col}` double"
-    return df.select(*keep, F.col(text_col).alias("__text")).mapInPandas(run, schema)
+    return mapped(df.select(*keep, F.col(text_col).alias("__text")), run, schema)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -20,7 +20,7 @@ import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import as_text
+from .common import as_text, mapped
 
 KINDS = ("email", "ip", "card", "phone", "url", "account", "address")
 BASE = 4
@@ -156,7 +156,7 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             yield out
 
     kind = dict(df.dtypes)[id_col]
-    return df.selectExpr(f"`{id_col}`", f"`{text_col}` AS text").mapInPandas(run, f"`{id_col}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return mapped(df.selectExpr(f"`{id_col}`", f"`{text_col}` AS text"), run, f"`{id_col}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def redact_pii(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -170,4 +170,4 @@ def redact_pii(df: DataFrame, text_col: str = "text") -> DataFrame:
                 batch["n_chars"] = [len(t) if isinstance(t, str) else n for t, n in zip(batch[text_col], batch["n_chars"], strict=True)]
             yield batch
 
-    return df.mapInPandas(run, df.schema)
+    return mapped(df, run, df.schema)
