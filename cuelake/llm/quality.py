@@ -16,11 +16,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import as_bytes, bucket_of, word_hashes
+from .common import as_bytes, bucket_of, mapped, word_hashes
 
 #: The fit's bounds: expected documents, and lines of each that the chain is trained on.
 TRAINING_DOCS = 3000
-TRAINING_LINES = 64
 STEPS, RATE, PENALTY = 200, 0.1, 1e-3
 
 #: Byte classes: 0 other letters (over 127), 1 lower case, 2 upper case, 3 digit, 4 white space, 5 usual marks, 6 exclamation, 7 other signs.
@@ -184,25 +183,23 @@ def held_out(id_col: str = "doc_id"):
 
 
 def fit(documents: DataFrame, labels: DataFrame, training_docs: int = TRAINING_DOCS) -> dict:
-    """Train on about training_docs labelled documents that aren't held out, chosen by a hash of the id.
+    """Train on training_docs labelled documents at most that aren't held out, chosen by a hash of the id, with all their lines.
 
-    The first TRAINING_LINES visible lines of each train the chain. Both bounds keep what comes
-    to the driver, and the labels that are broadcast, small at any input.
+    That bound keeps what comes to the driver, and the labels that are broadcast, small at any input.
     """
     own = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    share = min(1.0, training_docs / max(own.count(), 1))
-    sample = own.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    sample = own.orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id").limit(training_docs)
+    rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "quality")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts, out = [as_bytes(t) for t in batch["text"]], []
             for key, text, quality in zip(batch["doc_id"], texts, batch["quality"], strict=True):
                 x, n, _ = line_features([text])
-                out.append((key, int(quality), x[:TRAINING_LINES].tobytes(), n[:TRAINING_LINES].tobytes()))
+                out.append((key, int(quality), x.tobytes(), n.tobytes()))
             yield pd.DataFrame(out, columns=["doc_id", "quality", "x", "n"])
 
-    got = rows.mapInPandas(run, "doc_id long, quality int, x binary, n binary").toPandas().sort_values(["doc_id", "x"], ignore_index=True)
+    got = mapped(rows, run, "doc_id string, quality int, x binary, n binary").toArrow().to_pandas().sort_values(["doc_id", "x"], ignore_index=True)
     x = [np.frombuffer(r, dtype=np.float32).reshape(-1, 3 * BASE + 1) for r in got["x"]]
     n = [np.frombuffer(r) for r in got["n"]]
     counts = np.array([len(r) for r in x], dtype=np.int64)
@@ -219,4 +216,4 @@ def score_documents(documents: DataFrame, labels: DataFrame, model: dict | None
             yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "held_out": batch["held_out"].to_numpy(), "score": score, "predicted": (score >= 0.5).astype(int)})
 
     kind = dict(documents.dtypes)["doc_id"]
-    return documents.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text").mapInPandas(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return mapped(documents.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text"), run, f"doc_id {kind}, held_out boolean, score double, predicted int")
