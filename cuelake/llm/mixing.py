@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import as_text, written
+from .common import as_text, mapped, written
 
 BLOCK_WORDS = 32
 DOCS_PER_SHARD = 8192
@@ -87,8 +87,8 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """(id, size, source_size, target, taken) of every row.
 
     A null text has size 0 and is never taken; null is a source of its own. Repeated rows count
-    each. The totals of the sources come to the driver: one row for each source that the mix
-    weighs. Texts are read twice and never shuffled.
+    each; an empty table gives an empty result. The totals of the sources come to the driver: one row for each source that the mix
+    weighs. Texts are read once and never shuffled.
     """
     plan = block_plan(df, id_col, text_col, source_col, keep=False, **options)
     return plan.select(F.col("__id").alias(id_col), F.col("__size").alias("size"), "source_size", "target", "taken")
@@ -99,11 +99,12 @@ def block_plan(df: DataFrame, id_col: str, text_col: str, source_col: str, keep:
     size = n_words(text_col)
     bucket = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)), F.lit(BUCKETS))
     base = df.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), size.alias("__size"), bucket.alias("__bucket"), *([F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row")] if keep else []))
+    base = base if keep else written(base, "mix-sizes")  # words are counted once, but where rows would be stored for that
     stats = written(base.groupBy("__source", "__bucket").agg(F.sum("__size").alias("words"), F.count("*").alias("docs")), "mix-stats")
     totals = stats.groupBy("__source").agg(F.sum("words").alias("words"), F.sum("docs").alias("docs")).collect()
-    sizes = {r["__source"]: r["words"] for r in totals}
-    want = targets(sizes, cyclic_weights(list(sizes)))
-    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    sizes = {r["__source"]: r["words"] for r in sorted(totals, key=lambda r: (r["__source"] is None, r["__source"] or ""))}  # in one order, so that sums agree to the last bit
+    names = list(sizes)
+    want = targets(sizes, cyclic_weights(names))
     limits = [MAX_REPEATS * math.ceil(sizes[s] / block_words) for s in names]
     quota = dict(zip(names, sainte_lague([want[s] for s in names], round(sum(want.values()) / block_words), limits), strict=True))
     shards = {r["__source"]: min(BUCKETS, 1 << max(0, math.ceil(math.log2(max(1, r["docs"] / docs_per_shard))))) for r in totals}
@@ -122,7 +123,7 @@ def block_plan(df: DataFrame, id_col: str, text_col: str, source_col: str, keep:
     same = F.col("__source").eqNullSafe(F.col("source"))
     by_shard = stats.join(plan, same).withColumn("shard", F.col("__bucket") % F.col("shards")).groupBy("source", "source_size", "target", "quota", "shards", "shard").agg(F.sum("words").alias("words"))
     schema = "source string, source_size long, target double, shards int, shard long, n long, whole long, more long, a long, c long"
-    dealt = by_shard.groupBy("source").applyInPandas(allot, schema)
+    dealt = written(by_shard.groupBy("source").applyInPandas(allot, schema), "mix-shards")  # its size is known before the rows move: they move once
     rows = base.join(plan.select(F.col("source").alias("__s"), F.col("shards").alias("__n")), F.col("__source").eqNullSafe(F.col("__s"))).withColumn("__shard", F.col("__bucket") % F.col("__n"))
     inside = Window.partitionBy("__source", "__shard").orderBy(F.xxhash64(F.lit(seed), "__id"), "__id", "__size")
     rows = rows.withColumn("start", F.sum("__size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__size"))
@@ -168,4 +169,4 @@ def mixed_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
                 out["n_chars"] = [len(t) for t in texts]
             yield out[columns]
 
-    return packed.mapInPandas(run, df.schema)
+    return mapped(packed, run, df.schema)
