@@ -5,6 +5,9 @@ Results are scalar columns: lists go out as joined text, times as whole millisec
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -59,7 +62,7 @@ SPEECH = """inner_ AS (SELECT track_id, coalesce(max(end_us) OVER (PARTITION BY
  tail AS (SELECT t.track_id, coalesce(max(s.end_us), 0) AS start_us, 720000000 AS end_us FROM {v_tracks} t LEFT JOIN {v_silences} s ON t.track_id = s.track_id GROUP BY 1),
  voiced AS (SELECT * FROM (SELECT * FROM inner_ UNION ALL SELECT * FROM tail) x WHERE end_us - start_us >= 400000),
  speech AS (SELECT * FROM voiced UNION ALL SELECT track_id, 0, 720000000 FROM {v_tracks} WHERE track_id NOT IN (SELECT track_id FROM voiced))"""
-TIME = "lpad(CAST({x} // 3600000 AS STRING), 2, '0') || ':' || lpad(CAST({x} // 60000 % 60 AS STRING), 2, '0') || ':' || lpad(CAST({x} // 1000 % 60 AS STRING), 2, '0') || ',' || lpad(CAST({x} % 1000 AS STRING), 3, '0')"
+TIME = "lpad(CAST({x} // 3600000 AS STRING), CAST(greatest(2, length(CAST({x} // 3600000 AS STRING))) AS INTEGER), '0') || ':' || lpad(CAST({x} // 60000 % 60 AS STRING), 2, '0') || ':' || lpad(CAST({x} // 1000 % 60 AS STRING), 2, '0') || ',' || lpad(CAST({x} % 1000 AS STRING), 3, '0')"
 BLOCK = f"idx || chr(10) || {TIME.replace('{x}', 'start_ms')} || ' --> ' || {TIME.replace('{x}', 'end_ms')} || chr(10) || {{text}}"
 
 
@@ -121,16 +124,16 @@ def _(v):
     return v("v_media").select("doc_id", S.subtitle_file_name("file_name", F.lit("fr")).alias("file_name"), S.pair_file_name("file_name", F.lit("fr"), F.lit("en")).alias("pair_name"))
 
 
-MANIFESTS = """rows_ AS (SELECT p_partkey % 4 AS m, p_partkey, p_brand AS stage, p_name AS name, CASE WHEN p_partkey % 29 = 0 THEN ' ' ELSE 'models/' || (p_partkey % 700) END AS url, CAST(p_size AS BIGINT) AS bytes, p_partkey % 19 <> 0 AS required FROM {part})"""
+MANIFESTS = """rows_ AS (SELECT p_partkey // 1000 AS m, p_partkey, p_brand AS stage, p_name AS name, CASE WHEN p_partkey % 29 = 0 THEN ' ' ELSE 'models/' || CASE WHEN p_partkey % 2 = 0 THEN p_partkey // 2 ELSE p_partkey END END AS url, CAST(p_size AS BIGINT) AS bytes, p_partkey % 19 <> 0 AS required FROM {part})"""
 
 
 @query("src5_required_assets", "WITH " + MANIFESTS + """ SELECT 'manifest-' || m AS source_manifest, stage, name, url, bytes FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY m, p_partkey) AS n FROM rows_ WHERE required AND trim(url) <> '') x WHERE n = 1
     UNION ALL SELECT DISTINCT 'manifest-' || m, 'manifest', 'manifest', 'manifest-' || m, NULL FROM rows_""")
 def _(v):
     p = v("part")
-    url = F.when(F.col("p_partkey") % 29 == 0, " ").otherwise(F.concat(F.lit("models/"), F.col("p_partkey") % 700))
+    url = F.when(F.col("p_partkey") % 29 == 0, " ").otherwise(F.concat(F.lit("models/"), F.expr("IF(p_partkey % 2 = 0, p_partkey div 2, p_partkey)")))
     asset = F.struct(F.col("p_partkey").alias("ord"), F.struct(F.col("p_brand").alias("stage"), F.col("p_name").alias("name"), url.alias("url"), F.col("p_size").cast("bigint").alias("bytes"), F.md5(F.col("p_name").cast("binary")).alias("sha256"), (F.col("p_partkey") % 19 != 0).alias("required")).alias("a"))
-    m = p.groupBy((F.col("p_partkey") % 4).alias("manifest_order")).agg(F.transform(F.sort_array(F.collect_list(asset)), lambda x: x["a"]).alias("assets"))
+    m = p.groupBy(F.expr("p_partkey div 1000").alias("manifest_order")).agg(F.transform(F.sort_array(F.collect_list(asset)), lambda x: x["a"]).alias("assets"))
     return AS.required_assets(m.withColumn("source_manifest", F.concat(F.lit("manifest-"), "manifest_order"))).select("source_manifest", "stage", "name", "url", "bytes")
 
 
@@ -147,6 +150,21 @@ QUERIES["src6_file_inventory"] = _inventory
 QUERIES["src8_expired_artifacts"] = _expired
 
 
+@query("src6_inventory_of_table", "SELECT doc_id || '.v1' AS name, source || '/' || doc_id || '.v1.srt' AS url, octet_length(encode(text)) AS bytes, sha256(text) AS sha256, TRUE AS required FROM {documents}")
+def _(v):
+    """The documents as files of a listing."""
+    path = F.concat(F.lit("file:///media/"), "source", F.lit("/"), "doc_id", F.lit(".v1.srt"))
+    return AS.inventory_of(v("documents").select(path.alias("path"), F.octet_length("text").cast("long").alias("length"), F.encode("text", "UTF-8").alias("content")), "file:///media")
+
+
+@query("src8_expired_of_table", "SELECT 'runs/' || user_id || '/' || event_id || '.srt' AS path FROM {events} WHERE event_id % 3 <> 0 AND ts < TIMESTAMP '2024-01-13 12:00:00'")
+def _(v):
+    """The events as artifacts of a listing, a third of them of another kind."""
+    kind = F.when(F.col("event_id") % 3 == 0, ".json").otherwise(".srt")
+    files = v("events").select(F.concat(F.lit("runs/"), "user_id", F.lit("/"), "event_id", kind).alias("path"), F.col("ts").cast("timestamp").alias("modificationTime"))
+    return AS.expired_artifacts(files, "2024-01-20 12:00:00", 7).select("path")
+
+
 @query("src7_silences_from_log", r"""WITH m AS (SELECT track_id, line_no, regexp_extract(line, 'silence_(start|end): ([0-9.]+)', 1) AS kind, CAST(nullif(regexp_extract(line, 'silence_(start|end): ([0-9.]+)', 2), '') AS DOUBLE) AS t FROM {v_log}),
     p AS (SELECT *, lag(kind) OVER (PARTITION BY track_id ORDER BY line_no) AS b, lag(t) OVER (PARTITION BY track_id ORDER BY line_no) AS f FROM m WHERE kind <> '')
     SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY line_no) AS k, f AS silence_start, t AS silence_end FROM p WHERE kind = 'end' AND b = 'start'""")
@@ -525,15 +543,15 @@ def _(v):
 
 # --- scalar functions -------------------------------------------------------------------------
 
-@query("fun1_srt_time", f"SELECT o_orderkey, {time_sql('CAST(floor(o_totalprice * 1000 + 0.5) AS BIGINT)')} AS js, {time_sql('CAST(round_even(o_totalprice * 1000, 0) AS BIGINT)')} AS python FROM {{orders}} WHERE o_totalprice < 360000")
+@query("fun1_srt_time", f"SELECT o_orderkey, {time_sql('CAST(floor(o_totalprice * 1000 + 0.5) AS BIGINT)')} AS js, {time_sql('CAST(round_even(o_totalprice * 1000, 0) AS BIGINT)')} AS python FROM {{orders}}")
 def _(v):
-    return v("orders").filter("o_totalprice < 360000").select("o_orderkey", S.srt_time("o_totalprice").alias("js"), S.srt_time("o_totalprice", "python").alias("python"))
+    return v("orders").select("o_orderkey", S.srt_time("o_totalprice").alias("js"), S.srt_time("o_totalprice", "python").alias("python"))
 
 
-@query("fun2_parse_srt_time", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_partkey * 3600000 + l_linenumber * 60000 + 5 * 1000 + l_suppkey END AS t_ms FROM {lineitem} WHERE l_suppkey < 1000")
+@query("fun2_parse_srt_time", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_partkey * 3600000 + l_linenumber * 60000 + 5 * 1000 + l_suppkey % 1000 END AS t_ms FROM {lineitem}")
 def _(v):
-    text = F.format_string("%02d:%02d:05%s%03d", "l_partkey", F.col("l_linenumber"), F.when(F.col("l_linenumber") % 3 == 0, ".").otherwise(","), "l_suppkey")
-    return v("lineitem").filter("l_suppkey < 1000").select("l_orderkey", "l_linenumber", S.parse_srt_ms(text).alias("t_ms"))
+    text = F.format_string("%02d:%02d:05%s%03d", "l_partkey", F.col("l_linenumber"), F.when(F.col("l_linenumber") % 3 == 0, ".").otherwise(","), F.col("l_suppkey") % 1000)
+    return v("lineitem").select("l_orderkey", "l_linenumber", S.parse_srt_ms(text).alias("t_ms"))
 
 
 @query("fun3_format_duration", """SELECT o_orderkey, CASE WHEN d <= 0 THEN 'duration pending' WHEN n >= 3600 THEN n // 3600 || ' h ' || n % 3600 // 60 || ' min ' || n % 60 || ' s' WHEN n >= 60 THEN n // 60 || ' min ' || n % 60 || ' s' ELSE n || ' s' END AS text
@@ -603,11 +621,11 @@ def _(v):
 
 @query("fun10_stage_text", f"""SELECT event_id, CASE stage WHEN 'audioExtraction' THEN 'Audio extraction' WHEN 'vad' THEN 'VAD / segmentation' WHEN 'transcription' THEN 'Transcription' WHEN 'translation' THEN 'Translation' ELSE 'SRT formatting' END || CASE WHEN runtime = 'browser' THEN ': Browser' ELSE ': Python fallback' END
     || ' (' || strategy || ')' || CASE WHEN runtime <> 'browser' AND stage <> 'srtFormatting' THEN ' via ' || {ENDPOINT} ELSE '' END || CASE WHEN reason IS NOT NULL THEN ' — fallback reason: ' || reason ELSE '' END
-    || CASE WHEN event_id % 4 = 0 THEN ' — model bootstrap: bootstrap-required, ' || {one_sql('(event_id % 1000 * 100 / 1024)')} || ' KB remaining, missing a, b' ELSE '' END AS text FROM {{v_stage_results}} WHERE event_id % 4 <> 0 OR event_id % 1000 * 100 BETWEEN 1024 AND 1048575""")
+    || CASE WHEN event_id % 4 = 0 THEN ' — model bootstrap: bootstrap-required, ' || CASE WHEN b >= 1048576 THEN {one_sql('(b / 1048576)')} || ' MB' WHEN b >= 1024 THEN {one_sql('(b / 1024)')} || ' KB' ELSE b || ' B' END || ' remaining, missing a, b' ELSE '' END AS text FROM (SELECT *, event_id % 1000 * CASE WHEN event_id % 12 = 0 THEN 1 ELSE 2000 END AS b FROM {{v_stage_results}}) x""")
 def _(v):
-    r, e = v("v_stage_results").filter("event_id % 4 <> 0 OR event_id % 1000 * 100 BETWEEN 1024 AND 1048575"), F.col("event_id")
+    r, e = v("v_stage_results"), F.col("event_id")
     endpoints = F.when(F.col("runtime") == "browser", F.array().cast("array<string>")).otherwise(A.endpoints_of(F.col("stage")))
-    note = S.bootstrap_text(F.lit(None).cast("string"), e % 1000 * 100, F.when(e % 4 == 0, F.array(F.lit("a"), F.lit(""), F.lit("b"))).otherwise(F.array().cast("array<string>")))
+    note = S.bootstrap_text(F.lit(None).cast("string"), e % 1000 * F.when(e % 12 == 0, 1).otherwise(2000), F.when(e % 4 == 0, F.array(F.lit("a"), F.lit(""), F.lit("b"))).otherwise(F.array().cast("array<string>")))
     rows = r.withColumn("endpoints", endpoints).withColumn("note", note)
     return rows.select("event_id", S.stage_text("stage", "runtime", "strategy", "endpoints", "reason", "note").alias("text"))
 
@@ -622,11 +640,13 @@ def stream_of(spark: SparkSession, sf_dir: str, name: str, files: int = 4) -> Da
 
 def drained(stream: DataFrame, name: str, mode: str) -> DataFrame:
     """What a stream gives on all that is there now, written to a table in the checkpoint folder."""
-    import tempfile
-    import uuid
-
     spark = stream.sparkSession
-    root = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='stream-')}").rstrip("/") + f"/{name}-{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='stream-')}"
+    root = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     schema = stream.schema
 
     def put(batch: DataFrame, epoch: int) -> None:
@@ -653,12 +673,16 @@ ORACLES["str1_job_state_stream"] = with_views("WITH " + SNAPSHOTS + " SELECT job
 
 
 def _speech_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = stream_of(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("track_id"), F.col("ts").cast("timestamp").alias("ts"), (-F.col("value")).alias("level_db"))
+    """All files in one batch, so that no frame is late: the sessions that the watermark has closed."""
+    e = stream_of(spark, sf_dir, "events", 1_000_000).select(F.col("user_id").cast("string").alias("track_id"), F.col("ts").cast("timestamp").alias("ts"), (-F.col("value")).alias("level_db"))
     out = drained(live.speech_sessions_stream(e, noise_db=-35.0, gap="1 hour", max_s=1800.0), "speech", "append")
     return out.select("track_id", "n_frames", us("start"), us("end"))
 
 
 QUERIES["str2_speech_sessions_stream"] = _speech_stream
+SESSIONS = """voiced AS (SELECT CAST(user_id AS STRING) AS track_id, epoch_us(ts) AS t FROM {events} WHERE -value > -35), begun AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY track_id ORDER BY t) <= 3600000000 THEN 0 ELSE 1 END AS b FROM voiced),
+    numbered AS (SELECT *, sum(b) OVER (PARTITION BY track_id ORDER BY t, b) AS k FROM begun), sessions AS (SELECT track_id, count(*) AS n_frames, min(t) AS start_us, max(t) AS end_us FROM numbered GROUP BY track_id, k HAVING max(t) - min(t) >= 400000 AND max(t) + 3600000000 <= (SELECT max(t) // 1000 * 1000 - 10000000 FROM voiced))"""
+ORACLES["str2_speech_sessions_stream"] = with_views("WITH " + SESSIONS + ", " + SPLIT.replace("{src}", "sessions").replace("12000000", "1800000000") + " SELECT track_id, n_frames, low AS start_us, high AS end_us FROM cut")
 
 
 def bracketing():

@@ -29,7 +29,8 @@ VIEWS = {
     "v_media": """SELECT doc_id, source || '_é ' || doc_id || CASE WHEN doc_id % 5 = 0 THEN '.mov' WHEN doc_id % 5 = 1 THEN '.WAV' ELSE '.mp4' END AS file_name,
         CASE WHEN doc_id % 13 = 0 THEN NULL ELSE CAST(n_chars * 3 AS DOUBLE) END AS duration_s, n_chars * 65536 AS size_bytes, n_chars % 400 AS n_segments,
         CASE doc_id % 3 WHEN 0 THEN 'audioExtraction' WHEN 1 THEN 'transcription' ELSE 'translation' END AS stage FROM {documents}""",
-    "v_pairs": """SELECT * FROM (SELECT doc_id AS pair_id, text AS left_text, lead(text) OVER (PARTITION BY source ORDER BY doc_id) AS right_text FROM {documents}) p WHERE right_text IS NOT NULL""",
+    # neighbours of one source within a range of ids, so that no window grows with the table
+    "v_pairs": """SELECT * FROM (SELECT doc_id AS pair_id, text AS left_text, lead(text) OVER (PARTITION BY source, CAST(floor(doc_id / 1000) AS BIGINT) ORDER BY doc_id) AS right_text FROM {documents}) p WHERE right_text IS NOT NULL""",
     # documents that quote a line of a benchmark item
     "v_quotes": """SELECT DISTINCT d.doc_id * 100000 + b.item_id AS pair_id, d.text AS left_text, b.text AS right_text FROM
         (SELECT doc_id, text, {EXPLODE_D} AS line FROM {documents}) d JOIN (SELECT item_id, text, {EXPLODE_B} AS line FROM {benchmark}) b ON d.line = b.line WHERE length(b.line) > 20""",

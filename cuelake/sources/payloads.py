@@ -25,7 +25,8 @@ def media_catalogue(df: DataFrame, max_s: float = MAX_DURATION) -> DataFrame:
 def read_segments(df: DataFrame, json_col: str = "payload", with_text: bool = False) -> DataFrame:
     """SRC-2, SRC-3. Segments (track_id, index, start, end[, text]) with the track's reason: one bad element rejects all of a payload.
 
-    A rejected track comes as one row with null segments. Missing times are 0, a missing index is the position.
+    A rejected track comes as one row with null segments and the reason of its first bad element. Missing times are 0, a missing index is the position;
+    an index that is a number is cut to a whole one.
     """
     elements = F.from_json(F.col(json_col), "array<string>")
     rows = df.select("track_id", F.posexplode_outer(elements).alias("pos", "element")).withColumn("item", F.from_json("element", SEGMENT))
@@ -36,11 +37,12 @@ def read_segments(df: DataFrame, json_col: str = "payload", with_text: bool = Fa
         .when(~F.coalesce(clean_text("element").startswith("{"), F.lit(False)), "Each segment must be an object.")
         .when(start.isNull() | end.isNull(), "Segment times must be numbers.")
         .when(end <= start, "Segment end must be after its start.")
+        .when(F.col("item.index").isNotNull() & F.col("item.index").try_cast("double").try_cast("int").isNull(), "Segment index must be a number.")
     )
-    index = F.coalesce(F.col("item.index").try_cast("int"), F.col("pos") + 1)
+    index = F.coalesce(F.col("item.index").try_cast("double").try_cast("int"), F.col("pos") + 1)
     text = F.coalesce(clean_text("item.text"), F.lit(""))
     flat = rows.select("track_id", "pos", index.alias("index"), start.alias("start"), end.alias("end"), *([text.alias("text")] if with_text else []), reason.alias("reason"))
-    verdict = F.min("reason").over(Window.partitionBy("track_id"))
+    verdict = F.min(F.when(F.col("reason").isNotNull(), F.struct("pos", "reason"))).over(Window.partitionBy("track_id"))["reason"]
     kept = flat.withColumn("reason", verdict).filter("reason IS NULL OR coalesce(pos, 0) = 0")
     blank = [F.when(F.col("reason").isNull(), F.col(c)).alias(c) for c in ("index", "start", "end", *(["text"] if with_text else []))]
     return kept.select("track_id", *blank, "reason")

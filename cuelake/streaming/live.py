@@ -31,6 +31,13 @@ def job_state_stream(events: DataFrame, keep_terminal_ms: int | None = KEEP_TERM
     dropped after keep_terminal_ms without news; None keeps it, which lets a bounded run come to its end.
     """
 
+    columns = events.select(F.col("job_id").cast("string").alias("job_id"), F.col("seq").cast("long").alias("seq"), "kind", "status", "stage", F.col("progress").cast("int").alias("progress"))
+    return columns.groupBy("job_id").applyInPandasWithState(job_step(keep_terminal_ms), SNAPSHOT, "seq long, status string, stage string, progress int", "update", GroupStateTimeout.NoTimeout if keep_terminal_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def job_step(keep_terminal_ms: int | None):
+    """What a job's state does with new events; a call that sets no time-out clears it, so each call on a finished job sets it."""
+
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -40,15 +47,15 @@ def job_state_stream(events: DataFrame, keep_terminal_ms: int | None = KEEP_TERM
         rows = pd.concat(list(frames)).sort_values("seq")
         for seq, kind, status, stage, progress in rows[["seq", "kind", "status", "stage", "progress"]].itertuples(index=False, name=None):
             now = fold(now, int(seq), kind, status, stage, None if pd.isna(progress) else int(progress))
+        if now is not None and now != before:
+            state.update(now)
+        if now is not None and now[1] in TERMINAL and keep_terminal_ms is not None:
+            state.setTimeoutDuration(keep_terminal_ms)
         if now is None or now == before:
             return
-        state.update(now)
-        if now[1] in TERMINAL and keep_terminal_ms is not None:
-            state.setTimeoutDuration(keep_terminal_ms)
         yield pd.DataFrame([(key[0], *now)], columns=["job_id", "seq", "status", "stage", "progress"]).astype({"progress": "Int32"})
 
-    columns = events.select(F.col("job_id").cast("string").alias("job_id"), F.col("seq").cast("long").alias("seq"), "kind", "status", "stage", F.col("progress").cast("int").alias("progress"))
-    return columns.groupBy("job_id").applyInPandasWithState(step, SNAPSHOT, "seq long, status string, stage string, progress int", "update", GroupStateTimeout.NoTimeout if keep_terminal_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
+    return step
 
 
 def progress_events(lines: DataFrame, line_col: str = "line") -> DataFrame:

@@ -6,6 +6,7 @@ import datetime as dt
 import random
 from fractions import Fraction
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +70,48 @@ def test_payloads(spark):
     assert all(got[k][0][4].startswith("At least one") for k in ("empty", "null", "text"))
 
 
+def test_payload_index_and_first_reason(spark):
+    rows = [("whole", '[{"index":7.0,"end":1}]'), ("cut", '[{"index":7.9,"end":1}]'), ("text", '[{"index":"9","end":1}]'), ("word", '[{"index":"x","end":1}]'), ("two", '[{"end":1},{"start":"x","end":2},{"start":3,"end":2},4]'), ("other", '[{"end":1},5,{"start":3,"end":2}]')]
+    got = {r.track_id: (r["index"], r.reason) for r in P.read_segments(spark.createDataFrame(rows, "track_id string, payload string")).collect()}
+    assert [got[k] for k in ("whole", "cut", "text")] == [(7, None), (7, None), (9, None)]
+    assert got["word"] == (None, "Segment index must be a number.")
+    assert got["two"] == (None, "Segment times must be numbers.") and got["other"] == (None, "Each segment must be an object.")
+
+
+class State:
+    """What job_step uses of a group's state; a call clears the time-out."""
+
+    def __init__(self):
+        self.value, self.timeout, self.hasTimedOut = None, None, False
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+    def setTimeoutDuration(self, ms):
+        self.timeout = ms
+
+
+def test_late_events_keep_the_timeout_of_a_finished_job():
+    step, state = live.job_step(5000), State()
+
+    def send(*rows):
+        state.timeout = None
+        return [tuple(r) for f in step(("j",), iter([pd.DataFrame(rows, columns=["seq", "kind", "status", "stage", "progress"])]), state) for r in f.itertuples(index=False)]
+
+    assert send((1, "put", "running", "queued", 1)) and state.timeout is None
+    assert send((5, "progress", "succeeded", "ready", 100)) and state.timeout == 5000
+    assert not send((3, "progress", "running", "queued", 2)) and state.timeout == 5000
+    assert not send((5, "progress", "succeeded", "ready", 100), (6, "cancel", None, None, None)) and state.timeout == 5000
+    state.hasTimedOut = True
+    assert not send() and not state.exists
+
+
 def test_log(spark):
     lines = [("a", k, f"silence_{w}: {t}") for k, (w, t) in enumerate([("start", "1.0"), ("start", "2.0"), ("end", "3.0"), ("end", "4.0"), ("start", "5.0")])]
     lines += [("b", 0, "silence_start: -0.02"), ("b", 1, "silence_end: 1.0")]
