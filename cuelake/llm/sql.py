@@ -3,20 +3,31 @@
 from __future__ import annotations
 
 from .jaccard import PERCENT, SHINGLE
-from .repeats import WIDTH
+from .repeats import PASSAGE, PASSAGE_WORDS, WIDTH
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Bytes of a word in hex, a blank after each.
+HEX_WORD = "(?:(?:0[0-8EF]|1[0-9A-F]|2[1-9A-F]|[3-9A-F][0-9A-F]) )+"
+
+
+def runs_sql(name: str, width: int) -> str:
+    """Maximal runs of bytes that repeated strings of a width cover, as `name`; t holds the bytes."""
+    return f"""w{width} AS (SELECT doc_id, s, md5(hex(array_slice(b, s + 1, s + {width}))) AS h FROM (SELECT doc_id, b, unnest(range(0, n - {width - 1})) AS s FROM t WHERE n >= {width}) x),
+again{width} AS (SELECT h FROM w{width} GROUP BY h HAVING count(*) > 1),
+d{width} AS (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS p FROM w{width} WHERE h IN (SELECT h FROM again{width})),
+g{width} AS (SELECT doc_id, s, sum(CASE WHEN p IS NULL OR s > p + {width} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM d{width}),
+{name} AS (SELECT doc_id, run, min(s) AS low, max(s) + {width} AS high FROM g{width} GROUP BY doc_id, run)"""
+
+
 REPEATS = f"""WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
-w AS (SELECT doc_id, s, md5(hex(array_slice(b, s + 1, s + {WIDTH}))) AS h FROM (SELECT doc_id, b, unnest(range(0, n - {WIDTH - 1})) AS s FROM t WHERE n >= {WIDTH}) x),
-again AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
-d AS (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS p FROM w WHERE h IN (SELECT h FROM again)),
-g AS (SELECT doc_id, s, sum(CASE WHEN p IS NULL OR s > p + {WIDTH} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM d),
-r AS (SELECT doc_id, run, min(s) AS low, max(s) + {WIDTH} AS high FROM g GROUP BY doc_id, run),
+{runs_sql('r', WIDTH)},
+{runs_sql('q', PASSAGE)},
+passages AS (SELECT q.doc_id, count(*) AS n FROM q JOIN t ON q.doc_id = t.doc_id WHERE len(regexp_extract_all(regexp_replace(hex(array_slice(t.b, q.low + 1, q.high)), '(..)', '\\1 ', 'g'), '{HEX_WORD}')) > {PASSAGE_WORDS} GROUP BY q.doc_id),
 k AS (SELECT doc_id, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low), 0) AS low, low AS high FROM r UNION ALL SELECT t.doc_id, coalesce(max(r.high), 0), any_value(t.n) FROM t LEFT JOIN r ON t.doc_id = r.doc_id GROUP BY t.doc_id),
 kept AS (SELECT k.doc_id, string_agg(hex(array_slice(t.b, k.low + 1, k.high)), '' ORDER BY k.low) AS hexed FROM k JOIN t ON k.doc_id = t.doc_id WHERE k.high > k.low GROUP BY k.doc_id),
 cut AS (SELECT doc_id, CAST(sum(high - low) AS BIGINT) AS gone, count(*) AS runs FROM r GROUP BY doc_id)
-SELECT t.doc_id, CAST(t.n AS BIGINT) AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(runs, 0) AS n_spans, sha256(unhex(coalesce(hexed, ''))) AS kept_sha256 FROM t LEFT JOIN cut ON t.doc_id = cut.doc_id LEFT JOIN kept ON t.doc_id = kept.doc_id"""
+SELECT t.doc_id, CAST(t.n AS BIGINT) AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(runs, 0) AS n_spans, sha256(unhex(coalesce(hexed, ''))) AS kept_sha256, coalesce(passages.n, 0) AS n_passages FROM t LEFT JOIN cut ON t.doc_id = cut.doc_id LEFT JOIN kept ON t.doc_id = kept.doc_id LEFT JOIN passages ON t.doc_id = passages.doc_id"""
 
 JACCARD = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
 sets AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < {SHINGLE} THEN [array_to_string(words, ' ')] ELSE list_distinct(list_transform(range(1, len(words) - {SHINGLE - 2}), lambda i: array_to_string(words[i:i + {SHINGLE - 1}], ' '))) END AS own FROM w),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -23,7 +24,7 @@ def table(spark, name, sf=SF):
 
 # --- repeats ----------------------------------------------------------------------------------
 
-def plain_repeats(texts: list[bytes], width: int = repeats.WIDTH):
+def covered(texts: list[bytes], width: int) -> list[bytearray]:
     places = Counter(t[s : s + width] for t in texts for s in range(len(t) - width + 1))
     out = []
     for t in texts:
@@ -31,8 +32,16 @@ def plain_repeats(texts: list[bytes], width: int = repeats.WIDTH):
         for s in range(len(t) - width + 1):
             if places[t[s : s + width]] > 1:
                 gone[s : s + width] = b"\1" * width
+        out.append(gone)
+    return out
+
+
+def plain_repeats(texts: list[bytes]):
+    out = []
+    for t, gone, passage in zip(texts, covered(texts, repeats.WIDTH), covered(texts, repeats.PASSAGE), strict=True):
         kept = bytes(c for c, g in zip(t, gone, strict=True) if not g)
-        out.append((len(t), sum(gone), sum(1 for k, g in enumerate(gone) if g and not (k and gone[k - 1])), hashlib.sha256(kept).hexdigest()))
+        found = sum(len(t[m.start() : m.end()].split()) > repeats.PASSAGE_WORDS for m in re.finditer(b"\1+", bytes(passage)))
+        out.append((len(t), sum(gone), sum(1 for k, g in enumerate(gone) if g and not (k and gone[k - 1])), hashlib.sha256(kept).hexdigest(), found))
     return out
 
 
@@ -48,15 +57,22 @@ def planted(seed: int) -> list[str]:
     return out
 
 
-@pytest.mark.parametrize("most", [2, 4096])
+@pytest.mark.parametrize("most", [2, 5, 16384])
 def test_repeats(spark, monkeypatch, most):
+    """Also with parts so small that grams are split down to single windows."""
     monkeypatch.setattr(repeats, "GROUP_MOST", most)
     texts = planted(most)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(df).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passages) for r in repeats.remove_repeats(df).collect()}
     assert [got[k] for k in range(len(texts))] == plain_repeats([t.encode() for t in texts])
 
 
+def test_nothing_goes_without_the_sort(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "sort_groups", lambda batches: iter(()))
+    df = spark.createDataFrame(list(enumerate(planted(1))), "doc_id long, text string")
+    assert {(r.n_removed, r.n_passages) for r in repeats.remove_repeats(df).collect()} == {(0, 0)}
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_suffix_order(seed):
     rng = random.Random(seed)
@@ -173,7 +189,7 @@ def test_pii(spark):
         plain = plain_pii(texts[r.doc_id])
         assert r.base_sha256 == hashlib.sha256(pii.listed(plain).encode()).hexdigest()
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s[1] == k for s in plain) for k in range(4))
-    assert finder.redact("mail bob@x.com, +1 (212) 555-0100 at 12 Main Street. IBAN DE89370400440532013000 http://a.b/c.") == "mail <EMAIL>, <PHONE> at <ADDRESS>. IBAN <ACCOUNT> <URL>."
+    assert finder.redact("mail bob@x.com, +1 (212) 555-0100 at 12 Main Street. IBAN DE89370400440532013000 http://a.b/c. TOKEN = \"9233A8ECF7C5B09FE594\" token: none") == "mail <EMAIL>, <PHONE> at <ADDRESS>. IBAN <ACCOUNT> <URL>. TOKEN = \"<SECRET>\" token: none"
 
 
 # --- mixing -----------------------------------------------------------------------------------
@@ -245,6 +261,38 @@ def test_media_round_trip(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len((r.text or "").encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
 
 
+def test_foreign_files(spark):
+    """Neither AVI nor motion JPEG, cut, empty, without frames: one row each with 0 frames; files beside them are read."""
+    good = media.files_of([media.payload_of(b"x" * 500)])[0]
+    bad = [b"", b"RIFF", b"no media at all", good[:100], good[: len(good) // 2], good.replace(b"\xff\xc0", b"\xff\xc2"), good[:12], b"RIFF" + good[4:-64] + bytes(64)]
+    df = spark.createDataFrame([(k, bytearray(f)) for k, f in enumerate([good, *bad, good])], "doc_id long, media binary")
+    got = {r.doc_id: (r.clip_no, r.n_frames) for r in media.clip_rows(df).collect()}
+    assert got[0] == got[len(bad) + 1] == (0, 3)
+    assert all(got[k] == (None, 0) for k in range(1, len(bad) + 1))
+
+
+def plain_shots(frames: list[bytes]) -> list[int]:
+    """First frames of shots: the change of 16-bin histograms against the mean and deviation of the changes nearby."""
+    bins = [Counter(v >> 4 for v in f) for f in frames]
+    change = [0] + [sum(abs(a[k] - b[k]) for k in range(16)) for a, b in zip(bins, bins[1:])]
+    out = [0]
+    for k in range(1, len(frames)):
+        near = change[max(1, k - media.NEIGHBOURS) : k + media.NEIGHBOURS + 1]
+        mean = sum(near) / len(near)
+        deviation = max(0, sum(c * c for c in near) / len(near) - mean * mean) ** 0.5
+        if change[k] > mean + media.DEVIATIONS * deviation and change[k] >= media.LEAST_DIFFERENCE:
+            out.append(k)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_shots_against_the_rule(seed):
+    rng = random.Random(seed)
+    payloads = [b"".join(bytes(rng.randrange(lo, lo + 40) for _ in range(192)) for lo in [rng.choice([30, 90, 180]) for _ in range(rng.randint(1, 6))] for _ in range(rng.randint(1, 25))) for _ in range(4)]
+    for payload, (_, shots, _) in zip(payloads, media.contents_of(media.files_of(payloads), {}), strict=True):
+        assert shots == plain_shots([payload[k : k + 192] for k in range(0, len(payload), 192)])
+
+
 def test_shots(spark):
     cut = b"aaaaaaaaaaaa" * 16 * 20 + bytes(range(200, 248)) * 4 * 20
     starts = list(media.contents_of(media.files_of([cut]), {}))[0][1]
@@ -275,6 +323,23 @@ def test_quality_held_out(spark):
 
 # --- fingerprints -----------------------------------------------------------------------------
 
+def plain_digest(data: bytes) -> str:
+    """The digest by its description, byte triplet by byte triplet."""
+    counts = [0] * 128
+    for k in range(len(data) - 2):
+        counts[((data[k] << 16 | data[k + 1] << 8 | data[k + 2]) * 2654435761 % (1 << 32)) >> 25] += 1
+    q1, q2, q3 = (sorted(counts)[k] for k in (31, 63, 95))
+    codes = [(c > q1) + (c > q2) + (c > q3) for c in counts]
+    head = [min(255, round(math.log(len(data) + 1, 1.2))), q1 * 15 // max(q3, 1) << 4 | q2 * 15 // max(q3, 1)]
+    return bytes(head + [codes[k] << 6 | codes[k + 1] << 4 | codes[k + 2] << 2 | codes[k + 3] for k in range(0, 128, 4)]).hex()
+
+
+def test_digest():
+    rng = random.Random(2)
+    for data in [b"", b"a", b"abc", b"a" * 900, *(rng.randbytes(rng.randint(0, 3000)) for _ in range(20)), *("".join(rng.choice("the and of ") for _ in range(2000)).encode() for _ in range(3))]:
+        assert fingerprints.digest(data)[1] == plain_digest(data)
+
+
 def test_fingerprints(spark):
     docs = {r.doc_id: r.text for r in table(spark, "documents").collect()}
     ids = sorted(docs, reverse=True)
