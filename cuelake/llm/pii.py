@@ -5,8 +5,8 @@ URL schemes, account cues and street words. From each anchor a small parser of i
 to the left and right and validates what it found. The parsers look at each character a bounded
 number of times, whatever the length of a run.
 
-Kinds email, ip, card and phone are exact; url, account (checked account numbers after a cue)
-and address (house number and street) come on top. Positions are code points, end exclusive.
+Kinds email, ip, card and phone are exact; url, account (checked account numbers after a cue),
+address (house number and street) and secret (keys and tokens after a cue) come on top. Positions are code points, end exclusive.
 Null and empty texts have no spans.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from .common import as_text, mapped
 
-KINDS = ("email", "ip", "card", "phone", "url", "account", "address")
+KINDS = ("email", "ip", "card", "phone", "url", "account", "address", "secret")
 BASE = 4
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DIGITS = "0123456789"
@@ -34,10 +34,12 @@ URL = re.compile(r"[^\s<>\"'|\\^`{}]+")
 IBAN = re.compile(r"[ :#.]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
 NUMBER = re.compile(r"(?: (?:no\.?|number|nr\.?))?[ :#.]{1,3}([0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{8,12})(?![0-9-])", re.IGNORECASE)
 HOUSE = re.compile(r"(?<![0-9A-Za-z])([0-9]{1,5}[A-Za-z]? (?:[A-Z][A-Za-z'-]{0,20} ){1,3})$")
+SECRET = re.compile(r"[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?([A-Za-z0-9+/_.=-]{16,})")
 #: Fixed cues.
 SCHEMES = ("http://", "https://", "ftp://")
 ACCOUNT_CUES = ("IBAN", "iban", "SSN", "ssn", "Account", "account", "ACCOUNT", "Acct", "acct", "Passport", "passport")
 STREET_CUES = (" Street", " Avenue", " Road", " Boulevard", " Lane", " Drive")
+SECRET_CUES = ("token", "secret", "password", "passwd", "api_key", "apikey", "api-key", "access_key", "private_key")
 STREET_REACH = 80
 
 
@@ -56,7 +58,7 @@ def iban_valid(text: str) -> bool:
 
 def automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
-    for cue, kind in [("@", "@"), ("+", "+"), *((d, "0") for d in DIGITS), *((s, "s") for s in SCHEMES), *((c, "a") for c in ACCOUNT_CUES), *((c, "w") for c in STREET_CUES)]:
+    for cue, kind in [("@", "@"), ("+", "+"), *((d, "0") for d in DIGITS), *((s, "s") for s in SCHEMES), *((c, "a") for c in ACCOUNT_CUES), *((c, "w") for c in STREET_CUES), *((form(c), "k") for c in SECRET_CUES for form in (str.lower, str.upper, str.title))]:
         found.add_word(cue, (kind, len(cue)))
     found.make_automaton()
     return found
@@ -69,7 +71,7 @@ class Finder:
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         """(start, kind number, end), sorted; base kinds as by their leftmost, non-overlapping patterns."""
         out: list[tuple[int, int, int]] = []
-        email = ip = card = phone = url = account = address = 0  # where the next match of the kind may begin
+        email = ip = card = phone = url = account = address = secret = 0  # where the next match of the kind may begin
         for last, (kind, width) in self.anchors.iter(text):
             if kind == "0":
                 if last >= card:
@@ -110,6 +112,10 @@ class Finder:
                     if m:
                         account = m.end(1)
                         out.append((m.start(1), 5, account))
+            elif kind == "k":
+                if last >= secret and (m := SECRET.match(text, last + 1)) and any(c.isdigit() for c in m[1]) and any(c.isalpha() for c in m[1]):
+                    secret = m.end(1)
+                    out.append((m.start(1), 7, secret))
             else:
                 start = last - width + 2  # the street word itself
                 low = max(address, start - STREET_REACH)
@@ -141,7 +147,11 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
 
 
 def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every row, in one narrow pass over whole texts."""
+    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans) of every row, in one narrow pass over whole texts.
+
+    n_spans counts the spans of all kinds. Spans of one kind never overlap; of several kinds that begin at one place the first listed comes first. Repeated rows
+    give repeated results, an empty table an empty one; other columns are not read.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         finder = Finder()
@@ -150,13 +160,13 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             for text in batch["text"]:
                 spans = finder.spans(as_text(text))
                 base = [s for s in spans if s[1] < BASE]
-                rows.append((*(sum(s[1] == k for s in base) for k in range(BASE)), hashlib.sha256(listed(base).encode()).hexdigest(), listed(spans)))
-            out = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+                rows.append((*(sum(s[1] == k for s in base) for k in range(BASE)), hashlib.sha256(listed(base).encode()).hexdigest(), listed(spans), len(spans)))
+            out = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"])
             out.insert(0, id_col, batch[id_col].to_numpy())
             yield out
 
     kind = dict(df.dtypes)[id_col]
-    return mapped(df.selectExpr(f"`{id_col}`", f"`{text_col}` AS text"), run, f"`{id_col}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return mapped(df.selectExpr(f"`{id_col}`", f"`{text_col}` AS text"), run, f"`{id_col}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def redact_pii(df: DataFrame, text_col: str = "text") -> DataFrame:
