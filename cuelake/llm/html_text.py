@@ -46,7 +46,7 @@ CONTAINERS = frozenset("html body main article div center".split())
 CONTENT = frozenset("main article".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NEVER_LINKS = HEADINGS | {"p"}
-LEFT_OUT_TAGS = frozenset("head nav footer aside form dialog menu".split())
+LEFT_OUT_TAGS = frozenset("head nav footer aside dialog menu".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": set()}
 #: Fixed cue words in class, id and role that mark what isn't the article.
@@ -77,7 +77,7 @@ def standing(tag: str, attrs: str, in_article: bool) -> int:
         return GOES
     if tag in ("html", "body") or tag in CONTENT:
         return STAYS
-    found = STAYS
+    found = CUE if tag == "form" else STAYS  # a form around the article is no form of the page's own
     for w in names:
         for k, word in enumerate(w if w not in titles else ()):
             if word in NEGATIONS:
@@ -308,7 +308,10 @@ def main_text(source: str) -> str:
 
 
 def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, text, n_chars) of every page, in one narrow pass over whole pages."""
+    """(page_id, url, text, n_chars) of every page, in one narrow pass over whole pages.
+
+    Repeated rows give repeated results, an empty table an empty one; other columns are not read.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -82,3 +82,21 @@ ITEM = "<li><a href=x>A reference to a page of another site</a></li>"
 )
 def test_linked_blocks(page, text):
     assert main_text(page) == text
+
+
+PARAGRAPH = "<p>This is a long paragraph of the article, with commas, and several words. It goes on and on, truly.</p>"
+SAID = PARAGRAPH[3:-4]
+
+
+def test_forms_around_the_page():
+    """A form that holds the article isn't a form of its own; those beside and in it go."""
+    own = "<form action=s>Search the site, please: <input></form>"
+    assert main_text(f"<body><form id=page><h1>T</h1>{PARAGRAPH * 3}</form></body>") == "\n".join(["T", SAID, SAID, SAID])
+    assert main_text(f"<body><form><div><article><h1>T</h1>{PARAGRAPH}</article></div></form>{own}</body>") == f"T\n{SAID}"
+    assert main_text(f"<body><article><h1>T</h1>{PARAGRAPH}{own}</article></body>") == f"T\n{SAID}"
+
+
+def test_names_that_hold_cues_and_long_attributes():
+    assert main_text(f'<body><div class="social-science">{PARAGRAPH * 2}</div></body>') == f"{SAID}\n{SAID}"
+    assert main_text(f'<body><div class="comment-policy-page"><h1>T</h1>{PARAGRAPH * 2}</div></body>') == f"T\n{SAID}\n{SAID}"
+    assert main_text(f'<body><article>{PARAGRAPH}<img src="data:{"a" * 100_000}">{PARAGRAPH}</article></body>') == f"{SAID}\n{SAID}"
