@@ -396,18 +396,18 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     twice = written(found.join(again, "gram"), "repeats-twice")
     discard(found, again)
     contexts = written(twice.groupBy("gram", "whole").agg(F.count("*").alias("places"), F.first("doc_id").alias("doc_id"), F.first("place").alias("place")), "repeats-contexts")
-    kinds = contexts.groupBy("gram").agg(F.count("*").alias("kinds"))
+    large = written(contexts.groupBy("gram").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > GROUP_MOST), "repeats-large")
 
     # the distinct neighbourhoods, each from the first document that has it
     parts = unpacked()
-    member = F.struct(parts["pos"].alias("pos"), parts["before"].alias("before"), parts["after"].alias("after"), "gram", "whole", (F.col("places") > 1).alias("several"), (F.col("kinds") > GROUP_MOST).alias("many"))
-    wanted = contexts.join(kinds, "gram").select("doc_id", parts["th"].alias("th"), member.alias("w"))
+    member = F.struct(parts["pos"].alias("pos"), parts["before"].alias("before"), parts["after"].alias("after"), "gram", "whole", (F.col("places") > 1).alias("several"), F.col("kinds").isNotNull().alias("many"))
+    wanted = contexts.join(large, "gram", "left").select("doc_id", parts["th"].alias("th"), member.alias("w"))
     wanted = wanted.groupBy("doc_id", "th").agg(F.collect_list("w").alias("wanted"))  # no more than the anchors of one document
     wanted = wanted.select(F.col("doc_id").alias("own"), F.col("th").alias("own_th"), "wanted")
     texts = packed(docs, ["doc_id", "th"])
     rows = texts.join(wanted, texts["doc_id"].eqNullSafe(F.col("own")) & (texts["th"] == F.col("own_th"))).select("packed", "wanted")
     cut = written(mapped(rows, cut_neighbourhoods, CUT).dropDuplicates(["gram", "whole"]), "repeats-cut")  # rows may agree in id and text
-    discard(contexts)
+    discard(contexts, large)
 
     reach = sorted_parts(cut.filter("NOT many").select("gram", F.lit(0).cast("long").alias("part"), "whole", "several", "left", "right"))
     many = cut.filter("many")
