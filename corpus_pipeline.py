@@ -50,7 +50,7 @@ STAGES = [
     ("tokens", tokens),
 ]
 
-#: The language model, the redaction and the tokens are beyond SQL; tests hold each stage against a plain version.
+#: The language model, the redaction and the tokens are beyond SQL; tests/llm/test_pipeline.py holds the stages against plain versions, test_language_stage.py the first.
 ORACLE_SQL = None
 
 
