@@ -109,6 +109,7 @@ def block_plan(df: DataFrame, id_col: str, text_col: str, source_col: str, keep:
     quota = dict(zip(names, sainte_lague([want[s] for s in names], round(sum(want.values()) / block_words), limits), strict=True))
     shards = {r["__source"]: min(BUCKETS, 1 << max(0, math.ceil(math.log2(max(1, r["docs"] / docs_per_shard))))) for r in totals}
     plan = df.sparkSession.createDataFrame([(s, sizes[s], want[s], quota[s], shards[s]) for s in names] or [(None, 0, 0.0, 0, 1)], "source string, source_size long, target double, quota long, shards int")
+    plan = written(plan, "mix-plan")  # so that Spark knows its size: rows needn't be dealt by source to meet it
 
     def allot(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("shard", ignore_index=True)
