@@ -58,7 +58,7 @@ def discard(*tables: DataFrame) -> None:
 
 
 #: Bytes of a batch that goes to Python.
-BATCH_BYTES = "4m"
+BATCH_BYTES = "2m"
 _BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
