@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -9,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -62,11 +64,43 @@ BATCH_BYTES = "2m"
 _BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches of BATCH_BYTES go to Python, where the session sets no limit of its own: rows with whole texts fill a task's memory long before they are as many as Spark's default."""
+    if spark.conf.get(_BATCHES, None) is None:
+        spark.conf.set(_BATCHES, BATCH_BYTES)
+
+
+def give_back() -> None:
+    """Free memory goes back to the system: a Python worker lives on after its task, and what it holds counts against its executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        return
+
+
+def frugal(run):
+    """run, giving memory back after every batch."""
+
+    def one_by_one(batches: Iterator) -> Iterator:
+        for batch in batches:
+            yield batch
+            del batch
+            give_back()
+
+    return lambda batches: run(one_by_one(batches))
+
+
 def mapped(df: DataFrame, run, schema: str) -> DataFrame:
-    """mapInPandas in batches of BATCH_BYTES, where the session sets no limit of its own: rows with whole texts fill a task's memory long before they are as many as Spark's default."""
-    if df.sparkSession.conf.get(_BATCHES, None) is None:
-        df.sparkSession.conf.set(_BATCHES, BATCH_BYTES)
-    return df.mapInPandas(run, schema)
+    """mapInPandas in bounded batches."""
+    bounded_batches(df.sparkSession)
+    return df.mapInPandas(frugal(run), schema)
+
+
+def arrow_mapped(df: DataFrame, run, schema: str) -> DataFrame:
+    """mapInArrow in bounded batches: columns that are handed on keep their type and their nulls."""
+    bounded_batches(df.sparkSession)
+    return df.mapInArrow(frugal(run), schema)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, html_text, jaccard, langid, media, mixing, pii, quality, repeats, sql
+from . import bpe, fingerprints, html_text, jaccard, langid, media, mixing, pii, quality, repeats, seeds, spelling, sql, whitening
 from .common import table
 
 
@@ -56,6 +56,18 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seeds.remove_passages(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_repeats": op1_repeats,
@@ -68,8 +80,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_langid": op8_langid,
         "op9_fingerprints": op9_fingerprints,
         "op10_html": op10_html,
+        "op11_spelling": op11_spelling,
+        "op12_whitening": op12_whitening,
+        "op13_seeds": op13_seeds,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_repeats": sql.REPEATS, "op5_jaccard": sql.JACCARD}
+    return {"op1_repeats": sql.REPEATS, "op5_jaccard": sql.JACCARD, "op11_spelling": sql.SPELLING, "op13_seeds": sql.PASSAGES}
