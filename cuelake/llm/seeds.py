@@ -178,8 +178,9 @@ def against_leader(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def lost_windows(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(gram, ctx, ranges): for classes (gram, ctx, first_id, th, place) the offsets of windows that a class with a smaller first_id has too."""
-    shared = classes.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("gram")
+    shared = written(classes.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("gram"), "seeds-shared")  # counts are written before they are joined: Spark splits a hot gram only where nothing in its stage needs it whole
     rivals = written(classes.join(shared, "gram"), "seeds-rivals")
+    discard(shared)
     position, before, after = parts()
     wanted = rivals.select("first_id", "th", F.struct(position.alias("pos"), before.cast("int").alias("before"), after.cast("int").alias("after"), "gram", "ctx").alias("w"))
     wanted = wanted.groupBy("first_id", "th").agg(F.collect_list("w").alias("wanted")).withColumnRenamed("th", "own_th")  # no more than the seeds of one document
@@ -197,13 +198,13 @@ def lost_windows(classes: DataFrame, docs: DataFrame) -> DataFrame:
     own = decided.filter("block IS NULL").join(ids, ["gram", "ctx"]).join(leaders.select("gram", "leader_id"), "gram").filter(earlier("leader_id", "first_id")).select("gram", "ctx", "low", "high")
 
     blocks = decided.filter("block IS NOT NULL")
-    again = blocks.groupBy("gram", "block").agg(F.count("*").alias("n")).filter("n > 1").select("gram", "block")
+    again = written(blocks.groupBy("gram", "block").agg(F.count("*").alias("n")).filter("n > 1").select("gram", "block"), "seeds-blocks")
     singles = blocks.join(again, ["gram", "block"]).join(ids, ["gram", "ctx"]).select("gram", "ctx", "first_id", "low", F.posexplode("hashes").alias("k", "window"))
     singles = written(singles.select("gram", "ctx", "first_id", (F.col("low") + F.col("k")).alias("low"), "window"), "seeds-windows")
-    firsts = singles.groupBy("gram", "window", "low").agg(F.min("first_id").alias("least_id"), F.count("*").alias("n")).filter("n > 1")
+    firsts = written(singles.groupBy("gram", "window", "low").agg(F.min("first_id").alias("least_id"), F.count("*").alias("n")).filter("n > 1"), "seeds-firsts")
     later = singles.join(firsts, ["gram", "window", "low"]).filter(earlier("least_id", "first_id")).select("gram", "ctx", "low", F.col("low").alias("high"))
     out = written(own.unionByName(later).groupBy("gram", "ctx").agg(F.collect_set(F.struct("low", "high")).alias("ranges")), "seeds-ranges")  # no more than the windows of a seed
-    discard(whole, leaders, decided, singles)
+    discard(whole, leaders, decided, again, singles, firsts)
     return out
 
 
@@ -220,9 +221,9 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     """(doc_id, th, spans): the ranges of words of documents (doc_id, th, text) that windows of earlier documents cover."""
     kind = dict(docs.dtypes)["doc_id"]
     found = written(arrow_mapped(docs, find_seeds, f"doc_id {kind}, th long, place long, gram long, ctx long"), "seeds-found")
-    again = found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    again = written(found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "seeds-again")
     twice = written(found.join(again, "gram"), "seeds-twice")
-    discard(found)
+    discard(found, again)
     first = lambda c: F.coalesce(F.min_by(c, "doc_id"), F.first(c)).alias(c)  # noqa: E731  both of one row
     classes = written(twice.groupBy("gram", "ctx").agg(F.min("doc_id").alias("first_id"), first("th"), first("place"), F.count("*").alias("n")), "seeds-classes")
     ranges = lost_windows(classes.drop("n"), docs)
