@@ -50,6 +50,23 @@ def srt_diagnostics(files: DataFrame) -> DataFrame:
     return out.select("track_id", "bytes", "blocks", F.coalesce("last_end_ms", F.lit(0)).alias("last_end_ms"), F.coalesce("durations", F.array().cast("array<bigint>")).alias("durations"), median.alias("median_ms"), p90.alias("p90_ms"), F.coalesce("issues", F.lit(0)).alias("issues"))
 
 
+def cue_diagnostics(cues: DataFrame) -> DataFrame:
+    """AGG-2 without the list of durations: cues (track_id, start_ms, end_ms) -> cues, last_end_ms, median_ms and p90_ms of a track of any length.
+
+    Whole milliseconds are counted before they move, and ranks are running sums of these counts, so neither a task nor
+    a row holds the cues of a track.
+    """
+    lasting = cues.filter(F.col("end_ms") > F.col("start_ms")).groupBy("track_id", (F.col("end_ms") - F.col("start_ms")).alias("ms")).agg(F.count("*").alias("n"))
+    totals = lasting.groupBy("track_id").agg(F.sum("n").alias("total"))
+    ranked = lasting.withColumn("upto", F.sum("n").over(Window.partitionBy("track_id").orderBy("ms").rowsBetween(Window.unboundedPreceding, Window.currentRow))).join(totals, "track_id")
+    at = lambda rank: F.min(F.when(F.col("upto") >= rank, F.col("ms")))
+    n = F.col("total")
+    picked = ranked.groupBy("track_id").agg(at(F.floor((n + 1) / 2)).alias("low"), at(F.floor(n / 2) + 1).alias("high"), at(F.floor((9 * n + 9) / 10)).alias("p90"))
+    heads = cues.groupBy("track_id").agg(F.count("*").alias("cues"), F.max("end_ms").alias("last_end_ms"))
+    out = heads.join(picked, "track_id", "left")
+    return out.select("track_id", "cues", F.coalesce("last_end_ms", F.lit(0)).alias("last_end_ms"), F.coalesce((F.col("low") + F.col("high")) / 2, F.lit(0.0)).alias("median_ms"), F.coalesce("p90", F.lit(0)).alias("p90_ms"))
+
+
 def token_counts(df: DataFrame, key: str, text_col: str) -> DataFrame:
     """(key, token, n): the words of three and more ASCII letters of the lines that are text, without stop words."""
     lines = F.filter(F.transform(F.split(F.lower(text_col), r"\r\n|[\n\r]"), lambda x: clean_text(x)), lambda x: (x != "") & ~x.rlike(r"^[0-9]+$") & ~x.contains("-->"))
@@ -57,15 +74,48 @@ def token_counts(df: DataFrame, key: str, text_col: str) -> DataFrame:
     return df.select(key, F.explode(words).alias("token")).filter(~F.col("token").isin(*STOP_WORDS)).groupBy(key, "token").agg(F.count("*").alias("n"))
 
 
-def text_similarity(pairs: DataFrame, key: str = "pair_id", left: str = "left_text", right: str = "right_text") -> DataFrame:
-    """AGG-3. (key, similarity): token F1. Both without tokens: 1; one: 0. Tokens are shuffled by (key, token), so no pair sits in one task."""
-    a = token_counts(pairs, key, left).withColumn("side", F.lit(1))
-    b = token_counts(pairs, key, right).withColumn("side", F.lit(2))
-    both = a.unionByName(b).groupBy(key, "token").agg(F.sum(F.when(F.col("side") == 1, F.col("n")).otherwise(0)).alias("x"), F.sum(F.when(F.col("side") == 2, F.col("n")).otherwise(0)).alias("y"))
-    sums = both.groupBy(key).agg(F.sum(F.least("x", "y")).alias("overlap"), F.sum("x").alias("x"), F.sum("y").alias("y"))
-    out = pairs.select(key).distinct().join(sums, key, "left")
+def similarity_of_counts(left: DataFrame, right: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, similarity): token F1 from the counts (keys, token, n) of both sides. Both without tokens: 1; one: 0."""
+    both = left.withColumn("side", F.lit(1)).unionByName(right.withColumn("side", F.lit(2)))
+    tokens = both.groupBy(*keys, "token").agg(F.sum(F.when(F.col("side") == 1, F.col("n")).otherwise(0)).alias("x"), F.sum(F.when(F.col("side") == 2, F.col("n")).otherwise(0)).alias("y"))
+    sums = tokens.groupBy(*keys).agg(F.sum(F.least("x", "y")).alias("overlap"), F.sum("x").alias("x"), F.sum("y").alias("y"))
     total = F.col("x") + F.col("y")
-    return out.select(key, F.when(total.isNull(), 1.0).when((F.col("x") == 0) | (F.col("y") == 0), 0.0).otherwise(2 * F.col("overlap") / total).alias("similarity"))
+    similarity = F.when(total.isNull(), 1.0).when((F.col("x") == 0) | (F.col("y") == 0), 0.0).otherwise(2 * F.col("overlap") / total)
+    return pairs.select(*keys).distinct().join(sums, keys, "left").select(*keys, similarity.alias("similarity"))
+
+
+def text_similarity(pairs: DataFrame, key: str = "pair_id", left: str = "left_text", right: str = "right_text") -> DataFrame:
+    """AGG-3. (key, similarity) of pairs that hold their texts. Tokens are shuffled by (key, token), so no pair sits in one task."""
+    return similarity_of_counts(token_counts(pairs, key, left), token_counts(pairs, key, right), pairs, [key])
+
+
+#: Counters of the sketch that line counts are summed up in, and how many rows of a line one task may get.
+SKETCH, HOT_ROWS = 1 << 16, 100_000
+
+
+def line_pairs(left: DataFrame, right: DataFrame, left_id: str = "left_id", right_id: str = "right_id", text: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(left_id, right_id) of texts that share a line that isn't blank, each pair once. No text moves: lines travel as hashes of 128 bits.
+
+    A sketch of SKETCH counters, the sums of the counts of the lines that fall on each, says how frequent a line of the left side can be at most. Lines that may
+    have more than hot_rows rows are salted: the left rows are dealt over as many sub-keys as they need, the right rows go to all of them.
+    """
+
+    def lines(df: DataFrame, key: str) -> DataFrame:
+        parts = df.select(F.col(key).alias(key), F.explode(F.split(text, "\n")).alias("line")).filter(F.trim("line") != "")
+        return parts.select(key, F.unhex(F.md5("line")).alias("line")).distinct().withColumn("counter", F.pmod(F.xxhash64("line"), F.lit(SKETCH)))
+
+    a, b = lines(left, left_id), lines(right, right_id)
+    hot = F.broadcast(a.groupBy("counter").agg(F.count("*").alias("n")).filter(F.col("n") > hot_rows).select("counter", F.ceil(F.col("n") / hot_rows).cast("int").alias("salts")))  # SKETCH rows at most
+    salts = F.coalesce("salts", F.lit(1))
+    dealt = a.join(hot, "counter", "left").select(left_id, "line", F.pmod(F.xxhash64(F.col(left_id)), salts).cast("int").alias("salt"))
+    copied = b.join(hot, "counter", "left").select(right_id, "line", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    return dealt.join(copied, ["line", "salt"]).select(left_id, right_id).distinct()
+
+
+def document_similarity(pairs: DataFrame, left: DataFrame, right: DataFrame, left_id: str = "left_id", right_id: str = "right_id", text: str = "text") -> DataFrame:
+    """AGG-3 on pairs of ids: (left_id, right_id, similarity). The tokens of a text are counted once, however many pairs it is in, and texts never move with the pairs."""
+    counted = lambda df, key: pairs.join(token_counts(df.join(pairs.select(key).distinct(), key, "left_semi"), key, text), key).select(left_id, right_id, "token", "n")
+    return similarity_of_counts(counted(left, left_id), counted(right, right_id), pairs, [left_id, right_id])
 
 
 def stage_totals(manifest: DataFrame, cached: DataFrame, version: str, readable: bool = True) -> DataFrame:

@@ -97,9 +97,16 @@ def verify_assets(manifest: DataFrame, inventory: DataFrame) -> DataFrame:
     return rows.select("source_manifest", "position", F.posexplode(listed).alias("n", "issue")).orderBy("source_manifest", "position", "n").drop("n")
 
 
-def assets_verdict(issues: DataFrame, expected: int, present: int) -> str:
-    """skip where any manifest is absent or any issue stands, else ready."""
-    return "skip" if present < expected or not issues.isEmpty() else "ready"
+def assets_verdicts(expected: DataFrame, present: DataFrame, issues: DataFrame) -> DataFrame:
+    """JOI-6, the verdicts: (source_manifest, issues, verdict) for each manifest expected, and as a row without one over all.
+
+    skip where a manifest isn't present or an issue stands, else ready.
+    """
+    counted = issues.groupBy("source_manifest").agg(F.count("*").alias("issues"))
+    there = present.select("source_manifest").distinct().withColumn("there", F.lit(True))
+    rows = expected.select("source_manifest").distinct().join(there, "source_manifest", "left").join(counted, "source_manifest", "left")
+    out = rows.rollup("source_manifest").agg(F.coalesce(F.sum("issues"), F.lit(0)).alias("issues"), F.count_if(F.col("there").isNull()).alias("absent"))
+    return out.select("source_manifest", "issues", F.when((F.col("issues") > 0) | (F.col("absent") > 0), "skip").otherwise("ready").alias("verdict"))
 
 
 def coalesce_runs(primary: DataFrame, fallback: DataFrame) -> DataFrame:

@@ -8,10 +8,15 @@ STAGES = ("audioExtraction", "vad", "transcription", "translation", "srtFormatti
 TERMINAL = ("succeeded", "failed", "cancelled")
 
 
+def numbered(rows: DataFrame, track: str, order: list[str], size: int, batch: str = "batch", place: str = "place") -> DataFrame:
+    """rows with their place (from 0) in their track and the number of their batch of `size`; a size under 1 makes one batch."""
+    at = F.row_number().over(Window.partitionBy(track).orderBy(*order)) - 1
+    return rows.withColumn(place, at).withColumn(batch, (F.floor(F.col(place) / size) if size >= 1 else F.lit(0)).cast("int"))
+
+
 def batch_numbers(segments: DataFrame, size: int = 8) -> DataFrame:
     """WIN-1. Order-preserving batches of `size` rows per track; a size under 1 makes one batch."""
-    place = F.row_number().over(Window.partitionBy("track_id").orderBy("index"))
-    return segments.withColumn("batch", (F.floor((place - 1) / size) if size >= 1 else F.lit(0)).cast("int"))
+    return numbered(segments, "track_id", ["index"], size, "batch", "__place").drop("__place")
 
 
 def effective_events(events: DataFrame) -> DataFrame:

@@ -5,19 +5,16 @@ Results are scalar columns: lists go out as joined text, times as whole millisec
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import scalars as S
 from ..operators import aggregates as A, filters as L, joins as J, segments as G, windows as W
 from ..operators.model_batches import map_model
-from ..sources import assets as AS, payloads as P, subtitles as T
+from ..sources import assets as AS, files as FS, payloads as P, subtitles as T
 from ..streaming import live
+from .feeds import by_time, fed, shared_folder
 from .views import view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,13 +91,13 @@ VERDICT = """verdict AS (SELECT track_id, CASE WHEN CAST(track_id AS INT) % 11 =
 @query("src2_read_segments", "WITH " + VERDICT + """ SELECT s.track_id, idx AS index, start_ms, end_ms, reason FROM {v_segments} s JOIN verdict USING (track_id) WHERE reason IS NULL
     UNION ALL SELECT track_id, NULL, NULL, NULL, reason FROM verdict WHERE reason IS NOT NULL""")
 def _(v):
-    return P.read_segments(payloads(v)).select("track_id", "index", ms("start"), ms("end"), "reason")
+    return P.read_segments(payloads(v)).select("track_id", F.col("index").cast("int").alias("index"), ms("start"), ms("end"), "reason")
 
 
 @query("src3_read_text_segments", "WITH " + VERDICT + r""" SELECT s.track_id, idx AS index, start_ms, end_ms, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text, reason FROM {v_segments} s JOIN verdict USING (track_id) WHERE reason IS NULL
     UNION ALL SELECT track_id, NULL, NULL, NULL, NULL, reason FROM verdict WHERE reason IS NOT NULL""")
 def _(v):
-    return P.read_text_segments(payloads(v)).select("track_id", "index", ms("start"), ms("end"), "text", "reason")
+    return P.read_text_segments(payloads(v)).select("track_id", F.col("index").cast("int").alias("index"), ms("start"), ms("end"), "text", "reason")
 
 
 CUE_TEXT = r"array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '' AND NOT regexp_full_match(x, '[0-9]+') AND NOT contains(x, '-->')), chr(10))"
@@ -137,17 +134,39 @@ def _(v):
     return AS.required_assets(m.withColumn("source_manifest", F.concat(F.lit("manifest-"), "manifest_order"))).select("source_manifest", "stage", "name", "url", "bytes")
 
 
+SRT_OF = f"SELECT track_id, string_agg({BLOCK.replace('{text}', 'text')}, chr(10) || chr(10) ORDER BY idx) || chr(10) AS srt FROM {{v_segments}} GROUP BY track_id"
+
+
+def subtitle_tree(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with the subtitles of every conversation, a file each."""
+    documents = T.compose_srt(segments(lambda n: view(spark, sf_dir, n)))
+    path = shared_folder(spark, "subtitles")
+    FS.write_srt(documents.select(F.concat("track_id", F.lit(".v1.srt")).alias("file_name"), "srt_text"), path)
+    return path
+
+
 def _inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return AS.file_inventory(spark, sf_dir).select("name", "bytes", "sha256", "required")
+    """The subtitles written as files, and the inventory of their tree."""
+    return FS.file_inventory(spark, subtitle_tree(spark, sf_dir))
 
 
 def _expired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(sf_dir).select("path", "length", "modificationTime")
-    return AS.expired_artifacts(files, "2100-01-01 00:00:00", 7, ".parquet").select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(subtitle_tree(spark, sf_dir)).select("path", "length", "modificationTime")
+    return AS.expired_artifacts(files, "2100-01-01 00:00:00", 7).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+
+
+def _round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subtitles written as files, read again and parsed."""
+    files = FS.read_srt(spark, subtitle_tree(spark, sf_dir))
+    return P.parse_srt(files.withColumn("track_id", F.regexp_replace("track_id", r"\.v1$", "")))
 
 
 QUERIES["src6_file_inventory"] = _inventory
+ORACLES["src6_file_inventory"] = with_views(f"SELECT track_id || '.v1' AS name, track_id || '.v1.srt' AS url, octet_length(encode(srt)) AS bytes, sha256(srt) AS sha256, TRUE AS required FROM ({SRT_OF}) x")
 QUERIES["src8_expired_artifacts"] = _expired
+ORACLES["src8_expired_artifacts"] = with_views(f"SELECT track_id || '.v1.srt' AS name, octet_length(encode(srt)) AS length FROM ({SRT_OF}) x")
+QUERIES["src4_srt_files"] = _round_trip
+ORACLES["src4_srt_files"] = ORACLES["src4_parse_srt"]
 
 
 @query("src6_inventory_of_table", "SELECT doc_id || '.v1' AS name, source || '/' || doc_id || '.v1.srt' AS url, octet_length(encode(text)) AS bytes, sha256(text) AS sha256, TRUE AS required FROM {documents}")
@@ -270,14 +289,14 @@ def _(v):
     return v("lineitem").select("l_orderkey", "l_linenumber", F.round(S.normalise_time_unit(value, F.lit(500.0), F.lit(16000)) * 1_000_000).cast("long").alias("t_us"))
 
 
-@query("seg8_slice_samples", """SELECT s.track_id, s.idx AS index, count(*) AS n, sum(ascii(c.ch) % 7) AS total FROM {v_segments} s JOIN (SELECT track_id, unnest(range(0, len(text))) AS n, unnest(list_transform(range(1, len(text) + 1), lambda i: substr(text, i, 1))) AS ch
+@query("seg8_slice_samples", """SELECT s.track_id, s.idx AS index, count(c.ch) AS n, CAST(coalesce(sum(ascii(c.ch) % 7), 0) AS BIGINT) AS total FROM {v_segments} s LEFT JOIN (SELECT track_id, unnest(range(0, len(text))) AS n, unnest(list_transform(range(1, len(text) + 1), lambda i: substr(text, i, 1))) AS ch
     FROM (SELECT track_id, string_agg(text, '' ORDER BY idx) AS text FROM {v_segments} GROUP BY track_id) q) c ON s.track_id = c.track_id AND c.n >= floor(start_ms / 1000 * 25) AND c.n < ceil(end_ms / 1000 * 25) GROUP BY 1, 2""")
 def _(v):
     """The characters of a track as its signal, 25 a second; each segment gets its own back."""
     whole = v("v_segments").groupBy("track_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), "").alias("all"))
     signals = whole.select("track_id", F.lit(25).alias("rate"), F.transform(F.split("all", ""), lambda c: F.ascii(c) % 7).alias("pcm"))
     out = G.slice_samples(segments(v).select("track_id", "index", "start", "end"), signals)
-    return out.filter(F.size("samples") > 0).select("track_id", "index", F.size("samples").cast("long").alias("n"), F.aggregate("samples", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+    return out.select("track_id", "index", F.size("samples").cast("long").alias("n"), F.aggregate("samples", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
 @query("seg8_slice_long_samples", """SELECT s.track_id, s.k, count(*) AS n, sum(e.event_id) AS total FROM {v_silences} s JOIN {v_timed} e ON s.track_id = e.track_id AND e.t_us >= s.start_us AND e.t_us < s.end_us GROUP BY 1, 2""")
@@ -326,17 +345,35 @@ def _(v):
     return J.missing_assets(v("v_assets"), v("v_cached"), "v1")
 
 
-@query("joi6_verify_assets", """WITH m AS (SELECT p_partkey, stage, CASE WHEN p_partkey % 29 = 0 THEN '' WHEN p_partkey % 31 = 0 THEN 'https://x/' || p_partkey ELSE url END AS url, bytes, CASE WHEN p_partkey % 37 = 0 THEN NULL ELSE sha256 END AS sha256 FROM {v_assets}),
+ISSUES = """m AS (SELECT p_partkey, stage, CASE WHEN p_partkey % 29 = 0 THEN '' WHEN p_partkey % 31 = 0 THEN 'https://x/' || p_partkey ELSE url END AS url, bytes, CASE WHEN p_partkey % 37 = 0 THEN NULL ELSE sha256 END AS sha256 FROM {v_assets}),
     i AS (SELECT url, coalesce(bytes, 7) + CASE WHEN p_partkey % 43 = 0 THEN 1 ELSE 0 END AS b, CASE WHEN p_partkey % 47 = 0 THEN 'x' ELSE sha256 END AS s FROM {v_assets} WHERE p_partkey % 23 <> 0),
-    j AS (SELECT m.*, i.b, i.s FROM m LEFT JOIN i ON m.url = i.url)
-    SELECT stage AS source_manifest, p_partkey AS position, issue FROM (SELECT stage, p_partkey, unnest([
+    j AS (SELECT m.*, i.b, i.s FROM m LEFT JOIN i ON m.url = i.url),
+    found AS (SELECT stage AS source_manifest, p_partkey AS position, issue FROM (SELECT stage, p_partkey, unnest([
         CASE WHEN url = '' THEN 'url is required' WHEN url LIKE 'https://%' THEN 'remote asset URL' WHEN b IS NULL THEN 'packaged file is missing' END, CASE WHEN sha256 IS NULL THEN 'sha256 is required' END,
-        CASE WHEN bytes IS NULL THEN 'bytes must be a positive integer' END, CASE WHEN b <> bytes THEN 'bytes mismatch' END, CASE WHEN s <> sha256 THEN 'sha256 mismatch' END]) AS issue FROM j) x WHERE issue IS NOT NULL""")
-def _(v):
+        CASE WHEN bytes IS NULL THEN 'bytes must be a positive integer' END, CASE WHEN b <> bytes THEN 'bytes mismatch' END, CASE WHEN s <> sha256 THEN 'sha256 mismatch' END]) AS issue FROM j) x WHERE issue IS NOT NULL)"""
+
+
+def packaged(v) -> tuple[DataFrame, DataFrame]:
+    """The parts as assets of a manifest for each brand, and an inventory that disagrees with some."""
     a, k = v("v_assets"), F.col("p_partkey")
     m = a.select(F.col("stage").alias("source_manifest"), k.alias("position"), F.when(k % 29 == 0, "").when(k % 31 == 0, F.concat(F.lit("https://x/"), k)).otherwise(F.col("url")).alias("url"), "bytes", F.when(k % 37 != 0, F.col("sha256")).alias("sha256"))
-    i = a.filter(k % 23 != 0).select("url", (F.coalesce("bytes", F.lit(7)) + (k % 43 == 0).cast("int")).alias("bytes"), F.when(k % 47 == 0, "x").otherwise(F.col("sha256")).alias("sha256"))
-    return J.verify_assets(m, i)
+    return m, a.filter(k % 23 != 0).select("url", (F.coalesce("bytes", F.lit(7)) + (k % 43 == 0).cast("int")).alias("bytes"), F.when(k % 47 == 0, "x").otherwise(F.col("sha256")).alias("sha256"))
+
+
+@query("joi6_verify_assets", "WITH " + ISSUES + " SELECT source_manifest, position, issue FROM found")
+def _(v):
+    return J.verify_assets(*packaged(v))
+
+
+@query("joi6_assets_verdicts", "WITH " + ISSUES + """, e AS (SELECT DISTINCT p_partkey // 20 AS pack FROM {part}), c AS (SELECT position // 20 AS pack, count(*) AS n FROM found WHERE position // 20 % 10 <> 7 GROUP BY 1), r AS (SELECT e.pack, coalesce(n, 0) AS n, e.pack % 10 = 7 AS absent FROM e LEFT JOIN c ON e.pack = c.pack)
+    SELECT 'pack-' || pack AS source_manifest, n AS issues, CASE WHEN n > 0 OR absent THEN 'skip' ELSE 'ready' END AS verdict FROM r UNION ALL SELECT NULL, CAST(sum(n) AS BIGINT), CASE WHEN sum(n) > 0 OR bool_or(absent) THEN 'skip' ELSE 'ready' END FROM r""")
+def _(v):
+    """Twenty parts make a manifest; every tenth manifest is absent."""
+    m, i = packaged(v)
+    pack = F.expr("position div 20")
+    expected = m.select(F.concat(F.lit("pack-"), pack).alias("source_manifest"))
+    there = m.filter(pack % 10 != 7).withColumn("source_manifest", F.concat(F.lit("pack-"), pack))
+    return J.assets_verdicts(expected, there, J.verify_assets(there, i))
 
 
 @query("joi7_coalesce_runs", """WITH p AS (SELECT run_id, stage, runtime = 'browser' AS d, CASE WHEN event_id % 7 = 0 THEN NULL ELSE 'own' || event_id END AS own, CASE WHEN event_id % 7 = 0 THEN 'error ' || event_id END AS err, strategy FROM {v_stage_results} WHERE event_id % 13 <> 0),
@@ -380,6 +417,14 @@ def _(v):
     return d.select("track_id", "bytes", F.col("blocks").cast("long").alias("blocks"), "last_end_ms", F.array_join("durations", ",").alias("durations"), "median_ms", "p90_ms")
 
 
+@query("agg2_cue_diagnostics", """SELECT track_id, count(*) AS cues, max(end_ms) AS last_end_ms, quantile_cont(end_ms - start_ms, 0.5) AS median_ms, list_sort(list(end_ms - start_ms))[(9 * count(*) + 9) // 10] AS p90_ms
+    FROM (SELECT l_returnflag || l_linestatus AS track_id, l_orderkey * 1000 AS start_ms, l_orderkey * 1000 + CAST(l_quantity AS BIGINT) * 100 + l_linenumber AS end_ms FROM {lineitem}) x GROUP BY track_id""")
+def _(v):
+    """The line items as cues of a few tracks, each of which holds a large part of all cues."""
+    start = F.col("l_orderkey") * 1000
+    return A.cue_diagnostics(v("lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("track_id"), start.alias("start_ms"), (start + F.col("l_quantity").cast("bigint") * 100 + F.col("l_linenumber")).alias("end_ms")))
+
+
 STOPS = ", ".join(f"'{w}'" for w in A.STOP_WORDS)
 
 
@@ -398,9 +443,16 @@ def _(v):
     return A.text_similarity(v("v_pairs")).select("pair_id", F.round(F.col("similarity") * 1_000_000).cast("long").alias("similarity_ppm"))
 
 
-@query("agg3_benchmark_quotes", "WITH " + similarity_sql("{v_quotes}", "pair_id", "left_text", "right_text") + " SELECT pair_id, CAST(round(similarity * 1000000) AS BIGINT) AS similarity_ppm FROM similar_")
+QUOTES = """pairs AS (SELECT DISTINCT doc_id, item_id FROM {v_doc_lines} d JOIN {v_item_lines} b ON d.line = b.line WHERE trim(d.line) <> ''),
+    quotes AS (SELECT d.doc_id || '-' || b.item_id AS pair_id, d.text AS left_text, b.text AS right_text FROM pairs p JOIN {documents} d ON p.doc_id = d.doc_id JOIN {benchmark} b ON p.item_id = b.item_id)"""
+
+
+@query("agg3_benchmark_quotes", "WITH " + QUOTES + ", " + similarity_sql("quotes", "pair_id", "left_text", "right_text") + " SELECT pair_id, CAST(round(similarity * 1000000) AS BIGINT) AS similarity_ppm FROM similar_")
 def _(v):
-    return A.text_similarity(v("v_quotes")).select("pair_id", F.round(F.col("similarity") * 1_000_000).cast("long").alias("similarity_ppm"))
+    """Documents and the benchmark items that they share a line with."""
+    documents, items = v("documents").select(F.col("doc_id").alias("left_id"), "text"), v("benchmark").select(F.col("item_id").alias("right_id"), "text")
+    out = A.document_similarity(A.line_pairs(documents, items), documents, items)
+    return out.select(F.concat_ws("-", "left_id", "right_id").alias("pair_id"), F.round(F.col("similarity") * 1_000_000).cast("long").alias("similarity_ppm"))
 
 
 FLAGGED = "SELECT a.*, c.url IS NOT NULL AS cached FROM {v_assets} a LEFT JOIN {v_cached} c ON a.url || '?v=v1' = c.url WHERE required"
@@ -619,6 +671,13 @@ def _(v):
     return A.manifest_issues(rows)
 
 
+@query("fun9_checksums", """SELECT doc_id, coalesce(length(e) = 64 AND regexp_full_match(e, '[a-fA-F0-9]+') AND lower(e) = lower(sha256(text)), FALSE) AS ok FROM (SELECT doc_id, text, CASE doc_id % 5 WHEN 0 THEN upper(sha256(text)) WHEN 1 THEN substr(sha256(text), 2) WHEN 2 THEN sha256(text || ' ') WHEN 3 THEN NULL ELSE sha256(text) END AS e FROM {documents}) x""")
+def _(v):
+    k, own = F.col("doc_id") % 5, F.sha2("text", 256)
+    expected = F.when(k == 0, F.upper(own)).when(k == 1, F.substring(own, 2, 64)).when(k == 2, F.sha2(F.concat("text", F.lit(" ")), 256)).when(k == 4, own)
+    return v("documents").select("doc_id", expected.alias("expected"), own.alias("actual")).select("doc_id", F.coalesce(A.checksum_ok("expected", "actual"), F.lit(False)).alias("ok"))
+
+
 @query("fun10_stage_text", f"""SELECT event_id, CASE stage WHEN 'audioExtraction' THEN 'Audio extraction' WHEN 'vad' THEN 'VAD / segmentation' WHEN 'transcription' THEN 'Transcription' WHEN 'translation' THEN 'Translation' ELSE 'SRT formatting' END || CASE WHEN runtime = 'browser' THEN ': Browser' ELSE ': Python fallback' END
     || ' (' || strategy || ')' || CASE WHEN runtime <> 'browser' AND stage <> 'srtFormatting' THEN ' via ' || {ENDPOINT} ELSE '' END || CASE WHEN reason IS NOT NULL THEN ' — fallback reason: ' || reason ELSE '' END
     || CASE WHEN event_id % 4 = 0 THEN ' — model bootstrap: bootstrap-required, ' || CASE WHEN b >= 1048576 THEN {one_sql('(b / 1048576)')} || ' MB' WHEN b >= 1024 THEN {one_sql('(b / 1024)')} || ' KB' ELSE b || ' B' END || ' remaining, missing a, b' ELSE '' END AS text FROM (SELECT *, event_id % 1000 * CASE WHEN event_id % 12 = 0 THEN 1 ELSE 2000 END AS b FROM {{v_stage_results}}) x""")
@@ -632,57 +691,109 @@ def _(v):
 
 # --- streams and user functions ---------------------------------------------------------------
 
-def stream_of(spark: SparkSession, sf_dir: str, name: str, files: int = 4) -> DataFrame:
-    """A table as a stream of a file at a time."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", f"{name}*.parquet").parquet(sf_dir)
+def job_events(v) -> DataFrame:
+    e = v("v_job_events")
+    return e.select("job_id", "seq", F.col("ts").cast("timestamp").alias("ts"), "kind", "status", "stage", "progress")
+
 
+def in_parts(rows: DataFrame, column: str, n: int) -> list[DataFrame]:
+    part = by_time(rows, column, n)
+    return [rows.filter(part == k) for k in range(n)]
 
-def drained(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """What a stream gives on all that is there now, written to a table in the checkpoint folder."""
-    spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='stream-')}"
-    root = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    schema = stream.schema
 
-    def put(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{root}/out/epoch={epoch}")
+def last_snapshots(out: DataFrame) -> DataFrame:
+    return out.groupBy("job_id").agg(F.max_by(F.struct("status", "stage", "progress"), F.struct("epoch", "seq")).alias("s")).select("job_id", "s.*")
+
 
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").foreachBatch(put).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(schema.add("epoch", IntegerType())).option("recursiveFileLookup", True).parquet(f"{root}/out")
+#: Longer than any table's time.
+FOR_GOOD = 100 * 365 * 24 * live.HOUR_MS
 
 
 def _job_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream's last snapshot of each job; the same rows as the batch form."""
-    e = stream_of(spark, sf_dir, "events")
-    kind = F.when(F.col("event_type") == "error", "cancel").when(F.col("event_type") == "view", "put").otherwise("progress")
-    status = F.when(F.col("value") > 200, "failed").when(F.col("event_type") == "view", "queued").when((F.col("event_type") == "signup") & (F.col("value") > 100), "succeeded").otherwise("running")
-    stage = F.when(F.col("event_type") == "click", "transcribing").when(F.col("event_type") == "purchase", "translating").when(F.col("event_type") == "signup", "ready").otherwise("queued")
-    rows = e.filter("NOT (event_type = 'error' AND event_id % 4 <> 0)").select(F.col("user_id").cast("string").alias("job_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("seq"), kind.alias("kind"), status.alias("status"), stage.alias("stage"), (F.col("event_id") % 100).cast("int").alias("progress"))
-    out = drained(live.job_state_stream(rows, keep_terminal_ms=None), "jobs", "update")
-    return out.groupBy("job_id").agg(F.max_by(F.struct("status", "stage", "progress"), F.struct("epoch", "seq")).alias("s")).select("job_id", "s.*")
+    events = job_events(lambda n: view(spark, sf_dir, n))
+    return last_snapshots(fed(in_parts(events, "ts", 2), lambda e: live.job_state_stream(e, keep_terminal_ms=FOR_GOOD, keep_idle_ms=FOR_GOOD), "jobs", "update"))
 
 
 QUERIES["str1_job_state_stream"] = _job_stream
 ORACLES["str1_job_state_stream"] = with_views("WITH " + SNAPSHOTS + " SELECT job_id, status, stage, progress FROM snap")
 
+DONE, TOTAL = "(event_id % 65)", 64
+
+
+def _progress_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Progress comes as lines of the workers, some of them no JSON or without a total; puts, ends and cancels as events."""
+    e = view(spark, sf_dir, "v_job_events").join(view(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("job_id"), "ts", "event_id"), ["job_id", "ts"]).withColumn("ts", F.col("ts").cast("timestamp"))
+    line = F.when(F.col("event_id") % 11 == 0, "size=12").when(F.col("event_id") % 13 == 0, '{"done": 3, "total": 0}').when(F.col("event_id") % 17 == 0, '{"done": ').otherwise(F.to_json(F.struct(F.expr(DONE).alias("done"), F.lit(TOTAL).alias("total"))))
+    worker = F.col("stage").isin("transcribing", "translating") & (F.col("kind") == "progress") & (F.col("status") == "running")
+    rows = e.select("job_id", "seq", "ts", "kind", "status", "stage", "progress", F.when(worker, line).alias("line"))
+    stream = lambda r: live.job_state_of_lines(r.filter("line IS NULL"), r.filter("line IS NOT NULL"), keep_terminal_ms=FOR_GOOD, keep_idle_ms=FOR_GOOD)
+    return last_snapshots(fed(in_parts(rows, "ts", 2), stream, "lines", "update"))
+
+
+QUERIES["str1_progress_lines"] = _progress_lines
+LINES = f"""lined AS (SELECT j.*, event_id, kind = 'progress' AND status = 'running' AND stage IN ('transcribing', 'translating') AS worker FROM {{v_job_events}} j JOIN {{events}} e ON j.job_id = CAST(e.user_id AS STRING) AND j.ts = e.ts),
+    said AS (SELECT job_id, seq, ts, kind, status, stage, CASE WHEN NOT worker THEN progress WHEN stage = 'translating' THEN CAST(55 + round_even({DONE} / {TOTAL} * 35, 0) AS INT) ELSE CAST(round_even({DONE} / {TOTAL} * 55, 0) AS INT) END AS progress FROM lined WHERE NOT worker OR event_id % 11 <> 0 AND event_id % 13 <> 0 AND event_id % 17 <> 0)"""
+ORACLES["str1_progress_lines"] = with_views("WITH " + LINES + ", " + SNAPSHOTS.replace("{v_job_events}", "said") + " SELECT job_id, status, stage, progress FROM snap")
+
+#: The orders of a customer as the news of a job, the last of some customers a cancel; a job without news is dropped after so many days.
+IDLE_DAYS, FEEDS = 120, 4
+
+
+def expiring_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = view(spark, sf_dir, "orders")
+    number, last = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")), F.count("*").over(Window.partitionBy("o_custkey"))
+    rows = o.select("o_custkey", "o_orderkey", F.col("o_orderdate").cast("timestamp").alias("ts"), number.alias("seq"), last.alias("last"))
+    cancel = (F.col("seq") == F.col("last")) & (F.col("o_orderkey") % 2 == 0)
+    return rows.select(F.col("o_custkey").cast("string").alias("job_id"), "seq", "ts", F.when(cancel, "cancel").otherwise("progress").alias("kind"), F.lit("running").alias("status"), F.lit("transcribing").alias("stage"), (F.col("o_orderkey") % 100).cast("int").alias("progress"))
+
+
+def _expiring(spark: SparkSession, sf_dir: str, seen: Callable[[list], None] = lambda progress: None) -> DataFrame:
+    """Jobs that a cancel finds no more, since they were dropped before, stay as they were."""
+    idle = IDLE_DAYS * 24 * live.HOUR_MS
+    return last_snapshots(fed(in_parts(expiring_jobs(spark, sf_dir), "ts", FEEDS), lambda e: live.job_state_stream(e, keep_terminal_ms=idle, keep_idle_ms=idle), "expiring", "update", seen))
+
+
+QUERIES["str1_expiring_jobs"] = _expiring
+EXPIRING = f"""o AS (SELECT CAST(o_custkey AS STRING) AS job_id, o_orderkey, epoch_us(o_orderdate) AS t, row_number() OVER w AS seq, count(*) OVER (PARTITION BY o_custkey) AS last FROM {{orders}} WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+    ends AS (SELECT min(t) AS low, max(t) AS high FROM o), p AS (SELECT o.*, least({FEEDS - 1}, CAST(floor((t - low) * {FEEDS} / (high - low)) AS INT)) AS feed FROM o, ends),
+    marks AS (SELECT feed, max(max(t)) OVER (ORDER BY feed) - 600000000 AS mark FROM p GROUP BY feed),
+    pairs AS (SELECT b.job_id, a.t AS before_t, a.feed AS before_feed, b.feed, a.o_orderkey % 100 AS before_progress, b.o_orderkey % 100 AS progress, b.o_orderkey % 2 = 0 AS cancel, a.job_id IS NOT NULL AS known FROM p b LEFT JOIN p a ON a.job_id = b.job_id AND a.seq = b.seq - 1 WHERE b.seq = b.last),
+    judged AS (SELECT pairs.*, cancel AND (NOT known OR before_feed < pairs.feed AND before_t + {IDLE_DAYS} * 86400000000 <= m.mark) AS lost FROM pairs LEFT JOIN marks m ON m.feed = pairs.feed - 1)"""
+ORACLES["str1_expiring_jobs"] = with_views("WITH " + EXPIRING + """ SELECT job_id, CASE WHEN cancel AND NOT lost THEN 'cancelled' ELSE 'running' END AS status, CASE WHEN cancel AND NOT lost THEN 'cancelled' ELSE 'transcribing' END AS stage, CAST(CASE WHEN cancel THEN before_progress ELSE progress END AS INT) AS progress FROM judged WHERE known OR NOT cancel""")
+
+
+def voiced_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("track_id"), F.col("ts").cast("timestamp").alias("ts"), (-F.col("value")).alias("level_db"), "event_id")
+
+
+def sessions_of(frames: DataFrame) -> DataFrame:
+    return live.speech_sessions_stream(frames, noise_db=-35.0, gap="1 hour", max_s=1800.0)
+
 
 def _speech_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All files in one batch, so that no frame is late: the sessions that the watermark has closed."""
-    e = stream_of(spark, sf_dir, "events", 1_000_000).select(F.col("user_id").cast("string").alias("track_id"), F.col("ts").cast("timestamp").alias("ts"), (-F.col("value")).alias("level_db"))
-    out = drained(live.speech_sessions_stream(e, noise_db=-35.0, gap="1 hour", max_s=1800.0), "speech", "append")
+    """All frames in one batch, so that none is late: the sessions that the watermark has closed."""
+    out = fed([voiced_frames(spark, sf_dir)], sessions_of, "speech", "append")
     return out.select("track_id", "n_frames", us("start"), us("end"))
 
 
-QUERIES["str2_speech_sessions_stream"] = _speech_stream
-SESSIONS = """voiced AS (SELECT CAST(user_id AS STRING) AS track_id, epoch_us(ts) AS t FROM {events} WHERE -value > -35), begun AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY track_id ORDER BY t) <= 3600000000 THEN 0 ELSE 1 END AS b FROM voiced),
+def _late_frames(spark: SparkSession, sf_dir: str, seen: Callable[[list], None] = lambda progress: None) -> DataFrame:
+    """Frames in the order of time in four batches, but a tenth of the first batch's come with the last: too late, so they are in no session."""
+    frames = voiced_frames(spark, sf_dir)
+    part = by_time(frames, "ts", FEEDS)
+    given = F.when((part == 0) & (F.col("event_id") % 10 == 3), FEEDS - 1).otherwise(part)
+    out = fed([frames.filter(given == k) for k in range(FEEDS)], sessions_of, "late", "append", seen)
+    return out.select("track_id", "n_frames", us("start"), us("end"))
+
+
+SESSIONS = """voiced AS (SELECT CAST(user_id AS STRING) AS track_id, epoch_us(ts) AS t, event_id FROM {events} WHERE -value > -35), in_time AS (SELECT * FROM voiced WHERE {in_time}), begun AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY track_id ORDER BY t) <= 3600000000 THEN 0 ELSE 1 END AS b FROM in_time),
     numbered AS (SELECT *, sum(b) OVER (PARTITION BY track_id ORDER BY t, b) AS k FROM begun), sessions AS (SELECT track_id, count(*) AS n_frames, min(t) AS start_us, max(t) AS end_us FROM numbered GROUP BY track_id, k HAVING max(t) - min(t) >= 400000 AND max(t) + 3600000000 <= (SELECT max(t) // 1000 * 1000 - 10000000 FROM voiced))"""
-ORACLES["str2_speech_sessions_stream"] = with_views("WITH " + SESSIONS + ", " + SPLIT.replace("{src}", "sessions").replace("12000000", "1800000000") + " SELECT track_id, n_frames, low AS start_us, high AS end_us FROM cut")
+CLOSED = ", " + SPLIT.replace("{src}", "sessions").replace("12000000", "1800000000") + " SELECT track_id, n_frames, low AS start_us, high AS end_us FROM cut"
+IN_TIME = f"event_id % 10 <> 3 OR (t - (SELECT min(epoch_us(ts)) FROM {{events}})) * {FEEDS} >= (SELECT max(epoch_us(ts)) - min(epoch_us(ts)) FROM {{events}})"
+QUERIES["str2_speech_sessions_stream"] = _speech_stream
+ORACLES["str2_speech_sessions_stream"] = with_views("WITH " + SESSIONS.replace("{in_time}", "TRUE") + CLOSED)
+QUERIES["str2_late_frames"] = _late_frames
+ORACLES["str2_late_frames"] = with_views("WITH " + SESSIONS.replace("{in_time}", IN_TIME) + CLOSED)
 
 
 def bracketing():
@@ -692,3 +803,14 @@ def bracketing():
 @query("udf1_map_model", r"SELECT track_id, idx AS index, CASE WHEN regexp_full_match(text, '\s*') THEN '' ELSE '<' || text || '>' END AS translated_text FROM {v_segments}")
 def _(v):
     return map_model(segments(v), bracketing).select("track_id", "index", "translated_text")
+
+
+def joining():
+    """Each text with the texts of its batch before it: a function of context."""
+    return lambda texts: ["|".join(texts[: k + 1]) for k in range(len(texts))]
+
+
+@query("udf1_ordered_batches", r"""WITH b AS (SELECT track_id, idx, text, (idx - 1) // 3 AS batch FROM {v_segments}) SELECT track_id, idx AS index, CASE WHEN regexp_full_match(text, '\s*') THEN '' ELSE
+    string_agg(CASE WHEN NOT regexp_full_match(text, '\s*') THEN text END, '|') OVER (PARTITION BY track_id, batch ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS translated_text FROM b""")
+def _(v):
+    return map_model(segments(v), joining, batch=3, track="track_id", order=("index",)).select("track_id", "index", "translated_text")

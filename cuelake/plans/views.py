@@ -31,17 +31,17 @@ VIEWS = {
         CASE doc_id % 3 WHEN 0 THEN 'audioExtraction' WHEN 1 THEN 'transcription' ELSE 'translation' END AS stage FROM {documents}""",
     # neighbours of one source within a range of ids, so that no window grows with the table
     "v_pairs": """SELECT * FROM (SELECT doc_id AS pair_id, text AS left_text, lead(text) OVER (PARTITION BY source, CAST(floor(doc_id / 1000) AS BIGINT) ORDER BY doc_id) AS right_text FROM {documents}) p WHERE right_text IS NOT NULL""",
-    # documents that quote a line of a benchmark item
-    "v_quotes": """SELECT DISTINCT d.doc_id * 100000 + b.item_id AS pair_id, d.text AS left_text, b.text AS right_text FROM
-        (SELECT doc_id, text, {EXPLODE_D} AS line FROM {documents}) d JOIN (SELECT item_id, text, {EXPLODE_B} AS line FROM {benchmark}) b ON d.line = b.line WHERE length(b.line) > 20""",
-    "v_direct": """SELECT DISTINCT 'n' || c_nationkey AS source, 'n' || s_nationkey AS target FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
-        JOIN {customer} ON o_custkey = c_custkey JOIN {supplier} ON l_suppkey = s_suppkey WHERE l_quantity >= 50 AND l_discount = 0""",
+    # lines of documents and of benchmark items
+    "v_doc_lines": "SELECT doc_id, {EXPLODE} AS line FROM {documents}",
+    "v_item_lines": "SELECT item_id, {EXPLODE} AS line FROM {benchmark}",
+    "v_direct": """SELECT 'n' || c_nationkey AS source, 'n' || s_nationkey AS target FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
+        JOIN {customer} ON o_custkey = c_custkey JOIN {supplier} ON l_suppkey = s_suppkey GROUP BY c_nationkey, s_nationkey HAVING count(*) % 3 = 0""",
     "v_requests": "SELECT o_orderkey, 'n' || (o_custkey % 25) AS source, 'n' || (o_orderkey % 25) AS target FROM {orders}",
     "v_job_events": """SELECT CAST(user_id AS STRING) AS job_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS seq, ts,
-        CASE WHEN event_type = 'error' THEN 'cancel' WHEN event_type = 'view' THEN 'put' ELSE 'progress' END AS kind,
+        CASE WHEN event_type = 'error' AND event_id % 4 = 0 THEN 'cancel' WHEN event_type = 'view' THEN 'put' ELSE 'progress' END AS kind,
         CASE WHEN value > 200 THEN 'failed' WHEN event_type = 'view' THEN 'queued' WHEN event_type = 'signup' AND value > 100 THEN 'succeeded' ELSE 'running' END AS status,
         CASE event_type WHEN 'click' THEN 'transcribing' WHEN 'purchase' THEN 'translating' WHEN 'signup' THEN 'ready' ELSE 'queued' END AS stage,
-        CAST(event_id % 100 AS INT) AS progress FROM {events} WHERE NOT (event_type = 'error' AND event_id % 4 <> 0)""",
+        CAST(event_id % 100 AS INT) AS progress FROM {events}""",
     "v_stage_rows": """SELECT user_id || '-' || CAST(CAST(ts AS DATE) AS STRING) AS run_id, ts, event_id,
         CASE event_type WHEN 'view' THEN 'audioExtraction' WHEN 'click' THEN 'vad' WHEN 'purchase' THEN 'transcription' WHEN 'signup' THEN 'translation' ELSE 'srtFormatting' END AS stage,
         CASE WHEN event_id % 3 = 0 THEN 'server-fallback' ELSE 'browser' END AS runtime,
@@ -54,8 +54,8 @@ VIEWS = {
 }
 
 EXPLODES = {
-    "spark": {"US": "unix_micros(CAST(ts AS TIMESTAMP))", "EXPLODE_D": "explode(split(text, '\\n'))", "EXPLODE_B": "explode(split(text, '\\n'))"},
-    "duckdb": {"US": "epoch_us(ts)", "EXPLODE_D": "unnest(string_split(text, chr(10)))", "EXPLODE_B": "unnest(string_split(text, chr(10)))"},
+    "spark": {"US": "unix_micros(CAST(ts AS TIMESTAMP))", "EXPLODE": "explode(split(text, '\\n'))"},
+    "duckdb": {"US": "epoch_us(ts)", "EXPLODE": "unnest(string_split(text, chr(10)))"},
 }
 
 

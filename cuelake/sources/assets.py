@@ -28,14 +28,8 @@ def read_asset_manifests(spark: SparkSession, paths: list[str]) -> DataFrame:
     return required_assets(files.select(F.coalesce(order, F.lit(len(paths))).alias("manifest_order"), F.col("file").alias("source_manifest"), F.coalesce("assets", F.array().cast(ASSETS)).alias("assets")))
 
 
-def file_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-6. (name, url, bytes, sha256, required) of the files under path, sorted by path. Hashing runs file by file on the executors;
-    Spark leaves out names that begin with a dot or an underscore."""
-    return inventory_of(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path), path)
-
-
 def inventory_of(files: DataFrame, path: str) -> DataFrame:
-    """SRC-6 on a table (path, length, content) of the files under path."""
+    """SRC-6 on a table (path, length, content) of the files under path; files.file_inventory reads a tree."""
     scheme = r"^[A-Za-z][A-Za-z0-9+.-]*:/*"
     root = re.sub(scheme, "/", path).rstrip("/") + "/"
     url = F.substring(F.regexp_replace("path", scheme, "/"), len(root) + 1, 1 << 20)

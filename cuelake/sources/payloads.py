@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import SRT_TIME, clean_text, parse_srt_ms
 
 MAX_DURATION = 9000.0
-SEGMENT = "index string, start string, end string, text string"
+#: Texts that spell a number, or a whole one; single underscores may part digits.
+SPELT = r"^[+-]?([0-9]+(_[0-9]+)*\.?([0-9]+(_[0-9]+)*)?|\.[0-9]+(_[0-9]+)*)([eE][+-]?[0-9]+(_[0-9]+)*)?$"
+SPELT_WHOLE = r"^[+-]?[0-9]+(_[0-9]+)*$"
 
 
 def media_catalogue(df: DataFrame, max_s: float = MAX_DURATION) -> DataFrame:
@@ -22,26 +24,48 @@ def media_catalogue(df: DataFrame, max_s: float = MAX_DURATION) -> DataFrame:
     return df.withColumn("reject_reason", reason)
 
 
+def json_number(x: Column, missing: Column, whole: bool = False) -> Column:
+    """A member of an object as a number (`whole`: cut to a whole one): missing members have their default, true and false are 1 and 0, texts count if they spell a number; null, lists, objects and other texts give null."""
+    kind = F.schema_of_variant(x)
+    said = F.regexp_replace(clean_text(F.try_variant_get(x, "$", "string")), "_", "")
+    spelt = F.when(clean_text(F.try_variant_get(x, "$", "string")).rlike(SPELT_WHOLE if whole else SPELT), said.try_cast("bigint" if whole else "double"))
+    number = F.when(kind == "BIGINT", F.try_variant_get(x, "$", "bigint")).otherwise(F.try_variant_get(x, "$", "double").try_cast("bigint")) if whole else F.try_variant_get(x, "$", "double")
+    return (
+        F.when(x.isNull(), missing)
+        .when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), number)
+        .when(kind == "BOOLEAN", F.try_variant_get(x, "$", "boolean").cast("int"))
+        .when(kind == "STRING", spelt)
+    )
+
+
+def json_text(x: Column) -> Column:
+    """A member of an object as trimmed text: '' if it is missing, and the words None, True and False for null, true and false."""
+    kind = F.schema_of_variant(x)
+    word = F.when(kind == "VOID", "None").when(kind == "BOOLEAN", F.initcap(F.try_variant_get(x, "$", "string"))).otherwise(F.try_variant_get(x, "$", "string"))
+    return F.when(x.isNull(), "").otherwise(clean_text(word))
+
+
 def read_segments(df: DataFrame, json_col: str = "payload", with_text: bool = False) -> DataFrame:
     """SRC-2, SRC-3. Segments (track_id, index, start, end[, text]) with the track's reason: one bad element rejects all of a payload.
 
     A rejected track comes as one row with null segments and the reason of its first bad element. Missing times are 0, a missing index is the position;
-    an index that is a number is cut to a whole one.
+    a null is not missing, and no number (see json_number). A payload that is no JSON, or names a member twice, has no segments.
     """
-    elements = F.from_json(F.col(json_col), "array<string>")
-    rows = df.select("track_id", F.posexplode_outer(elements).alias("pos", "element")).withColumn("item", F.from_json("element", SEGMENT))
-    number = lambda c, other: F.when(F.col(c).isNull(), F.lit(other)).otherwise(F.col(c).try_cast("double"))
-    start, end = number("item.start", 0.0), number("item.end", 0.0)
+    elements = F.try_variant_get(F.try_parse_json(json_col), "$", "array<variant>")
+    rows = df.select("track_id", F.posexplode_outer(elements).alias("pos", "element"))
+    member = lambda c: F.try_variant_get("element", f"$.{c}", "variant")
+    items = rows.select("track_id", "pos", F.coalesce(F.schema_of_variant("element").startswith("OBJECT"), F.lit(False)).alias("is_object"), *[member(c).alias(c) for c in ("index", "start", "end", "text")])
+    start, end = json_number(F.col("start"), F.lit(0.0)), json_number(F.col("end"), F.lit(0.0))
+    index = json_number(F.col("index"), (F.col("pos") + 1).cast("bigint"), whole=True)
+    read = items.select("track_id", "pos", "is_object", index.cast("bigint").alias("index"), start.cast("double").alias("start"), end.cast("double").alias("end"), *([json_text(F.col("text")).alias("text")] if with_text else []))
     reason = (
         F.when(F.col("pos").isNull(), "At least one segment is required.")
-        .when(~F.coalesce(clean_text("element").startswith("{"), F.lit(False)), "Each segment must be an object.")
-        .when(start.isNull() | end.isNull(), "Segment times must be numbers.")
-        .when(end <= start, "Segment end must be after its start.")
-        .when(F.col("item.index").isNotNull() & F.col("item.index").try_cast("double").try_cast("int").isNull(), "Segment index must be a number.")
+        .when(~F.col("is_object"), "Each segment must be an object.")
+        .when(F.col("start").isNull() | F.col("end").isNull(), "Segment times must be numbers.")
+        .when(F.col("end") <= F.col("start"), "Segment end must be after its start.")
+        .when(F.col("index").isNull(), "Segment index must be a number.")
     )
-    index = F.coalesce(F.col("item.index").try_cast("double").try_cast("int"), F.col("pos") + 1)
-    text = F.coalesce(clean_text("item.text"), F.lit(""))
-    flat = rows.select("track_id", "pos", index.alias("index"), start.alias("start"), end.alias("end"), *([text.alias("text")] if with_text else []), reason.alias("reason"))
+    flat = read.withColumn("reason", reason)
     verdict = F.min(F.when(F.col("reason").isNotNull(), F.struct("pos", "reason"))).over(Window.partitionBy("track_id"))["reason"]
     kept = flat.withColumn("reason", verdict).filter("reason IS NULL OR coalesce(pos, 0) = 0")
     blank = [F.when(F.col("reason").isNull(), F.col(c)).alias(c) for c in ("index", "start", "end", *(["text"] if with_text else []))]
@@ -78,12 +102,6 @@ def parse_srt(df: DataFrame, text_col: str = "srt_text") -> DataFrame:
     return out.withColumn("issue", issue)
 
 
-def read_srt(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(track_id, srt_text, bytes) of subtitle files: the path names the track; bytes are those of the file, a byte order mark included."""
-    files = spark.read.format("binaryFile").load(paths)
-    return files.select(F.col("path").alias("track_id"), F.decode("content", "UTF-8").alias("srt_text"), F.col("length").alias("bytes"))
-
-
 MARK = r"silence_(start|end): ([0-9.]+)"
 
 

@@ -1,4 +1,4 @@
-"""Subtitle documents: composing and writing."""
+"""Subtitle documents: composing. files.write_srt writes them."""
 
 from __future__ import annotations
 
@@ -29,8 +29,3 @@ def compose_srt(segments: DataFrame, mode: str = "js", tracks: DataFrame | None
     if tracks is not None:
         out = tracks.select("track_id").distinct().join(out, "track_id", "left").select("track_id", F.coalesce("srt_text", F.lit("\n")).alias("srt_text"))
     return out
-
-
-def write_srt(documents: DataFrame, path: str) -> None:
-    """One directory per track under path, each with the text of its document; documents: (file_name, srt_text)."""
-    documents.select(F.col("file_name"), F.col("srt_text").alias("value")).repartition("file_name").write.partitionBy("file_name").mode("overwrite").text(path)

@@ -1,4 +1,4 @@
-"""Streams: the state of jobs from their events, and speech sessions from voiced frames."""
+"""Streams: the state of jobs from their events and worker lines, and speech sessions from voiced frames."""
 
 from __future__ import annotations
 
@@ -6,17 +6,22 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from ..operators.segments import MAX_SEGMENT, MIN_SEGMENT, split_long
 from ..operators.windows import TERMINAL
 
 SNAPSHOT = "job_id string, seq long, status string, stage string, progress int"
-KEEP_TERMINAL_MS = 24 * 3600 * 1000
+STATE = "seq long, status string, stage string, progress int, expires long"
+HOUR_MS = 3600 * 1000
+#: How long a finished and an unfinished job is kept without news.
+KEEP_TERMINAL_MS, KEEP_IDLE_MS = 24 * HOUR_MS, 7 * 24 * HOUR_MS
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def fold(state: tuple | None, seq: int, kind: str, status: str | None, stage: str | None, progress: int | None) -> tuple | None:
-    """The state (seq, status, stage, progress) after one event; cancelled absorbs, a cancel needs a known job that isn't finished."""
+    """The state (seq, status, stage, progress) after one event; cancelled absorbs, a cancel needs a known job that isn't finished, and news without a progress keeps that of the job."""
     if state and (seq <= state[0] or state[1] == "cancelled"):
         return state
     if kind == "cancel":
@@ -24,46 +29,78 @@ def fold(state: tuple | None, seq: int, kind: str, status: str | None, stage: st
     return seq, status, stage, progress
 
 
-def job_state_stream(events: DataFrame, keep_terminal_ms: int | None = KEEP_TERMINAL_MS) -> DataFrame:
-    """STR-1. Events (job_id, seq, kind, status, stage, progress) -> the snapshot of each job that changed, in update mode.
+class JobStates(StatefulProcessor):
+    """Keeps the snapshot of each job; a timer in event time drops it keep_terminal_ms after the end of the job, or keep_idle_ms after its last event."""
+
+    def __init__(self, keep_terminal_ms: int, keep_idle_ms: int):
+        self.keep_terminal_ms, self.keep_idle_ms = keep_terminal_ms, keep_idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("job", STATE)
+
+    def keep(self, now: tuple, at_ms: int, before_ms: int | None) -> None:
+        """Note the state and move its timer."""
+        expires = at_ms + (self.keep_terminal_ms if now[1] in TERMINAL else self.keep_idle_ms)
+        if before_ms is not None and before_ms != expires:
+            self.handle.deleteTimer(before_ms)
+        if before_ms != expires:
+            self.handle.registerTimer(expires)
+        self.state.update((*now, expires))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = self.state.get() if self.state.exists() else None
+        before, expires = (tuple(held)[:4], tuple(held)[4]) if held is not None else (None, None)
+        now, last = before, 0
+        news = pd.concat(list(rows)).sort_values("seq")
+        for seq, kind, status, stage, progress, ms in news[["seq", "kind", "status", "stage", "progress", "ms"]].itertuples(index=False, name=None):
+            now, last = fold(now, int(seq), kind, status, stage, None if pd.isna(progress) else int(progress)), max(last, int(ms))
+        if now is None or now == before:
+            return
+        self.keep(now, last, expires)
+        yield pd.DataFrame([(key[0], *now)], columns=["job_id", "seq", "status", "stage", "progress"]).astype({"progress": "Int32"})
 
-    Events that come with a seq at or below the last one are ignored. The state of a finished job is
-    dropped after keep_terminal_ms without news; None keeps it, which lets a bounded run come to its end.
-    """
+    def handleInitialState(self, key: tuple, initial: pd.DataFrame, timerValues) -> None:
+        seq, status, stage, progress, ms = next(initial[["seq", "status", "stage", "progress", "ms"]].itertuples(index=False, name=None))
+        self.keep((int(seq), status, stage, None if pd.isna(progress) else int(progress)), int(ms), None)
 
-    columns = events.select(F.col("job_id").cast("string").alias("job_id"), F.col("seq").cast("long").alias("seq"), "kind", "status", "stage", F.col("progress").cast("int").alias("progress"))
-    return columns.groupBy("job_id").applyInPandasWithState(job_step(keep_terminal_ms), SNAPSHOT, "seq long, status string, stage string, progress int", "update", GroupStateTimeout.NoTimeout if keep_terminal_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield from ()
 
+    def close(self) -> None:
+        return
 
-def job_step(keep_terminal_ms: int | None):
-    """What a job's state does with new events; a call that sets no time-out clears it, so each call on a finished job sets it."""
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        before = tuple(state.get) if state.exists else None
-        now = before
-        rows = pd.concat(list(frames)).sort_values("seq")
-        for seq, kind, status, stage, progress in rows[["seq", "kind", "status", "stage", "progress"]].itertuples(index=False, name=None):
-            now = fold(now, int(seq), kind, status, stage, None if pd.isna(progress) else int(progress))
-        if now is not None and now != before:
-            state.update(now)
-        if now is not None and now[1] in TERMINAL and keep_terminal_ms is not None:
-            state.setTimeoutDuration(keep_terminal_ms)
-        if now is None or now == before:
-            return
-        yield pd.DataFrame([(key[0], *now)], columns=["job_id", "seq", "status", "stage", "progress"]).astype({"progress": "Int32"})
+def job_state_stream(events: DataFrame, snapshots: DataFrame | None = None, late: str = "10 minutes", keep_terminal_ms: int = KEEP_TERMINAL_MS, keep_idle_ms: int = KEEP_IDLE_MS) -> DataFrame:
+    """STR-1. Events (job_id, seq, ts TIMESTAMP, kind, status, stage, progress) -> the snapshot of each job that changed, in update mode.
 
-    return step
+    Events with a seq at or below the last one are ignored, and so are those later than the watermark. A job is dropped from the state when the watermark
+    is keep_terminal_ms past its end, or keep_idle_ms past its last event if it never ended. `snapshots` (the rows of
+    WIN-2: job_id, seq, status, stage, progress, updated_at) are the jobs known before the stream began. The session's state
+    store becomes RocksDB, which timers need.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    columns = events.select(F.col("job_id").cast("string").alias("job_id"), F.col("seq").cast("long").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), "kind", "status", "stage", F.col("progress").cast("int").alias("progress"))
+    rows = columns.withWatermark("ts", late).withColumn("ms", F.unix_millis("ts"))
+    first = None
+    if snapshots is not None:
+        first = snapshots.select(F.col("job_id").cast("string").alias("job_id"), F.col("seq").cast("long").alias("seq"), "status", "stage", F.col("progress").cast("int").alias("progress"), F.unix_millis(F.col("updated_at").cast("timestamp")).alias("ms")).groupBy("job_id")
+    return rows.groupBy("job_id").transformWithStateInPandas(JobStates(keep_terminal_ms, keep_idle_ms), StructType.fromDDL(SNAPSHOT), "Update", "EventTime", first)
 
 
 def progress_events(lines: DataFrame, line_col: str = "line") -> DataFrame:
-    """Worker lines (job_id, seq, stage, line) as progress events: JSON with done and total; other lines are skipped."""
+    """Worker lines (job_id, seq, ts, stage, line) as progress events: JSON objects with numbers done and total; other lines are skipped."""
     p = F.from_json(F.col(line_col), "done double, total double")
     share = p["done"] / p["total"]
     percent = F.when(F.col("stage") == "translating", 55 + F.rint(share * 35)).otherwise(F.rint(share * 55)).cast("int")
-    return lines.filter(p["done"].isNotNull() & (p["total"] > 0)).select("job_id", "seq", F.lit("progress").alias("kind"), F.lit("running").alias("status"), "stage", percent.alias("progress"))
+    return lines.filter(p["done"].isNotNull() & (p["total"] > 0)).select("job_id", "seq", "ts", F.lit("progress").alias("kind"), F.lit("running").alias("status"), "stage", percent.alias("progress"))
+
+
+def job_state_of_lines(events: DataFrame, lines: DataFrame, **options) -> DataFrame:
+    """STR-1 with the workers' own lines: both streams go through one state, in the order of their seq."""
+    columns = ["job_id", "seq", "ts", "kind", "status", "stage", "progress"]
+    return job_state_stream(events.select(*columns).unionByName(progress_events(lines).select(*columns)), **options)
 
 
 def speech_sessions_stream(frames: DataFrame, noise_db: float = -35.0, gap: str = "450 milliseconds", late: str = "10 seconds", min_s: float = MIN_SEGMENT, max_s: float = MAX_SEGMENT) -> DataFrame:

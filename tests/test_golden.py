@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from cuelake.functions import scalars as S
 from cuelake.operators import aggregates as A, filters as L, joins as J, segments as G, windows as W
 from cuelake.operators.model_batches import map_model
-from cuelake.sources import assets as AS, payloads as P, subtitles as T
+from cuelake.sources import assets as AS, files as FS, payloads as P, subtitles as T
 from cuelake.streaming import live
 
 
@@ -78,40 +78,6 @@ def test_payload_index_and_first_reason(spark):
     assert got["two"] == (None, "Segment times must be numbers.") and got["other"] == (None, "Each segment must be an object.")
 
 
-class State:
-    """What job_step uses of a group's state; a call clears the time-out."""
-
-    def __init__(self):
-        self.value, self.timeout, self.hasTimedOut = None, None, False
-
-    exists = property(lambda self: self.value is not None)
-    get = property(lambda self: self.value)
-
-    def update(self, value):
-        self.value = value
-
-    def remove(self):
-        self.value = None
-
-    def setTimeoutDuration(self, ms):
-        self.timeout = ms
-
-
-def test_late_events_keep_the_timeout_of_a_finished_job():
-    step, state = live.job_step(5000), State()
-
-    def send(*rows):
-        state.timeout = None
-        return [tuple(r) for f in step(("j",), iter([pd.DataFrame(rows, columns=["seq", "kind", "status", "stage", "progress"])]), state) for r in f.itertuples(index=False)]
-
-    assert send((1, "put", "running", "queued", 1)) and state.timeout is None
-    assert send((5, "progress", "succeeded", "ready", 100)) and state.timeout == 5000
-    assert not send((3, "progress", "running", "queued", 2)) and state.timeout == 5000
-    assert not send((5, "progress", "succeeded", "ready", 100), (6, "cancel", None, None, None)) and state.timeout == 5000
-    state.hasTimedOut = True
-    assert not send() and not state.exists
-
-
 def test_log(spark):
     lines = [("a", k, f"silence_{w}: {t}") for k, (w, t) in enumerate([("start", "1.0"), ("start", "2.0"), ("end", "3.0"), ("end", "4.0"), ("start", "5.0")])]
     lines += [("b", 0, "silence_start: -0.02"), ("b", 1, "silence_end: 1.0")]
@@ -215,22 +181,13 @@ def test_retention_and_inventory(spark, tmp_path):
     (tmp_path / "m").mkdir()
     (tmp_path / "m" / "a.srt").write_text("one")
     (tmp_path / "b.srt").write_text("two")
-    got = AS.file_inventory(spark, f"file://{tmp_path}").collect()
+    got = FS.file_inventory(spark, f"file://{tmp_path}").collect()
     assert [(r.name, r.url, r.bytes) for r in got] == [("b", "b.srt", 3), ("a", "m/a.srt", 3)]
     now = dt.datetime(2024, 1, 9)
     files = spark.createDataFrame([("x.srt", dt.datetime(2024, 1, 1)), ("y.srt", now), ("z.txt", dt.datetime(2020, 1, 1))], "path string, modificationTime timestamp")
     assert [r.path for r in AS.expired_artifacts(files, now, 7).collect()] == ["x.srt"] and not AS.expired_artifacts(files, now, 0).collect()
 
 
-def test_srt_files(spark, tmp_path):
-    text = "﻿1\n00:00:00,000 --> 00:00:01,000\na\n"
-    (tmp_path / "a.srt").write_text(text, encoding="utf-8")
-    r = A.srt_diagnostics(P.read_srt(spark, f"file://{tmp_path}/a.srt")).first()
-    assert (r.bytes, r.blocks, r.issues) == (len(text.encode()), 1, 0)
-    T.write_srt(spark.createDataFrame([("a.fr.srt", "x")], "file_name string, srt_text string"), f"file://{tmp_path}/out")
-    assert list((tmp_path / "out").glob("file_name=a.fr.srt/*.txt"))
-
-
 def test_manifests(spark, tmp_path):
     (tmp_path / "one.json").write_text('{"assets":[{"name":"a","url":"u","bytes":1,"sha256":"x"},{"url":"v","required":false},{"url":" "}]}')
     (tmp_path / "two.json").write_text('{"assets":[{"name":"b","url":"u","bytes":2},{"name":"c","url":"w","bytes":3}]}')
