@@ -5,13 +5,14 @@ added up per path and divided by the path's node count; both ratios are smoothed
 paths under the same parent, fused into one and compared with a threshold. The paths above it
 vote for the part of the tree that holds the article: from the root downwards the walk follows
 the container that most of the chosen text lies in, and ends at article or main. Of that part all
-blocks are kept, of the rest of the page the blocks whose path is above the threshold, and headings beside the
+blocks are kept (text that stands in a container itself which is neither article nor main only where its path is above the threshold), of the rest of the page the blocks whose path is above the threshold, and headings beside the
 container. Outside article and main a block goes if it and its path are made of links and the path is below the
 threshold; paragraphs and headings never do. Page order stays.
 
 Subtrees that say by their tag, or by a class, id or role that is or ends in a cue word, that they are
-menus, headers, footers, sidebars, notices, adverts, forms or comments are left out before. A cue word elsewhere in
-a name is a doubt: such subtrees have paths of their own and stay where those are above the threshold. Cues don't
+menus, headers, footers, sidebars, notices, adverts, forms or comments have paths of their own with a ratio of 0. A cue word elsewhere in
+a name is a doubt: such subtrees have paths of their own, too, and stay where most of their text has paths above the threshold. A page without a path above the
+threshold has no text. Cues don't
 hold for article, main and what they lie in, or on pages with neither for what most of the chosen text lies in. Blocks are joined by one
 newline; white space inside a block, line breaks included, becomes one space. Null, empty and
 text-free pages give the empty string; broken markup never fails.
@@ -29,13 +30,13 @@ from pyspark.sql import DataFrame
 
 from .common import as_text, mapped
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|title|textarea|iframe|noscript|template|svg|math|object|select|button)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+)>"
-    r"|<[!?/][^>]*>",
-    re.DOTALL | re.IGNORECASE,
-)
+ATTRIBUTES = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+"
+TOKEN = re.compile(rf"<!--(?:.*?-->)?|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>{ATTRIBUTES})>|<[!?/][^>]*>", re.DOTALL)
+#: Fixed names of elements whose content isn't text of the page. Of the foreign ones a tag that ends in a slash is the whole element.
+RAW = frozenset("script style title textarea iframe noscript template svg object select button annotation annotation-xml".split())
+FOREIGN = frozenset("svg math".split())
+#: Without an end tag these reach to the end of the page; of the others the tag alone goes.
+TO_THE_END = frozenset("script style".split())
 #: All attributes are read, so that what stands inside the value of another isn't one; a quote that isn't closed is a plain character.
 ATTRIBUTE = re.compile(r"([^\s=>]++)\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))?+)?+")
 NAMING = frozenset("class id role".split())
@@ -55,6 +56,8 @@ LEFT_OUT_CUES = frozenset(
     "sidebar aside rail menu nav navbar navigation breadcrumb breadcrumbs share sharing social related recommended comment comments reply replies disqus discussion respond newsletter "
     "subscribe subscription signup footer header masthead widget toolbar pagination pager login search skip contentinfo complementary toc byline-ad".split()
 )
+#: Fixed cue words that name parts of articles, too: inside an article they are in doubt.
+ALSO_SECTIONS = frozenset("discussion".split())
 #: Fixed words: layout classes such as with-sidebar, and headers that hold the article's title.
 NEGATIONS = frozenset("with has no without".split())
 OF_ARTICLE = frozenset("article post entry story content main".split())
@@ -83,10 +86,13 @@ def standing(tag: str, attrs: str, in_article: bool) -> int:
             if word in NEGATIONS:
                 break
             if word in LEFT_OUT_CUES:
-                found = max(found, CUE if k == len(w) - 1 else DOUBT)
+                found = max(found, CUE if k == len(w) - 1 and not (in_article and word in ALSO_SECTIONS) else DOUBT)
     return found
 
 
+ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.IGNORECASE) for tag in RAW | FOREIGN}
+
+
 class Page:
     """The text nodes of a page: block number, path of the block, path of the leaf, text, whether in a link."""
 
@@ -99,24 +105,22 @@ class Page:
         self.exempt()
         self.place([s >= CUE for s in self.standings])
 
-    def place(self, left_out: list[bool]) -> None:
-        """Paths of the elements, and the text nodes that aren't left out."""
+    def place(self, barred: list[bool]) -> None:
+        """Paths of the elements, and the text nodes; what stands in a barred element has paths of its own."""
         self.paths: dict[tuple[int, str], int] = {}
-        self.parent, self.label = [-1], [""]
+        self.parent, self.label, self.barred = [-1], [""], [False]
         self.nodes: list[tuple[int, int, int, str, bool]] = []
-        own, out = [0], [False]
+        own = [0]
         for e in range(1, len(self.tags)):
-            a = self.around[e]
-            out.append(out[a] or left_out[e])
-            own.append(own[a] if out[e] else self.path(own[a], self.tags[e] + "?" * (self.standings[e] == DOUBT)))
+            own.append(self.path(own[self.around[e]], self.tags[e] + "?" * (self.standings[e] == DOUBT), barred[e]))
         self.place_of = own
+        last = (-1, 0, 0)
         for block, of, leaf, part, link in self.parts:
-            if out[leaf]:
-                continue
             if part is not None:
                 self.nodes.append((block, own[of], own[leaf], part, link))
-            elif self.nodes and self.nodes[-1][0] == block:
-                self.nodes.append((block, self.nodes[-1][1], self.nodes[-1][2], " ", False))
+                last = last if self.barred[own[leaf]] else (block, own[of], own[leaf])
+            elif last[0] == block and not self.barred[own[leaf]]:
+                self.nodes.append((*last, " ", False))
 
     def exempt(self) -> None:
         """Takes back cues of elements that hold the article."""
@@ -159,19 +163,28 @@ class Page:
             if standings[e] in (DOUBT, CUE):
                 standings[e] = STAYS
 
-    def path(self, above: int, tag: str) -> int:
-        key = (above, tag)
+    def path(self, above: int, tag: str, barred: bool) -> int:
+        key = (above, tag + "!" * barred)
         if key not in self.paths:
             self.paths[key] = len(self.parent)
             self.parent.append(above)
             self.label.append(tag)
+            self.barred.append(barred or self.barred[above])
         return self.paths[key]
 
     def read(self, source: str) -> None:
         stack: list[tuple[str, int]] = []  # tag, element
         open_: Counter[str] = Counter()
-        block = at = 0
-        links = 0
+        block = at = links = 0
+        endless: set[str] = set()
+        in_math = False
+
+        def end_of(tag: str, start: int) -> re.Match | None:
+            """The end tag of an element from there on; a name that has none is looked for once."""
+            found = None if tag in endless else ENDS[tag].search(source, start)
+            if not found:
+                endless.add(tag)
+            return found
 
         def pop() -> None:
             nonlocal links
@@ -188,12 +201,23 @@ class Page:
             elif part:
                 self.parts.append((block, 0, stack[-1][1] if stack else 0, None, False))
 
-        for m in TOKEN.finditer(source):
+        last = source.rfind(">") + 1  # no tag ends behind it
+        while m := TOKEN.search(source, at, last) if at < last else None:
             text(source[at : m.start()])
-            at = m.end()
+            at = len(source) if m[0] == "<!--" else m.end()
             tag = (m["tag"] or "").lower()
             if not tag:
                 continue
+            if tag in RAW:
+                if not m["close"] and not (tag in FOREIGN and m["attrs"].endswith("/")):
+                    end = end_of(tag, at)
+                    at = end.end() if end else len(source) if tag in TO_THE_END else at
+                continue
+            if tag == "math":  # its symbols are text of the line
+                in_math = not m["close"] and not m["attrs"].endswith("/") and end_of(tag, at) is not None
+                continue
+            if in_math:
+                continue
             if tag == "br":
                 text(" ")
                 continue
@@ -228,15 +252,16 @@ class Page:
             stack.append((tag, len(self.tags) - 1))
             open_[tag] += 1
             links += tag == "a"
-        text(source[at:])
+        text(source[at : source.find("<!--", at) if "<!--" in source[at:] else len(source)])
 
     def chosen(self) -> set[int]:
         """Leaf paths whose smoothed and fused ratio reaches the threshold."""
         length, marks, count = Counter(), Counter(), Counter()
         for _, _, leaf, part, _ in self.nodes:
-            length[leaf] += len(part)
-            marks[leaf] += len(PUNCTUATION.findall(part))
-            count[leaf] += 1
+            if not self.barred[leaf]:  # their ratio is 0
+                length[leaf] += len(part)
+                marks[leaf] += len(PUNCTUATION.findall(part))
+                count[leaf] += 1
         near_length, near_marks, near = Counter(), Counter(), Counter()
         ratios = {p: (length[p] / count[p], marks[p] / count[p]) for p in count}
         for p, (a, b) in ratios.items():
@@ -265,33 +290,42 @@ class Page:
         return at
 
     def text(self) -> str:
-        if not self.nodes:
-            return ""
         chosen = self.chosen()
+        shown = [n for n in self.nodes if n[2] in chosen or not self.barred[n[2]]]
+        if not chosen:
+            return ""
         root, inside = self.container(chosen), [False] * len(self.parent)
         above, p = set(), root
         while p > 0:
             p = self.parent[p]
             above.add(p)
-        doubted, content = [False] * len(self.parent), [False] * len(self.parent)
-        for p in range(len(self.parent)):
-            inside[p] = p == root or (p > 0 and inside[self.parent[p]])
-            content[p] = self.label[p] in CONTENT or (p > 0 and content[self.parent[p]])
-            doubted[p] = self.label[p].endswith("?") or (p > 0 and doubted[self.parent[p]])
         total, linked, good = Counter(), Counter(), Counter()
         block_total, block_linked = Counter(), Counter()
-        for block, own, leaf, part, link in self.nodes:
+        for block, own, leaf, part, link in shown:
             total[own] += len(part)
             linked[own] += len(part) if link else 0
             block_total[block] += len(part)
             block_linked[block] += len(part) if link else 0
             good[own] += len(part) if leaf in chosen else 0
-        kept = [inside[p] and not doubted[p] or 2 * good[p] >= total[p] > 0 or self.label[p] in HEADINGS and self.parent[p] in above for p in range(len(self.parent))]
+        doubted, content = [False] * len(self.parent), [False] * len(self.parent)
+        all_of, good_of = Counter(total), Counter(good)
+        for p in range(len(self.parent) - 1, 0, -1):
+            all_of[self.parent[p]] += all_of[p]
+            good_of[self.parent[p]] += good_of[p]
+        for p in range(len(self.parent)):
+            inside[p] = p == root or (p > 0 and inside[self.parent[p]])
+            content[p] = self.label[p] in CONTENT or (p > 0 and content[self.parent[p]])
+            doubted[p] = self.label[p].endswith("?") and 2 * good_of[p] < all_of[p] or (p > 0 and doubted[self.parent[p]])
+        loose = root and self.label[root] not in CONTENT  # text that stands in the container itself may be beside the article
+        kept = [
+            inside[p] and not doubted[p] and not (loose and p == root) or 2 * good[p] >= total[p] > 0 or self.label[p] in HEADINGS and self.parent[p] in above
+            for p in range(len(self.parent))
+        ]
         links = [linked[p] > LINK_SHARE * total[p] and 2 * good[p] < total[p] and not content[p] and self.label[p].rstrip("?") not in NEVER_LINKS for p in range(len(self.parent))]
         blocks: list[str] = []
         parts: list[str] = []
         last = None
-        for block, own, _, part, _ in self.nodes:
+        for block, own, _, part, _ in shown:
             if not kept[own] or links[own] and block_linked[block] > LINK_SHARE * block_total[block]:
                 continue
             if block != last and parts:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 import pytest
 
+from cuelake.llm import html_text
 from cuelake.llm.html_text import main_text
 
 LONG = "This is a long sentence, with marks, that goes on for a while. " * 8
@@ -100,3 +104,100 @@ def test_names_that_hold_cues_and_long_attributes():
     assert main_text(f'<body><div class="social-science">{PARAGRAPH * 2}</div></body>') == f"{SAID}\n{SAID}"
     assert main_text(f'<body><div class="comment-policy-page"><h1>T</h1>{PARAGRAPH * 2}</div></body>') == f"T\n{SAID}\n{SAID}"
     assert main_text(f'<body><article>{PARAGRAPH}<img src="data:{"a" * 100_000}">{PARAGRAPH}</article></body>') == f"{SAID}\n{SAID}"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<article><h1>T</h1><svg class='i'/><p>{LONG}</p></article>", f"T\n{TEXT}"),
+        (f"<article><h1>T</h1><svg-icon></svg-icon><p>{LONG}</p></article>", f"T\n{TEXT}"),
+        (f"<button-group><article><p>{LONG}</p></article></button-group>", TEXT),
+        (f"<article><p>{LONG}</p><svg viewBox='0 0 1 1'><text>label</text></svg><p>{LONG}</p></article>", f"{TEXT}\n{TEXT}"),
+        (f"<article><p>{LONG}</p><svg><p>{LONG}</p></article>", f"{TEXT}\n{TEXT}"),
+        (f"<article><p>{LONG}</p><button>Go<p>{LONG}</p><select><p>{LONG}</p></article>", f"{TEXT}\nGo\n{TEXT}\n{TEXT}"),
+        (f"<title>T<article><p>{LONG}</p></article>", TEXT),
+        (f"<article><p>{LONG}</p><script>var a = '<p>x</p>';<p>{LONG}</p></article>", TEXT),
+        (f"<article><p>{LONG}</p><script data-a='b>c'>x</script ><p>{LONG}</p></article>", f"{TEXT}\n{TEXT}"),
+        (f"<article><p>{LONG} If <math><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding='t'>x=2</annotation></math> holds.</p></article>", f"{TEXT} If x=2 holds."),
+        (f"<article><p>{LONG} <math/> holds.</p><p>One <math><mi>y</p><p>Two.</p></article>", f"{TEXT} holds.\nOne\ny\nTwo."),
+        (f"<article><p>{LONG}</p><section class='discussion'><h2>D</h2><p>{LONG}</p></section></article>", f"{TEXT}\nD\n{TEXT}"),
+        (f"<article><p>{LONG}</p></article><section class='discussion'><p>{LONG}</p></section>", TEXT),
+        (f"<article><p>{LONG}</p><!-- <p>{LONG}</p>", TEXT),
+        (f"<article><p>{LONG}</p><p>a < b and <3</p></article>", f"{TEXT}\na < b and <3"),
+    ],
+)
+def test_elements_whose_content_is_no_text(page, text):
+    assert main_text(page) == text
+
+
+@pytest.mark.parametrize("part", ["<svg>", "<button ", "<!--", "<title>", "<a href='", "</svg", "<math>", "<select><b>", "<p class=\"", "<", "&lt;"])
+def test_long_broken_pages_end(part):
+    """Hundreds of thousands of characters of unclosed tags: no search is repeated for each of them."""
+    main_text(part * 50_000 + f"<article><p>{LONG}</p></article>")
+    main_text(part * 50_000)
+
+
+def test_very_long_page():
+    page = "<html><body><nav><a href=x>Menu</a></nav><article>" + f"<p>{LONG}</p>" * 20_000 + "</article></body></html>"
+    assert main_text(page) == "\n".join([TEXT] * 20_000)
+
+
+# --- the threshold decides --------------------------------------------------------------------
+
+def pages(spark, n=250):
+    return [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").limit(n).collect()]
+
+
+def bare(page: str) -> str:
+    """A page whose parts don't say what they are."""
+    return re.sub(r'\sclass="[^"]*"', "", re.sub(r"<(/?)(article|nav|footer)\b", r"<\1div", page))
+
+
+def shared(found: str, wanted: str) -> int:
+    return sum(len(k) * n for k, n in (Counter(found.split("\n")) & Counter(wanted.split("\n"))).items())
+
+
+def test_without_the_threshold_every_page_differs(spark, monkeypatch):
+    sources = pages(spark, 60)
+    wanted = [main_text(p) for p in sources]
+    monkeypatch.setattr(html_text.Page, "chosen", lambda self: set())
+    assert {main_text(p) for p in sources} == {""}
+    monkeypatch.setattr(html_text.Page, "chosen", lambda self: set(range(len(self.parent))))
+    assert all(len(main_text(p)) > len(w) for p, w in zip(sources, wanted, strict=True))
+
+
+def test_pages_that_do_not_say_what_is_the_article(spark):
+    """With article, nav and footer as plain divs and no classes, the paths alone find the article."""
+    kept = gone = wanted = 0
+    for page in pages(spark):
+        right, found = main_text(page), main_text(bare(page))
+        kept, gone, wanted = kept + shared(found, right), gone + len(found.replace("\n", "")), wanted + len(right.replace("\n", ""))
+    assert kept == wanted and kept > 0.97 * gone
+
+
+def plain_chosen(page: html_text.Page) -> set[tuple]:
+    """The paths above the threshold, by a plain statement of the rule on whole tag paths."""
+    def path(p: int) -> tuple:
+        return () if p == 0 else (*path(page.parent[p]), (page.label[p], page.barred[p]))
+
+    nodes = [(path(leaf), text) for _, _, leaf, text, _ in page.nodes if not page.barred[leaf]]
+    ratio = {}
+    for p in {p for p, _ in nodes}:
+        texts = [t for q, t in nodes if q == p]
+        ratio[p] = (sum(map(len, texts)) / len(texts), sum(len(html_text.PUNCTUATION.findall(t)) for t in texts) / len(texts))
+    fused = {}
+    for p, own in ratio.items():
+        beside = [r for q, r in ratio.items() if q[:-1] == p[:-1] and (p == ()) == (q == ())]
+        smooth = [(x + sum(r[k] for r in beside) / len(beside)) / 2 for k, x in enumerate(own)]
+        fused[p] = smooth[0] * (1 + smooth[1])
+    total = sum(len(t) for _, t in nodes)
+    return {p for p, f in fused.items() if f >= sum(fused[q] * len(t) for q, t in nodes) / total / 2}
+
+
+def test_paths_against_a_plain_version(spark):
+    def path(page: html_text.Page, p: int) -> tuple:
+        return () if p == 0 else (*path(page, page.parent[p]), (page.label[p], page.barred[p]))
+
+    for source in [*pages(spark, 40), *map(bare, pages(spark, 40))]:
+        page = html_text.Page(source)
+        assert {path(page, p) for p in page.chosen()} == plain_chosen(page)
