@@ -12,8 +12,8 @@ equal windows have anchors at the same offset. Only anchors whose gram comes aga
   reversed prefixes before it, by multikey quicksort to a shallow depth; groups that agree so far
   are ordered by a blind trie. Clusters of suffixes are then joined by descending common prefix,
   and each joined neighbourhood is compared with its two neighbours in prefix order: the longest
-  common prefix on both sides says which windows the two share. An entry that stands for several places
-  agrees with itself in full. So each entry gets how far its repeats reach to either side of the anchor, and
+  common prefix on both sides says which windows the two share. An entry that stands for several places is sorted
+  twice, so that the order finds these, too. So each entry gets how far its repeats reach to either side of the anchor, and
   all places with that entry have the same.
 - A gram with more than GROUP_MOST neighbourhoods is split further by the suffix order before it is sorted: some adjoining
   windows have a string in common, and only neighbourhoods that agree in it can share one of them. What such a part
@@ -172,10 +172,10 @@ def suffix_order(strings: list[bytes], shallow: int = SHALLOW) -> list[int]:
     return out
 
 
-def reaches(left: list[bytes], right: list[bytes], several: list[bool], widths: tuple[int, ...] = (PASSAGE, WIDTH)) -> np.ndarray:
+def reaches(left: list[bytes], right: list[bytes], widths: tuple[int, ...] = (PASSAGE, WIDTH)) -> np.ndarray:
     """For each neighbourhood and width how many bytes before and from the anchor on its shared windows of that width cover.
 
-    left holds the reversed prefixes; several says which entries stand for more than one place. All these windows hold the anchor, so two numbers say it; -1: none.
+    left holds the reversed prefixes. All these windows hold the anchor, so two numbers say it; -1: none.
     """
     out = np.full((len(left), len(widths), 2), -1, dtype=np.int64)
 
@@ -185,9 +185,6 @@ def reaches(left: list[bytes], right: list[bytes], several: list[bool], widths:
                 own = out[k, w]
                 own[0], own[1] = max(own[0], l), max(own[1], r)
 
-    for k in range(len(left)):
-        if several[k]:
-            note(k, len(left[k]), len(right[k]))
     if len(left) < 2:
         return out
     by_right = suffix_order(right)
@@ -293,9 +290,10 @@ def sort_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     out: list[tuple] = []
 
     def solve() -> None:
-        found = reaches([h[2][::-1] for h in held], [h[3] for h in held], [h[1] for h in held])
+        places = [h for h in held for _ in range(1 + bool(h[1]))]  # two of several places
+        found = reaches([h[2][::-1] for h in places], [h[3] for h in places])
         for k in np.flatnonzero(found[:, 0, 0] >= 0).tolist():
-            out.append((*gram, held[k][0], *found[k].ravel().tolist()))
+            out.append((*gram, places[k][0], *found[k].ravel().tolist()))
 
     gram = None
     for batch in batches:

@@ -67,9 +67,23 @@ def test_repeats(spark, monkeypatch, most):
     assert [got[k] for k in range(len(texts))] == plain_repeats([t.encode() for t in texts])
 
 
-def test_nothing_goes_without_the_sort(spark, monkeypatch):
-    monkeypatch.setattr(repeats, "sort_groups", lambda batches: iter(()))
+@pytest.mark.parametrize("most", [3, 16384])
+def test_nothing_goes_without_the_suffix_order(spark, monkeypatch, most):
+    monkeypatch.setattr(repeats, "GROUP_MOST", most)
     df = spark.createDataFrame(list(enumerate(planted(1))), "doc_id long, text string")
+    assert sum(r.n_removed for r in repeats.remove_repeats(df).collect())
+
+    def without(batches):
+        """sort_groups, but with no order of suffixes."""
+        from cuelake.llm import repeats as own
+
+        order, own.suffix_order = own.suffix_order, lambda strings: []
+        try:
+            yield from own.sort_groups(batches)
+        finally:
+            own.suffix_order = order
+
+    monkeypatch.setattr(repeats, "sort_groups", without)
     assert {(r.n_removed, r.n_passages) for r in repeats.remove_repeats(df).collect()} == {(0, 0)}
 
 
