@@ -10,16 +10,19 @@ A text without a visible line (null, empty, blank) gets the share of good traini
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import as_bytes, bucket_of, mapped, word_hashes
+from .common import as_bytes, bucket_of, mapped, mix64, word_hashes
 
-#: The fit's bounds: expected documents, and lines of each that the chain is trained on.
+#: The fit's bounds: labelled documents, and lines of each that the chain is trained on. Of a document with more lines, whole stretches of
+#: lines are drawn by a hash, over all of its text. So the driver holds TRAINING_DOCS * LINES_EACH rows of 73 numbers at most: 56 MB.
 TRAINING_DOCS = 3000
+LINES_EACH, STRETCH = 64, 16
 STEPS, RATE, PENALTY = 200, 0.1, 1e-3
 
 #: Byte classes: 0 other letters (over 127), 1 lower case, 2 upper case, 3 digit, 4 white space, 5 usual marks, 6 exclamation, 7 other signs.
@@ -148,12 +151,22 @@ def fit_logistic(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return a, b
 
 
-def build(x: np.ndarray, n: np.ndarray, counts: np.ndarray, labels: np.ndarray) -> dict:
+def drawn(text: bytes, lines: int) -> list[tuple[int, int]]:
+    """The lines of a text that train: all, or stretches of it up to LINES_EACH lines."""
+    if lines <= LINES_EACH:
+        return [(0, lines)] if lines else []
+    rank = mix64(np.arange(-(-lines // STRETCH), dtype=np.uint64) + np.uint64(zlib.crc32(text) << 20))
+    return [(k * STRETCH, min(lines, (k + 1) * STRETCH)) for k in sorted(np.argsort(rank)[: LINES_EACH // STRETCH].tolist())]
+
+
+def build(x: np.ndarray, n: np.ndarray, chains: list[list[int]], labels: np.ndarray) -> dict:
+    """The model from the lines of documents; chains: the lengths of each document's stretches."""
     share = float(labels.mean()) if len(labels) else 0.5
     if not len(x) or share in (0.0, 1.0):
         return {"constant": share}
-    w, move = fit_chain(x.astype(np.float64), counts, labels)
-    z = document_logits(marginals(x @ w, counts, move)[0], n, counts)
+    lengths = np.array([c for own in chains for c in own], dtype=np.int64)
+    w, move = fit_chain(x.astype(np.float64), lengths, np.repeat(labels, [len(own) for own in chains]))
+    z = document_logits(marginals(x @ w, lengths, move)[0], n, np.array([sum(own) for own in chains], dtype=np.int64))
     seen = ~np.isnan(z)
     a, b = fit_logistic(z[seen], labels[seen].astype(float))
     return {"w": w, "move": move, "a": a, "b": b, "constant": share}
@@ -183,9 +196,9 @@ def held_out(id_col: str = "doc_id"):
 
 
 def fit(documents: DataFrame, labels: DataFrame, training_docs: int = TRAINING_DOCS) -> dict:
-    """Train on training_docs labelled documents at most that aren't held out, chosen by a hash of the id, with all their lines.
+    """Train on training_docs labelled documents at most that aren't held out, chosen by a hash of the id, and on LINES_EACH lines of each at most.
 
-    That bound keeps what comes to the driver, and the labels that are broadcast, small at any input.
+    These bounds keep what comes to the driver, and the labels that are broadcast, small at any input and however long documents are.
     """
     own = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     sample = own.orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id").limit(training_docs)
@@ -196,14 +209,15 @@ def fit(documents: DataFrame, labels: DataFrame, training_docs: int = TRAINING_D
             texts, out = [as_bytes(t) for t in batch["text"]], []
             for key, text, quality in zip(batch["doc_id"], texts, batch["quality"], strict=True):
                 x, n, _ = line_features([text])
-                out.append((key, int(quality), x.tobytes(), n.tobytes()))
-            yield pd.DataFrame(out, columns=["doc_id", "quality", "x", "n"])
+                own = drawn(text, len(n))
+                pick = np.concatenate([np.arange(a, b) for a, b in own]) if own else np.zeros(0, dtype=np.int64)
+                out.append((key, int(quality), x[pick].tobytes(), n[pick].tobytes(), [b - a for a, b in own]))
+            yield pd.DataFrame(out, columns=["doc_id", "quality", "x", "n", "chains"])
 
-    got = mapped(rows, run, "doc_id string, quality int, x binary, n binary").toArrow().to_pandas().sort_values(["doc_id", "x"], ignore_index=True)
+    got = mapped(rows, run, "doc_id string, quality int, x binary, n binary, chains array<int>").toArrow().to_pandas().sort_values(["doc_id", "x"], ignore_index=True)
     x = [np.frombuffer(r, dtype=np.float32).reshape(-1, 3 * BASE + 1) for r in got["x"]]
     n = [np.frombuffer(r) for r in got["n"]]
-    counts = np.array([len(r) for r in x], dtype=np.int64)
-    return build(np.concatenate(x) if x else np.zeros((0, 3 * BASE + 1)), np.concatenate(n) if n else np.zeros(0), counts, got["quality"].to_numpy(dtype=np.int64))
+    return build(np.concatenate(x) if x else np.zeros((0, 3 * BASE + 1)), np.concatenate(n) if n else np.zeros(0), [list(c) for c in got["chains"]], got["quality"].to_numpy(dtype=np.int64))
 
 
 def score_documents(documents: DataFrame, labels: DataFrame, model: dict | None = None) -> DataFrame:
