@@ -60,7 +60,7 @@ def discard(*tables: DataFrame) -> None:
 
 
 #: Bytes of a batch that goes to Python.
-BATCH_BYTES = "2m"
+BATCH_BYTES = "1m"
 _BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
