@@ -10,6 +10,8 @@ Reading goes through the RIFF structure: header list, stream format, and the idx
 entries locate the frames. Shots are cut where the difference of the grey histograms of two
 frames stands out from the mean of its neighbourhood by a multiple of the deviation there.
 
+Files of other origin are read, too: frames may be any baseline pictures (see jpeg).
+
 Null and empty texts make one frame of 192 spaces. Equal payloads make equal files.
 """
 
@@ -24,6 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from . import jpeg
 from .common import as_bytes, mapped
 
 UNIT = 192
@@ -127,12 +130,31 @@ def read_avi(data: bytes) -> tuple[float, list[bytes]]:
         at += 8 + size + (size & 1)
     if movi is None:
         raise ValueError("no movi list")
-    frames = [data[movi + offset + 8 : movi + offset + 8 + size] for name, _, offset, size in struct.iter_unpack("<4sIII", index[: len(index) // 16 * 16]) if name[2:] in (b"dc", b"db")]
+    frames = []
+    for name, _, offset, size in struct.iter_unpack("<4sIII", index[: len(index) // 16 * 16]):
+        if name[2:] in (b"dc", b"db"):
+            start = movi + offset if data[movi + offset : movi + offset + 4] == name else offset  # from the list on, or from the beginning of the file
+            if data[start : start + 4] != name:
+                raise ValueError("the index points beside the frames")
+            frames.append(data[start + 8 : start + 8 + size])
+    if not index:
+        frames = list(walked(data, movi + 4, movi + struct.unpack_from("<I", data, movi - 4)[0]))
     if not frames:
         raise ValueError("no frames")
     return fps, frames
 
 
+def walked(data: bytes, at: int, end: int) -> Iterator[bytes]:
+    """The frames of a list without an index, record lists included."""
+    while at + 8 <= min(end, len(data)):
+        name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
+        if name == b"LIST":
+            yield from walked(data, at + 12, at + 8 + size)
+        elif name[2:] in (b"dc", b"db"):
+            yield data[at + 8 : at + 8 + size]
+        at += 8 + size + (size & 1)
+
+
 class Tables:
     """What the head of a baseline grey frame says: blocks, DC quantiser, look-up tables of 16-bit windows."""
 
@@ -205,12 +227,16 @@ def decode_frames(frames: list[bytes], known: dict[bytes, Tables]) -> np.ndarray
     return (out.cumsum(axis=0, dtype=np.int64).T * tables.quantiser // 8 + 128).astype(np.uint8)
 
 
-def shot_starts(samples: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Whether each frame begins a shot; counts: frames of each file, in order."""
+def histograms(samples: np.ndarray) -> np.ndarray:
+    """Of each row of samples how many lie in each of 16 bins of grey."""
     n = len(samples)
-    rows = np.repeat(np.arange(n), samples.shape[1])
-    histogram = np.bincount(rows * 16 + (samples >> 4).ravel(), minlength=n * 16).reshape(n, 16)
-    change = np.zeros(n, dtype=np.int64)
+    return np.bincount(np.repeat(np.arange(n), samples.shape[1]) * 16 + (samples >> 4).ravel(), minlength=n * 16).reshape(n, 16)
+
+
+def shot_starts(histogram: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Whether each frame begins a shot, by histograms of UNIT samples each; counts: frames of each file, in order."""
+    n = len(histogram)
+    change = np.zeros(n, dtype=histogram.dtype)
     change[1:] = np.abs(np.diff(histogram, axis=0)).sum(axis=1)
     ends = counts.cumsum()
     first = np.repeat(ends - counts, counts)
@@ -247,7 +273,7 @@ def contents_of(files: list[bytes], known: dict[bytes, Tables]) -> Iterator[tupl
     read = [read_avi(f) for f in files]
     counts = np.array([len(frames) for _, frames in read])
     samples = decode_frames([f for _, frames in read for f in frames], known)
-    starts, at = shot_starts(samples, counts), 0
+    starts, at = shot_starts(histograms(samples), counts), 0
     for (fps, frames) in read:
         own = samples[at : at + len(frames)]
         yield own.tobytes(), np.flatnonzero(starts[at : at + len(frames)]).tolist(), fps
@@ -258,12 +284,34 @@ def contents_of(files: list[bytes], known: dict[bytes, Tables]) -> Iterator[tupl
 FOREIGN = (ValueError, IndexError, KeyError, AttributeError, TypeError, struct.error, ZeroDivisionError)
 
 
-def contents_or_none(files: list[bytes], known: dict[bytes, Tables]) -> list[tuple[bytes, list[int], float] | None]:
-    """The same for files of any origin: None where one isn't motion JPEG of flat grey blocks in an AVI file with frames."""
+def camera_shots(file: bytes) -> tuple[int, list[int], float]:
+    """(frames, first frames of the shots, frames a second) of a motion-JPEG file of any origin; empty frames repeat the one before."""
+    fps, frames = read_avi(file)
+    pictures = iter(jpeg.decode([f for f in frames if f]))
+    seen: list[np.ndarray] = []
+    for f in frames:
+        if f:
+            picture = next(pictures)
+            seen.append(np.bincount(picture.ravel() >> 4, minlength=16) * (UNIT / picture.size))
+        else:
+            seen.append(seen[-1])
+    starts = shot_starts(np.array(seen), np.array([len(frames)]))
+    return len(frames), np.flatnonzero(starts).tolist(), fps
+
+
+def shots_of(files: list[bytes], known: dict[bytes, Tables]) -> list[tuple[int, list[int], float] | None]:
+    """(frames, first frames of the shots, frames a second) of files of any origin; None where one isn't baseline motion JPEG in an AVI file with frames.
+
+    Files of store_media are decoded side by side; others one by one, with all that baseline pictures may hold."""
     try:
-        return list(contents_of(files, known))
+        return [(len(payload) // UNIT, shots, fps) for payload, shots, fps in contents_of(files, known)]
     except FOREIGN:
-        return [None] if len(files) == 1 else [x for f in files for x in contents_or_none([f], known)]
+        if len(files) > 1:
+            return [x for f in files for x in shots_of([f], known)]
+    try:
+        return [camera_shots(files[0])]
+    except FOREIGN:
+        return [None]
 
 
 def groups(items: list[bytes], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
@@ -281,7 +329,7 @@ def groups(items: list[bytes], most: int = 1 << 21) -> Iterator[tuple[int, int]]
 def media_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Store every text as an AVI file, read it back, and describe both; the files stay inside the task.
 
-    feature: number of frames, then the shots as first-last frame numbers.
+    feature: number of frames, then the shots as first-last frame numbers. Repeated rows give repeated results, an empty table an empty one; other columns are not read.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -317,8 +365,8 @@ def store_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def clip_rows(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """One row for each shot of each file: (id, clip_no, start_s, end_s, n_frames); rows without a file are left out.
 
-    A file that isn't motion JPEG of flat grey blocks, or has no frames, gives one row with 0 frames and nulls. Repeated rows give
-    repeated clips; other columns are not read.
+    Frames are baseline JPEG pictures, grey or in colour, of any size. A file that isn't such motion JPEG, or has no frames, gives one row with 0 frames and
+    nulls. Repeated rows give repeated clips; an empty table gives an empty result; other columns are not read.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -326,12 +374,11 @@ def clip_rows(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -
         for batch in batches:
             keys, files, rows = batch[id_col].tolist(), [bytes(f) for f in batch["media"]], []
             for lo, hi in groups(files, 1 << 22):
-                for key, found in zip(keys[lo:hi], contents_or_none(files[lo:hi], known), strict=True):
+                for key, found in zip(keys[lo:hi], shots_of(files[lo:hi], known), strict=True):
                     if found is None:
                         rows.append((key, None, None, None, 0))
                         continue
-                    payload, shots, fps = found
-                    n = len(payload) // UNIT
+                    n, shots, fps = found
                     rows += [(key, k, a / fps, b / fps, b - a) for k, (a, b) in enumerate(zip(shots, [*shots[1:], n], strict=True))]
             yield pd.DataFrame(rows, columns=[id_col, "clip_no", "start_s", "end_s", "n_frames"]).astype({"clip_no": "Int32"})
 
