@@ -97,8 +97,9 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 def block_plan(df: DataFrame, id_col: str, text_col: str, source_col: str, keep: bool, seed: int = 7, block_words: int = BLOCK_WORDS, docs_per_shard: int = DOCS_PER_SHARD) -> DataFrame:
     """What mix_sources returns, the place of each row in its shard and the shard's blocks; with `keep` also the row itself, as a struct."""
     size = n_words(text_col)
-    bucket = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)), F.lit(BUCKETS))
-    base = df.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), size.alias("__size"), bucket.alias("__bucket"), *([F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row")] if keep else []))
+    tie = F.xxhash64(F.col(text_col))  # rows that share an id, as all without one do, are still dealt over the buckets, and in one order
+    bucket = F.pmod(F.xxhash64(F.col(id_col).cast("string"), tie, F.lit(seed)), F.lit(BUCKETS))
+    base = df.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), size.alias("__size"), bucket.alias("__bucket"), tie.alias("__tie"), *([F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row")] if keep else []))
     base = base if keep else written(base, "mix-sizes")  # words are counted once, but where rows would be stored for that
     stats = written(base.groupBy("__source", "__bucket").agg(F.sum("__size").alias("words"), F.count("*").alias("docs")), "mix-stats")
     totals = stats.groupBy("__source").agg(F.sum("words").alias("words"), F.sum("docs").alias("docs")).collect()
@@ -126,7 +127,7 @@ def block_plan(df: DataFrame, id_col: str, text_col: str, source_col: str, keep:
     schema = "source string, source_size long, target double, shards int, shard long, n long, whole long, more long, a long, c long"
     dealt = written(by_shard.groupBy("source").applyInPandas(allot, schema), "mix-shards")  # its size is known before the rows move: they move once
     rows = base.join(plan.select(F.col("source").alias("__s"), F.col("shards").alias("__n")), F.col("__source").eqNullSafe(F.col("__s"))).withColumn("__shard", F.col("__bucket") % F.col("__n"))
-    inside = Window.partitionBy("__source", "__shard").orderBy(F.xxhash64(F.lit(seed), "__id"), "__id", "__size")
+    inside = Window.partitionBy("__source", "__shard").orderBy(F.xxhash64(F.lit(seed), "__id"), "__id", "__tie")
     rows = rows.withColumn("start", F.sum("__size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__size"))
     joined = rows.join(dealt, same & (F.col("__shard") == F.col("shard")))
     once = F.expr(f"""aggregate(sequence(start div {block_words}, (start + __size - 1) div {block_words}), 0L,
