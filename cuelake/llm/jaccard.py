@@ -80,15 +80,15 @@ def bitmap_of(members: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-FIRST = "doc_id long, cls long, n long, bitmap binary, times long"
+FIRST = "cls long, n long, bitmap binary, times long"
 
 
-def first_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Members of the result (doc_id, cls, n, and a bitmap where the class is new here), and as rows without an n the members common in a stretch of distinct sets."""
+def first_pass(batches: Iterator[pd.DataFrame], numbers: bool = True) -> Iterator[pd.DataFrame]:
+    """Members of the result (doc_id, cls, n, and a bitmap where the class is new here), and as rows without an n the members common in a stretch of distinct sets. numbers: ids are whole numbers."""
     stretch: list[np.ndarray] = []
     seen: set[int] = set()
     size = 0
-    whole = {"doc_id": "Int64", "n": "Int64", "times": "Int64"}
+    whole = {"n": "Int64", "times": "Int64"} | ({"doc_id": "Int64"} if numbers else {})
 
     def common() -> pd.DataFrame:
         found, times = np.unique(np.concatenate(stretch), return_counts=True)
@@ -408,10 +408,12 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     component_id is the smallest id that links reach. A text without words (null, empty, blank) has
     an empty set, no links, and its own id. Rows that repeat an id are documents of their own with
-    the same id; a null id counts as the largest. An empty table gives an empty result; other columns are not read.
+    the same id; a null id counts as the largest; ids may be texts. An empty table gives an empty result; other columns are not read.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    first = written(mapped(docs, first_pass, FIRST), "jaccard-first")
+    kind = dict(df.dtypes)[id_col]
+    numbers = kind in ("tinyint", "smallint", "int", "bigint")
+    docs = df.select(F.col(id_col).cast("long" if numbers else kind).alias("doc_id"), F.col(text_col).alias("text"))
+    first = written(mapped(docs, lambda batches: first_pass(batches, numbers), f"doc_id {'long' if numbers else kind}, {FIRST}"), "jaccard-first")
     members = first.filter("n IS NOT NULL").select("doc_id", "cls", "n", "bitmap")
     common = first.filter("times IS NOT NULL").groupBy("cls").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "cls").limit(COMMON_KEPT).toPandas()  # at most COMMON_KEPT
     classes = written(members.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("bitmap").alias("bitmap")), "jaccard-classes")

@@ -221,7 +221,11 @@ def fit(documents: DataFrame, labels: DataFrame, training_docs: int = TRAINING_D
 
 
 def score_documents(documents: DataFrame, labels: DataFrame, model: dict | None = None) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row of documents, in one narrow pass after the fit."""
+    """(doc_id, held_out, score, predicted) of every row of documents, in one narrow pass after the fit.
+
+    Repeated rows each get the same score, equal texts equal scores; a null id is not held out; of several labels of one id the largest counts;
+    without labels of both kinds every score is the share of good ones, 0.5 without any. An empty table gives an empty result; other columns are not read.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(model or fit(documents, labels))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

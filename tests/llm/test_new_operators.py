@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cuelake.llm import seeds, spelling, whitening
+from cuelake.llm import jaccard, seeds, spelling, whitening
 
 SF = "/root/testdata/sf0.001"
 
@@ -109,6 +109,18 @@ def test_spelling_edges(spark):
     assert spelling.spelling_variants(df.limit(0)).collect() == []
 
 
+# --- Jaccard with text ids ---
+
+def test_jaccard_of_text_ids(spark):
+    """Ids that are texts give the components that numbers give."""
+    texts = [f"one two three four five six seven eight nine ten {k // 3} a b c d e f g h i j k l m n o p q r s t" for k in range(9)] + [None, "", "other words stand here only once for all"]
+    number = {f"{r.doc_id:03d}": f"{r.component_id:03d}" for r in jaccard.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    rows = [(f"{k:03d}", t, k) for k, t in enumerate(texts)]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id string, text string, cls int")).collect()
+    assert {r.doc_id: r.component_id for r in got} == number and len(set(number.values())) < len(number)
+    assert {r.doc_id for r in jaccard.keep_one(spark.createDataFrame(rows, "doc_id string, text string, cls int")).collect()} == set(number.values())
+
+
 # --- whitening --------------------------------------------------------------------------------
 
 def check_whitening(rows, vectors: dict) -> None:
