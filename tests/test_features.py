@@ -251,6 +251,14 @@ def test_line_pairs(spark):
     assert {(f"{r.left_id}-{r.right_id}", r.similarity) for r in A.document_similarity(pairs, left, right).collect()} == expected
 
 
+def test_token_counts(spark):
+    """Lines with an arrow go, whatever ends a line; those beside them stay."""
+    text = "Alpha the beta\r\n1\r\n00:00:01,000 --> 00:00:02,000 gone\rgamma\n--> gone\nABC ab abcd-efg --\n> beta é12xyz\nlast -->"
+    rows = [(1, text), (2, None), (3, ""), (4, "12\n\n 7 "), (5, "x" * 5000 + "\n" + "word " * 5000 + "-->\nend")]
+    got = {(r.k, r.token): r.n for r in A.token_counts(spark.createDataFrame(rows, "k int, text string"), "k", "text").collect()}
+    assert got == {(1, "alpha"): 1, (1, "beta"): 2, (1, "gamma"): 1, (1, "abc"): 1, (1, "abcd"): 1, (1, "efg"): 1, (1, "xyz"): 1, (5, "x" * 5000): 1, (5, "end"): 1}
+
+
 def test_cue_diagnostics(spark):
     """The same figures as from the lists of durations, also without a cue that lasts."""
     rng = random.Random(6)
