@@ -227,13 +227,13 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     first = lambda c: F.coalesce(F.min_by(c, "doc_id"), F.first(c)).alias(c)  # noqa: E731  both of one row
     classes = written(twice.groupBy("gram", "ctx").agg(F.min("doc_id").alias("first_id"), first("th"), first("place"), F.count("*").alias("n")), "seeds-classes")
     ranges = lost_windows(classes.drop("n"), docs)
-    reach = classes.select("gram", "ctx", "first_id", "n").join(ranges, ["gram", "ctx"], "left").filter("n > 1 OR ranges IS NOT NULL").drop("n")
+    reach = written(classes.select("gram", "ctx", "first_id", "n").join(ranges, ["gram", "ctx"], "left").filter("n > 1 OR ranges IS NOT NULL").drop("n"), "seeds-reach")
     position, before, after = parts()
     span = lambda low, high: F.struct(low.alias("low"), high.alias("high"))
     spans = F.when(earlier("first_id", "doc_id"), F.array(span(position - before, position + after))).otherwise(F.transform("ranges", lambda r: span(position - r["high"], position - r["low"] + WINDOW)))
     each = twice.join(reach, ["gram", "ctx"]).select("doc_id", "th", F.explode(spans).alias("span"))
     out = written(each.groupBy("doc_id", "th").agg(F.collect_set("span").alias("spans")), "seeds-spans")  # within one document
-    discard(twice, classes, ranges)
+    discard(twice, classes, ranges, reach)
     return out
 
 
