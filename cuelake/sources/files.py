@@ -1,6 +1,7 @@
 """Trees of files as Spark data sources: inventories of any files, and subtitle documents, a file each.
 
-Files are reached through pyarrow's file systems, so a path is local, shared, or a URI such as s3://, gs:// or hdfs://.
+Files are reached through pyarrow's file systems, so a path is local, shared, or a URI such as s3://, gs:// or hdfs://; stores that only
+Spark's own readers open can't be listed here (assets.inventory_of takes their binaryFile rows).
 The driver lists names and sizes; contents are read and written on the executors only.
 """
 
@@ -9,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from pathlib import PurePosixPath
 
@@ -18,6 +20,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from pyspark.sql.types import StructType
 
 CHUNK = 4 << 20
+#: Files that a commit moves at once.
+MOVES = 16
 #: A range of files is read by one task; a larger file has a task of its own.
 RANGE_BYTES, RANGE_FILES = 128 << 20, 1000
 INVENTORY = "name string, url string, bytes long, sha256 string, required boolean"
@@ -151,11 +155,9 @@ class SubtitleWriter(DataSourceWriter):
         old = {n for n, _ in below(self.path) if n.endswith(self.suffix) and not n.startswith("_")} if self.overwrite else set()
         for folder in {n.rsplit("/", 1)[0] for n in names if "/" in n} | {""}:
             files.create_dir(f"{top}/{folder}".rstrip("/"), recursive=True)
-        for m in staged:
-            for name in m.files:
-                files.move(f"{m.folder}/{name}", f"{top}/{name}")
-        for name in old - set(names):
-            files.delete_file(f"{top}/{name}")
+        with ThreadPoolExecutor(MOVES) as pool:  # each waits for the store
+            list(pool.map(lambda m: files.move(f"{m[0]}/{m[1]}", f"{top}/{m[1]}"), ((m.folder, name) for m in staged for name in m.files)))
+            list(pool.map(lambda name: files.delete_file(f"{top}/{name}"), old - set(names)))
         self.abort(messages)
 
     def abort(self, messages: list[Staged | None]) -> None:
