@@ -146,7 +146,9 @@ def read_avi(data: bytes) -> tuple[float, list[bytes]]:
 
 def walked(data: bytes, at: int, end: int) -> Iterator[bytes]:
     """The frames of a list without an index, record lists included."""
-    while at + 8 <= min(end, len(data)):
+    if end > len(data):
+        raise ValueError("a file that is cut")
+    while at + 8 <= end:
         name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
         if name == b"LIST":
             yield from walked(data, at + 12, at + 8 + size)
