@@ -306,10 +306,11 @@ def test_media_round_trip(spark):
 def test_foreign_files(spark):
     """Neither AVI nor motion JPEG, cut, empty, without frames: one row each with 0 frames; files beside them are read."""
     good = media.files_of([media.payload_of(b"x" * 500)])[0]
-    bad = [b"", b"RIFF", b"no media at all", good[:100], good[: len(good) // 2], good.replace(b"\xff\xc0", b"\xff\xc2"), good[:12], b"RIFF" + good[4:-64] + bytes(64)]
-    df = spark.createDataFrame([(k, bytearray(f)) for k, f in enumerate([good, *bad, good])], "doc_id long, media binary")
+    bad = [b"", b"RIFF", b"no media at all", good[:100], good[: len(good) // 2], good.replace(b"\xff\xc0", b"\xff\xc2"), good[:12], good[: good.rfind(b"idx1") - 1]]
+    without_index = good[: good.rfind(b"idx1")] + bytes(64)
+    df = spark.createDataFrame([(k, bytearray(f)) for k, f in enumerate([good, *bad, good, without_index])], "doc_id long, media binary")
     got = {r.doc_id: (r.clip_no, r.n_frames) for r in media.clip_rows(df).collect()}
-    assert got[0] == got[len(bad) + 1] == (0, 3)
+    assert got[0] == got[len(bad) + 1] == got[len(bad) + 2] == (0, 3)
     assert all(got[k] == (None, 0) for k in range(1, len(bad) + 1))
 
 
