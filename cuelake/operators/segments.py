@@ -103,7 +103,8 @@ def slice_long_samples(segments: DataFrame, samples: DataFrame, rates: DataFrame
     Both sides carry the number of a time bucket, so the range join is an equi-join with a remainder;
     a segment is repeated once for each bucket that it touches.
     """
-    rated = segments.join(rates, "track_id").withColumn("__low", F.greatest(F.lit(0), F.floor(F.coalesce("start", F.lit(0.0)) * F.col("rate")))).withColumn("__high", F.ceil(F.coalesce("end", "start", F.lit(0.0)) * F.col("rate"))).filter("__high > __low")
+    at = lambda *times: us(F.coalesce(*times, F.lit(0.0))) * F.col("rate") / 1_000_000  # noqa: E731  # whole microseconds: seconds times a rate may fall short of a whole sample
+    rated = segments.join(rates, "track_id").withColumn("__low", F.greatest(F.lit(0), F.floor(at("start")))).withColumn("__high", F.ceil(at("end", "start"))).filter("__high > __low")
     width = (F.col("rate") * bucket_s).cast("long")
     spread = rated.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col("__low") / width), F.floor((F.col("__high") - 1) / width))))
     placed = samples.join(rates, "track_id").withColumn("__bucket", F.floor(F.col("sample_no") / width)).drop("rate")

@@ -12,7 +12,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from cuelake.operators import aggregates as A, windows as W
+from cuelake.operators import aggregates as A, segments as G, windows as W
 from cuelake.operators.model_batches import map_model
 from cuelake.plans import queries as Q
 from cuelake.plans.feeds import fed
@@ -282,3 +282,11 @@ def test_composed_subtitles_fit_the_writer(spark, tmp_path):
     FS.write_srt(T.compose_srt(s).select(F.concat("track_id", F.lit(".fr-en.srt")).alias("file_name"), "srt_text"), f"file://{tmp_path}/out")
     assert (tmp_path / "out" / "a.fr-en.srt").read_text() == "1\n00:00:00,000 --> 00:00:01,500\nHello\n\n2\n00:01:01,250 --> 00:01:02,750\nAu revoir\n"
     assert os.listdir(tmp_path) == ["out"]
+
+
+def test_long_samples_of_times_that_no_double_holds(spark):
+    """0.000978 s times a million is just under 978 and 0.001955 s just over 1955; neither may bring in a sample beside the span."""
+    samples = spark.createDataFrame([("t", n, n) for n in (977, 978, 1954, 1955)], "track_id string, sample_no long, value long")
+    spans = spark.createDataFrame([("t", 1, 0.000978, 0.001955)], "track_id string, k int, start double, end double")
+    rates = spark.createDataFrame([("t", 1_000_000)], "track_id string, rate int")
+    assert sorted(r.value for r in G.slice_long_samples(spans, samples, rates).collect()) == [978, 1954]
