@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -13,7 +14,10 @@ from ..operators.segments import MAX_SEGMENT, MIN_SEGMENT, split_long
 from ..operators.windows import TERMINAL
 
 SNAPSHOT = "job_id string, seq long, status string, stage string, progress int"
-STATE = "seq long, status string, stage string, progress int, expires long"
+#: A bucket's jobs, one list for each column.
+STATE = "job_id array<string>, seq array<long>, status array<string>, stage array<string>, progress array<int>, expires array<long>"
+#: Jobs are dealt over so many buckets; one is read and written as a whole.
+BUCKETS = 1024
 HOUR_MS = 3600 * 1000
 #: How long a finished and an unfinished job is kept without news.
 KEEP_TERMINAL_MS, KEEP_IDLE_MS = 24 * HOUR_MS, 7 * 24 * HOUR_MS
@@ -30,63 +34,92 @@ def fold(state: tuple | None, seq: int, kind: str, status: str | None, stage: st
 
 
 class JobStates(StatefulProcessor):
-    """Keeps the snapshot of each job; a timer in event time drops it keep_terminal_ms after the end of the job, or keep_idle_ms after its last event."""
+    """Keeps the snapshot of each job, those of a bucket of jobs in one value; a job goes when the watermark, in event time, is keep_terminal_ms past its end, or keep_idle_ms past its last event.
+
+    Each call of the state store is a round trip to the JVM, so a bucket costs as many as one job would. Its timer stands at the time at which its first job goes.
+    """
 
     def __init__(self, keep_terminal_ms: int, keep_idle_ms: int):
         self.keep_terminal_ms, self.keep_idle_ms = keep_terminal_ms, keep_idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("job", STATE)
+        self.state = handle.getValueState("jobs", STATE)
+
+    def held(self) -> dict[str | None, tuple]:
+        """job -> (seq, status, stage, progress, expires)."""
+        found = self.state.get()
+        return {job: tuple(now) for job, *now in zip(*found, strict=True)} if found is not None else {}
 
-    def keep(self, now: tuple, at_ms: int, before_ms: int | None) -> None:
-        """Note the state and move its timer."""
-        expires = at_ms + (self.keep_terminal_ms if now[1] in TERMINAL else self.keep_idle_ms)
-        if before_ms is not None and before_ms != expires:
+    def keep(self, jobs: dict[str | None, tuple], before_ms: int | None) -> None:
+        """Note the jobs of the bucket and move its timer, which stood at before_ms."""
+        due = min((now[4] for now in jobs.values()), default=None)
+        if before_ms is not None and before_ms != due:
             self.handle.deleteTimer(before_ms)
-        if before_ms != expires:
-            self.handle.registerTimer(expires)
-        self.state.update((*now, expires))
+        if due is None:
+            self.state.clear()
+            return
+        if before_ms != due:
+            self.handle.registerTimer(due)
+        self.state.update((list(jobs), *(list(column) for column in zip(*jobs.values(), strict=True))))
+
+    def expires(self, now: tuple, at_ms: int) -> int:
+        return at_ms + (self.keep_terminal_ms if now[1] in TERMINAL else self.keep_idle_ms)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.state.get() if self.state.exists() else None
-        before, expires = (tuple(held)[:4], tuple(held)[4]) if held is not None else (None, None)
-        now, last = before, 0
-        news = pd.concat(list(rows)).sort_values("seq")
-        for seq, kind, status, stage, progress, ms in news[["seq", "kind", "status", "stage", "progress", "ms"]].itertuples(index=False, name=None):
-            now, last = fold(now, int(seq), kind, status, stage, None if pd.isna(progress) else int(progress)), max(last, int(ms))
-        if now is None or now == before:
-            return
-        self.keep(now, last, expires)
-        yield pd.DataFrame([(key[0], *now)], columns=["job_id", "seq", "status", "stage", "progress"]).astype({"progress": "Int32"})
+        news: dict[str | None, list[tuple]] = {}
+        for chunk in rows:
+            for job, *event in chunk[["job_id", "seq", "kind", "status", "stage", "progress", "ms"]].itertuples(index=False, name=None):
+                news.setdefault(job, []).append(event)
+        jobs = self.held()
+        due = min((now[4] for now in jobs.values()), default=None)
+        changed = []
+        for job, events in news.items():
+            before = jobs[job][:4] if job in jobs else None
+            now, last = before, 0
+            for seq, kind, status, stage, progress, ms in sorted(events, key=itemgetter(0)):
+                now, last = fold(now, int(seq), kind, status, stage, None if pd.isna(progress) else int(progress)), max(last, int(ms))
+            if now is not None and now != before:
+                jobs[job] = (*now, self.expires(now, last))
+                changed.append((job, *now))
+        if changed:
+            self.keep(jobs, due)
+            yield pd.DataFrame(changed, columns=["job_id", "seq", "status", "stage", "progress"]).astype({"progress": "Int32"})
 
     def handleInitialState(self, key: tuple, initial: pd.DataFrame, timerValues) -> None:
-        seq, status, stage, progress, ms = next(initial[["seq", "status", "stage", "progress", "ms"]].itertuples(index=False, name=None))
-        self.keep((int(seq), status, stage, None if pd.isna(progress) else int(progress)), int(ms), None)
+        jobs = self.held()
+        due = min((now[4] for now in jobs.values()), default=None)
+        for job, seq, status, stage, progress, ms in initial[["job_id", "seq", "status", "stage", "progress", "ms"]].itertuples(index=False, name=None):
+            now = (int(seq), status, stage, None if pd.isna(progress) else int(progress))
+            jobs[job] = (*now, self.expires(now, int(ms)))
+        self.keep(jobs, due)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.state.clear()
+        watermark = timerValues.getCurrentWatermarkInMs()
+        self.keep({job: now for job, now in self.held().items() if now[4] > watermark}, None)  # the timer that went off goes by itself
         yield from ()
 
     def close(self) -> None:
         return
 
 
-def job_state_stream(events: DataFrame, snapshots: DataFrame | None = None, late: str = "10 minutes", keep_terminal_ms: int = KEEP_TERMINAL_MS, keep_idle_ms: int = KEEP_IDLE_MS) -> DataFrame:
+def job_state_stream(events: DataFrame, snapshots: DataFrame | None = None, late: str = "10 minutes", keep_terminal_ms: int = KEEP_TERMINAL_MS, keep_idle_ms: int = KEEP_IDLE_MS, buckets: int = BUCKETS) -> DataFrame:
     """STR-1. Events (job_id, seq, ts TIMESTAMP, kind, status, stage, progress) -> the snapshot of each job that changed, in update mode.
 
     Events with a seq at or below the last one are ignored, and so are those later than the watermark. A job is dropped from the state when the watermark
     is keep_terminal_ms past its end, or keep_idle_ms past its last event if it never ended. `snapshots` (the rows of
     WIN-2: job_id, seq, status, stage, progress, updated_at) are the jobs known before the stream began. The session's state
-    store becomes RocksDB, which timers need.
+    store becomes RocksDB, which timers need. Jobs are dealt by hash over `buckets`, which a checkpoint holds: a stream keeps the number it began with.
     """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    dealt = lambda rows: rows.withColumn("bucket", F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int"))
     columns = events.select(F.col("job_id").cast("string").alias("job_id"), F.col("seq").cast("long").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), "kind", "status", "stage", F.col("progress").cast("int").alias("progress"))
-    rows = columns.withWatermark("ts", late).withColumn("ms", F.unix_millis("ts"))
+    rows = dealt(columns.withWatermark("ts", late).withColumn("ms", F.unix_millis("ts")))
     first = None
     if snapshots is not None:
-        first = snapshots.select(F.col("job_id").cast("string").alias("job_id"), F.col("seq").cast("long").alias("seq"), "status", "stage", F.col("progress").cast("int").alias("progress"), F.unix_millis(F.col("updated_at").cast("timestamp")).alias("ms")).groupBy("job_id")
-    return rows.groupBy("job_id").transformWithStateInPandas(JobStates(keep_terminal_ms, keep_idle_ms), StructType.fromDDL(SNAPSHOT), "Update", "EventTime", first)
+        known = snapshots.select(F.col("job_id").cast("string").alias("job_id"), F.col("seq").cast("long").alias("seq"), "status", "stage", F.col("progress").cast("int").alias("progress"), F.unix_millis(F.col("updated_at").cast("timestamp")).alias("ms"))
+        first = dealt(known).groupBy("bucket")
+    return rows.groupBy("bucket").transformWithStateInPandas(JobStates(keep_terminal_ms, keep_idle_ms), StructType.fromDDL(SNAPSHOT), "Update", "EventTime", first)
 
 
 def progress_events(lines: DataFrame, line_col: str = "line") -> DataFrame:

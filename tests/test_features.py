@@ -206,6 +206,22 @@ def test_finished_and_abandoned_jobs_leave_the_state(spark):
     assert sizes[0] > 0 and sizes[-1] == 0
 
 
+def test_jobs_of_one_bucket_leave_one_by_one(spark):
+    """All jobs share a bucket, so one value of the state and one timer; each still goes at its own time."""
+    parts = [
+        news(spark, ("done", 1, 1, "progress", "succeeded", 100), ("left", 1, 0, "put", "running", 5), ("on", 1, 0, "put", "running", 1), *((f"more{k}", 1, 0, "put", "running", k) for k in range(40))),
+        news(spark, ("on", 2, 30, "progress", "running", 50)),  # done is dropped
+        news(spark, ("done", 3, 40, "cancel", None, None), ("left", 3, 40, "cancel", None, None), ("on", 3, 40, "cancel", None, None), ("tick", 1, 150, "put", "running", 1)),  # only done has gone
+        news(spark, ("more7", 2, 151, "cancel", None, None), ("left", 4, 151, "put", "queued", 0), ("last", 1, 2000, "cancel", None, None)),  # more7 and left were dropped
+    ]
+    sizes: list[int] = []
+    out = fed(parts, lambda e: live.job_state_stream(e, keep_terminal_ms=10 * live.HOUR_MS, keep_idle_ms=100 * live.HOUR_MS, buckets=1), "bucket", "update", lambda r: sizes.append(state_rows(r)))
+    got = sorted((r.job_id, r.seq, r.status, r.progress) for r in out.collect())
+    first = [("done", 1, "succeeded", 100), ("left", 1, "running", 5), ("on", 1, "running", 1), *((f"more{k}", 1, "running", k) for k in range(40))]
+    assert got == sorted([*first, ("on", 2, "running", 50), ("left", 3, "cancelled", 5), ("on", 3, "cancelled", 50), ("tick", 1, "running", 1), ("left", 4, "queued", 0)])
+    assert 0 < sizes[0] < 10 and sizes[-1] == 0
+
+
 def test_stream_begins_with_snapshots(spark):
     """The batch form's snapshots are what the stream starts from."""
     before = news(spark, ("a", 5, 1, "put", "running", 10), ("b", 5, 1, "put", "failed", 20))
