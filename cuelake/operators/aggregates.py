@@ -71,15 +71,32 @@ def cue_diagnostics(cues: DataFrame) -> DataFrame:
 ARROW_LINE = r"(?<![^\r\n])[^\r\n]*?-->[^\r\n]*"
 
 
-def token_counts(df: DataFrame, key: str, text_col: str) -> DataFrame:
-    """(key, token, n): the words of three and more ASCII letters of the lines that are text, without stop words.
+def spoken_words(text_col: str) -> Column:
+    """The words of three and more ASCII letters of the lines that are text.
 
     Blank lines and lines of digits hold no such word, so only lines with an arrow have to be taken out; the rest is one pass over the text.
     """
     said = F.lower(text_col)
     spoken = F.when(said.contains("-->"), F.regexp_replace(said, ARROW_LINE, "")).otherwise(said)
-    words = F.regexp_extract_all(spoken, F.lit("[a-z]{3,}"), F.lit(0))
-    return df.select(key, F.explode(words).alias("token")).filter(~F.col("token").isin(*STOP_WORDS)).groupBy(key, "token").agg(F.count("*").alias("n"))
+    return F.regexp_extract_all(spoken, F.lit("[a-z]{3,}"), F.lit(0))
+
+
+def token_counts(df: DataFrame, key: str, text_col: str) -> DataFrame:
+    """(key, token, n): the spoken words without stop words."""
+    return df.select(key, F.explode(spoken_words(text_col)).alias("token")).filter(~F.col("token").isin(*STOP_WORDS)).groupBy(key, "token").agg(F.count("*").alias("n"))
+
+
+#: A word and its repeats in a text of sorted words; possessive, so that many repeats need no stack.
+SAME_WORDS = r"([a-z]+)(?: \1(?![a-z]))*+"
+
+
+def numbered_tokens(text_col: str) -> Column:
+    """The spoken words without stop words, each with the number of its occurrence: a set that stands for the counts."""
+    runs = F.regexp_extract_all(F.array_join(F.array_sort(F.coalesce(spoken_words(text_col), F.array().cast("array<string>"))), " "), F.lit(SAME_WORDS), F.lit(0))
+    word = lambda run: F.substring_index(run, " ", 1)
+    times = lambda run: F.floor((F.length(run) + 1) / (F.length(word(run)) + 1)).cast("int")
+    kept = F.filter(runs, lambda run: ~word(run).isin(*STOP_WORDS))
+    return F.flatten(F.transform(kept, lambda run: F.transform(F.sequence(F.lit(1), times(run)), lambda k: F.concat(word(run), k.cast("string")))))
 
 
 def similarity_of_counts(left: DataFrame, right: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -93,8 +110,18 @@ def similarity_of_counts(left: DataFrame, right: DataFrame, pairs: DataFrame, ke
 
 
 def text_similarity(pairs: DataFrame, key: str = "pair_id", left: str = "left_text", right: str = "right_text") -> DataFrame:
-    """AGG-3. (key, similarity) of pairs that hold their texts. Tokens are shuffled by (key, token), so no pair sits in one task."""
-    return similarity_of_counts(token_counts(pairs, key, left), token_counts(pairs, key, right), pairs, [key])
+    """AGG-3. (key, similarity) of pairs that hold their texts. A pair is compared in its own row, so a task holds the tokens of one pair at a time.
+
+    Where rows share a key, their counts are added up: these tokens are shuffled by (key, token), so no such pair sits in one task.
+    """
+    tokens = pairs.select(key, numbered_tokens(left).alias("__x"), numbered_tokens(right).alias("__y"))
+    own = tokens.select(key, F.size(F.array_intersect("__x", "__y")).alias("overlap"), F.size("__x").alias("x"), F.size("__y").alias("y"))
+    rows = own.groupBy(key).agg(F.count("*").alias("n"), F.first("overlap").alias("overlap"), F.first("x").alias("x"), F.first("y").alias("y"))
+    total = F.col("x") + F.col("y")
+    similarity = F.when(F.col(key).isNull() | (total == 0), 1.0).when((F.col("x") == 0) | (F.col("y") == 0), 0.0).otherwise(2 * F.col("overlap") / total)
+    single = rows.filter((F.col("n") == 1) | F.col(key).isNull()).select(key, similarity.alias("similarity"))
+    shared = pairs.join(rows.filter("n > 1").select(key), key, "left_semi")
+    return single.unionByName(similarity_of_counts(token_counts(shared, key, left), token_counts(shared, key, right), shared, [key]))
 
 
 #: Counters of the sketch that line counts are summed up in, and how many rows of a line one task may get.

@@ -306,3 +306,17 @@ def test_long_samples_of_times_that_no_double_holds(spark):
     spans = spark.createDataFrame([("t", 1, 0.000978, 0.001955)], "track_id string, k int, start double, end double")
     rates = spark.createDataFrame([("t", 1_000_000)], "track_id string, rate int")
     assert sorted(r.value for r in G.slice_long_samples(spans, samples, rates).collect()) == [978, 1954]
+
+
+def test_pairs_are_compared_in_their_own_rows(spark):
+    """No shuffle of tokens but for rows that share a key, whose counts are added up; a word of many repeats needs no stack."""
+    rng = random.Random(3)
+    text = lambda: " ".join(rng.choice(["alpha", "alphab", "beta", "the", "ab", "Gamma", "x1yzz", "1\n2 --> 3\nno"]) for _ in range(rng.randrange(40)))
+    rows = [(k % 50, text(), text()) for k in range(60)] + [(70, "spam " * 50_000, "spam " * 20_000 + "spa"), (71, None, None), (72, None, "word"), (73, "the", "and"), (None, "one", "two"), (None, "one", "two")]
+    pairs = spark.createDataFrame(rows, "pair_id int, left_text string, right_text string")
+    expected = A.similarity_of_counts(A.token_counts(pairs, "pair_id", "left_text"), A.token_counts(pairs, "pair_id", "right_text"), pairs, ["pair_id"])
+    found = A.text_similarity(pairs)
+    assert sorted(map(str, found.collect())) == sorted(map(str, expected.collect()))
+    lone = A.text_similarity(pairs.filter("pair_id >= 70")).filter("pair_id = 70")
+    assert lone.first().similarity == 40_000 / 70_001
+    assert pairs.filter("pair_id = 73").select(A.numbered_tokens("left_text").alias("t")).first().t == []
