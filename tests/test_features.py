@@ -320,3 +320,13 @@ def test_pairs_are_compared_in_their_own_rows(spark):
     lone = A.text_similarity(pairs.filter("pair_id >= 70")).filter("pair_id = 70")
     assert lone.first().similarity == 40_000 / 70_001
     assert pairs.filter("pair_id = 73").select(A.numbered_tokens("left_text").alias("t")).first().t == []
+
+
+def test_a_stream_keeps_no_value_for_each_job(spark):
+    """Many jobs, few values in the state; the last snapshots are those of the batch form."""
+    events = [(f"j{k}", s, k, "progress" if s < 3 or k % 2 else "cancel", "running", s) for k in range(200) for s in (1, 2, 3)]
+    sizes: list[int] = []
+    out = fed([news(spark, *[e for e in events if e[1] < 3]), news(spark, *[e for e in events if e[1] == 3])], lambda e: live.job_state_stream(e, keep_idle_ms=10**12, keep_terminal_ms=10**12, late="400 hours", buckets=4), "few", "update", lambda r: sizes.append(state_rows(r)))
+    batch = {r.job_id: (r.status, r.progress) for r in W.job_snapshots(news(spark, *events)).collect()}
+    assert {r.job_id: (r.status, r.progress) for r in Q.last_snapshots(out).collect()} == batch
+    assert 0 < max(sizes) <= 4 * 4
