@@ -330,3 +330,14 @@ def test_a_stream_keeps_no_value_for_each_job(spark):
     batch = {r.job_id: (r.status, r.progress) for r in W.job_snapshots(news(spark, *events)).collect()}
     assert {r.job_id: (r.status, r.progress) for r in Q.last_snapshots(out).collect()} == batch
     assert 0 < max(sizes) <= 4 * 4
+
+
+def test_lines_keep_no_value_for_each_job(spark):
+    """The workers' lines of many jobs, in the same few values as the other events."""
+    puts = news(spark, *((f"j{k}", 1, 0, "put", "queued", 0) for k in range(200))).withColumn("line", F.lit(None).cast("string"))
+    lines = news(spark, *((f"j{k}", 2, 1, "progress", "running", None) for k in range(200))).withColumn("line", F.concat(F.lit('{"done": '), F.substring("job_id", 2, 9), F.lit(', "total": 200}')))
+    sizes: list[int] = []
+    stream = lambda r: live.job_state_of_lines(r.filter("line IS NULL"), r.filter("line IS NOT NULL"), keep_idle_ms=10**12, keep_terminal_ms=10**12, buckets=4)
+    out = fed([puts.unionByName(lines)], stream, "few-lines", "update", lambda r: sizes.append(state_rows(r)))
+    assert {r.job_id: r.progress for r in Q.last_snapshots(out).collect()} == {f"j{k}": round(k / 200 * 55) for k in range(200)}
+    assert 0 < max(sizes) <= 4 * 4
