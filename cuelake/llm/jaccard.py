@@ -18,7 +18,9 @@ counts:
 2. Groups that still hold several components get trees by size range and component. The roots of the trees say which
    pairs of trees can hold a link at all; each of these is a task of its own, where a dual traversal leaves
    out pairs of nodes whose largest possible overlap is too small or that are one component
-   already. The pairs of leaves that remain are verified on the whole sets.
+   already. A pair of leaves that meets in several groups is given by the first of them, as far as the first
+   groups of both classes, which each leaf carries, tell. The pairs that remain are compared by all of their leading
+   members, of which a link shares a part that follows from the sizes, and then verified on the whole sets.
 
 No text moves before the trees have been searched. Nothing is sampled or capped: a member not recognised
 as common costs time, not links.
@@ -48,6 +50,8 @@ GROUP_ROWS = 1000
 BLOCK_ROWS = 1024
 BITS = 1024
 FANOUT = 16
+#: A leaf carries so many of the groups of its class, the first ones.
+FIRST_GROUPS = 16
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -215,6 +219,25 @@ def columns_of(rows: pd.DataFrame, *names: str) -> list:
     return [rows[c].to_numpy() for c in names] + [rows["bitmap"].to_list()]
 
 
+def first_groups(rows: pd.DataFrame) -> dict[int, np.ndarray]:
+    return dict(zip(rows["cls"], rows["firsts"], strict=True))
+
+
+def met_before(gid: int, a: np.ndarray, b: np.ndarray, firsts: dict[int, np.ndarray]) -> np.ndarray:
+    """Whether the classes of each pair share one of their first groups that comes before this one, whose trees give the pair then: what the bounds say of two leaves is the same in every group."""
+    table = np.full((len(firsts), FIRST_GROUPS), gid, dtype=np.int64)
+    row = {}
+    for k, (cls, own) in enumerate(firsts.items()):
+        table[k, : len(own)] = own
+        row[cls] = k
+    x, y = (np.array([row[c] for c in side.tolist()], dtype=np.int64) for side in (a, b))
+    out = np.zeros(len(a), dtype=bool)
+    for start in range(0, len(a), 4096):  # a bounded number of pairs at once
+        p, q = table[x[start : start + 4096]], table[y[start : start + 4096]]
+        out[start : start + 4096] = ((p[:, :, None] == q[:, None, :]) & (p[:, :, None] < gid)).any(axis=(1, 2))
+    return out
+
+
 def pairs_frame(found: list[tuple[np.ndarray, np.ndarray, int]]) -> pd.DataFrame:
     a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
     return pd.DataFrame({"a": a, "b": b, "weight": np.repeat([f[2] for f in found], [len(f[0]) for f in found])})
@@ -272,15 +295,19 @@ def root_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def search_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by group and pair of blocks: the candidate pairs of each pair of trees."""
+    """Rows sorted by group and pair of blocks: the candidate pairs of each pair of trees, but for those that an earlier group gives."""
     found: list[tuple[np.ndarray, np.ndarray, int]] = []
     for group in runs(batches, ["gid", "i", "j"]):
         i, j, block = int(group["i"].iloc[0]), int(group["j"].iloc[0]), group["block"].to_numpy()
         x, own_x = tree_of(*columns_of(group[block == i], "cls", "n", "comp"))
         y, own_y = (x, own_x) if i == j else tree_of(*columns_of(group[block == j], "cls", "n", "comp"))
         p, q = dual_traversal(x, y, i == j)
-        if len(p):
-            found.append((np.minimum(own_x[p], own_y[q]), np.maximum(own_x[p], own_y[q]), 1))
+        a, b = own_x[p], own_y[q]
+        if len(a):
+            fresh = ~met_before(int(group["gid"].iloc[0]), a, b, first_groups(group))
+            a, b = a[fresh], b[fresh]
+        if len(a):
+            found.append((np.minimum(a, b), np.maximum(a, b), 1))
         if len(found) >= 1000:
             yield pairs_frame(found)
             found = []
@@ -288,6 +315,16 @@ def search_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pairs_frame(found)
 
 
+def may_link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The pairs that share enough leading members. Of two sets, the one whose leading members end first in the order shares with the other only leading members up to there, and what it has beyond."""
+    for batch in batches:
+        keep = np.zeros(len(batch), dtype=bool)
+        for k, (na, nb, x, weights, y) in enumerate(zip(batch["na"], batch["nb"], batch["a_groups"], batch["a_weights"], batch["b_groups"], strict=True)):
+            shared = int(weights[np.isin(x, y)].sum())
+            keep[k] = overlap_enough(shared + max(na - leading(na), nb - leading(nb)), na, nb)
+        yield batch.loc[keep, ["a", "b"]]
+
+
 def check_class(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The texts that have the wanted class, since rows may share an id."""
     seen: set[int] = set()
@@ -381,15 +418,18 @@ def leader_pairs(leaves: DataFrame) -> DataFrame:
 
 def open_pairs(leaves: DataFrame, labels: DataFrame) -> DataFrame:
     """(a, b): candidates between the components that still meet in a group."""
-    placed = leaves.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("gid", "cls", "n", "bitmap", F.coalesce("label", "cls").alias("comp"))
+    placed = leaves.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("gid", "weight", "cls", "n", "bitmap", F.coalesce("label", "cls").alias("comp"))
     mixed = placed.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("gid")
     left = written(placed.join(mixed, "gid").withColumn("range", F.floor(F.log("n") / F.log(F.lit(100 / PERCENT))).cast("long")), "jaccard-open")  # a link reaches the next range at most
+    seats = left.groupBy("cls").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("gid", "weight"))).alias("met"))
+    seats = written(seats.select("cls", "n", F.slice("met.gid", 1, FIRST_GROUPS).alias("firsts"), F.transform("met", lambda m: F.hash(m["gid"])).alias("groups"), F.transform("met", lambda m: m["weight"].cast("int")).alias("weights")), "jaccard-seats")  # groups: short names, a clash only counts a member too many
     of_range = left.groupBy("gid", "range").agg(F.count("*").alias("of_range"))
     of_comp = left.groupBy("gid", "range", "comp").agg(F.count("*").alias("of_comp"))
     slice_ = F.when(F.col("of_comp") >= BLOCK_ROWS, F.xxhash64("comp", F.pmod("cls", F.floor(F.col("of_comp") / BLOCK_ROWS) + 1))).otherwise(F.pmod(F.xxhash64("comp"), F.floor(F.col("of_range") / BLOCK_ROWS) + 1))
-    blocks = left.join(of_range, ["gid", "range"]).join(of_comp, ["gid", "range", "comp"]).select("gid", F.xxhash64("range", slice_).alias("block"), "range", "cls", "n", "bitmap", "comp")
+    blocks = left.join(of_range, ["gid", "range"]).join(of_comp, ["gid", "range", "comp"]).join(seats.select("cls", "firsts"), "cls")
+    blocks = blocks.select("gid", F.xxhash64("range", slice_).alias("block"), "range", "cls", "n", "bitmap", "comp", "firsts")
     blocks = written(blocks, "jaccard-blocks")
-    roots = written(mapped(blocks.drop("range").repartition("gid", "block").sortWithinPartitions("gid", "block"), roots_of, "gid long, block long, bitmap binary, low long, high long, slack long, comp long"), "jaccard-roots")
+    roots = written(mapped(blocks.drop("range", "firsts").repartition("gid", "block").sortWithinPartitions("gid", "block"), roots_of, "gid long, block long, bitmap binary, low long, high long, slack long, comp long"), "jaccard-roots")
     ranges = blocks.select("gid", "block", "range").distinct()
     placed_roots = roots.join(ranges, ["gid", "block"])
     side = lambda s, b: placed_roots.select("gid", F.col("range").alias(f"{s}_range"), F.col("block").alias(b), *[F.col(c).alias(f"{s}_{c}") for c in ("bitmap", "low", "high", "slack", "comp")])
@@ -398,8 +438,11 @@ def open_pairs(leaves: DataFrame, labels: DataFrame) -> DataFrame:
     tasks = written(tasks, "jaccard-tasks")
     dealt = tasks.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
     rows = blocks.drop("range").join(dealt, ["gid", "block"]).repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j")
-    out = written(mapped(rows, search_blocks, "a long, b long, weight long").select("a", "b").distinct(), "jaccard-pairs")
-    discard(left, blocks, roots, tasks)
+    found = written(mapped(rows, search_blocks, "a long, b long, weight long").select("a", "b").distinct(), "jaccard-found")
+    met = lambda s: seats.select(F.col("cls").alias(s), F.col("n").alias(f"n{s}"), F.col("groups").alias(f"{s}_groups"), F.col("weights").alias(f"{s}_weights"))
+    sides = found.join(met("a"), "a").join(met("b").drop("b_weights"), "b")
+    out = written(mapped(sides, may_link, "a long, b long"), "jaccard-pairs")
+    discard(left, seats, blocks, roots, tasks, found)
     return out
 
 
