@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.types import IntegerType
 
 
@@ -21,6 +22,26 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def state_partitions(spark: SparkSession) -> int:
+    """Two a core, 16 at least, but no more than the session's shuffles have.
+
+    Each state partition costs a store, its commit and a Python worker in every batch, however little it holds, so their number
+    follows the cluster and not the tables; what a partition holds is sorted on disk and worked off key by key.
+    """
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(16, 2 * spark.sparkContext.defaultParallelism))
+
+
+def started(spark: SparkSession, writer: DataStreamWriter, partitions: int) -> StreamingQuery:
+    """The stream with so many state partitions; it takes a copy of the session's settings when it starts, so these are put back at once."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, partitions)
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(name, before)
+
+
 def fed(parts: list[DataFrame], stream: Callable[[DataFrame], DataFrame], name: str, mode: str, seen: Callable[[list], None] = lambda progress: None) -> DataFrame:
     """What a stream gives for its parts, one after the other, each with the watermark that those before it have set; `epoch` is the batch.
 
@@ -37,7 +58,7 @@ def fed(parts: list[DataFrame], stream: Callable[[DataFrame], DataFrame], name:
         part.write.mode("append").parquet(f"{root}/in")
         out = stream(spark.readStream.schema(part.schema).parquet(f"{root}/in"))
         schema = out.schema
-        q = out.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").foreachBatch(put).trigger(availableNow=True).start()
+        q = started(spark, out.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").foreachBatch(put).trigger(availableNow=True), state_partitions(spark))
         q.awaitTermination()
         seen(q.recentProgress)
     return spark.read.schema(schema.add("epoch", IntegerType())).option("recursiveFileLookup", True).parquet(f"{root}/out")
@@ -49,3 +70,12 @@ def by_time(rows: DataFrame, column: str, n: int) -> Column:
     if low is None or low == high:
         return F.lit(0)
     return F.least(F.lit(n - 1), F.floor((F.unix_micros(F.col(column).cast("timestamp")) - low) * n / (high - low))).cast("int")
+
+
+def in_parts(rows: DataFrame, column: str, n: int) -> list[DataFrame]:
+    """The n parts of the table's time. The rows are written to the shared folder first, so that their windows and joins run once and not for each part."""
+    root = shared_folder(rows.sparkSession, "rows")
+    rows.write.parquet(root)
+    held = rows.sparkSession.read.schema(rows.schema).parquet(root)
+    part = by_time(held, column, n)
+    return [held.filter(part == k) for k in range(n)]

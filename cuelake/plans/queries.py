@@ -14,7 +14,7 @@ from ..operators import aggregates as A, filters as L, joins as J, segments as G
 from ..operators.model_batches import map_model
 from ..sources import assets as AS, files as FS, payloads as P, subtitles as T
 from ..streaming import live
-from .feeds import by_time, fed, shared_folder
+from .feeds import by_time, fed, in_parts, shared_folder
 from .views import view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -696,11 +696,6 @@ def job_events(v) -> DataFrame:
     return e.select("job_id", "seq", F.col("ts").cast("timestamp").alias("ts"), "kind", "status", "stage", "progress")
 
 
-def in_parts(rows: DataFrame, column: str, n: int) -> list[DataFrame]:
-    part = by_time(rows, column, n)
-    return [rows.filter(part == k) for k in range(n)]
-
-
 def last_snapshots(out: DataFrame) -> DataFrame:
     return out.groupBy("job_id").agg(F.max_by(F.struct("status", "stage", "progress"), F.struct("epoch", "seq")).alias("s")).select("job_id", "s.*")
 

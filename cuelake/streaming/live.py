@@ -69,7 +69,8 @@ class JobStates(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         news: dict[str | None, list[tuple]] = {}
         for chunk in rows:
-            for job, *event in chunk[["job_id", "seq", "kind", "status", "stage", "progress", "ms"]].itertuples(index=False, name=None):
+            columns = [chunk[c].tolist() for c in ("seq", "kind", "status", "stage", "progress", "ms")]
+            for job, event in zip(chunk["job_id"].tolist(), zip(*columns, strict=True), strict=True):
                 news.setdefault(job, []).append(event)
         jobs = self.held()
         due = min((now[4] for now in jobs.values()), default=None)
@@ -78,7 +79,8 @@ class JobStates(StatefulProcessor):
             before = jobs[job][:4] if job in jobs else None
             now, last = before, 0
             for seq, kind, status, stage, progress, ms in sorted(events, key=itemgetter(0)):
-                now, last = fold(now, int(seq), kind, status, stage, None if pd.isna(progress) else int(progress)), max(last, int(ms))
+                now = fold(now, int(seq), kind, status, stage, None if progress is None or progress != progress else int(progress))
+                last = max(last, int(ms))
             if now is not None and now != before:
                 jobs[job] = (*now, self.expires(now, last))
                 changed.append((job, *now))

@@ -341,3 +341,19 @@ def test_lines_keep_no_value_for_each_job(spark):
     out = fed([puts.unionByName(lines)], stream, "few-lines", "update", lambda r: sizes.append(state_rows(r)))
     assert {r.job_id: r.progress for r in Q.last_snapshots(out).collect()} == {f"j{k}": round(k / 200 * 55) for k in range(200)}
     assert 0 < max(sizes) <= 4 * 4
+
+
+def test_state_partitions_follow_the_cluster(spark):
+    """A session with many shuffle partitions, as for large tables: the stream's state has two a core or 16, and the session keeps its own number."""
+    events = [(f"j{k}", s, k, "progress" if s < 3 or k % 2 else "cancel", "running", s) for k in range(200) for s in (1, 2, 3)]
+    name, reports = "spark.sql.shuffle.partitions", []
+    before = spark.conf.get(name)
+    spark.conf.set(name, "64")
+    try:
+        out = fed([news(spark, *[e for e in events if e[1] < 3]), news(spark, *[e for e in events if e[1] == 3])], lambda e: live.job_state_stream(e, keep_idle_ms=10**12, keep_terminal_ms=10**12, late="400 hours"), "wide", "update", reports.extend)
+        assert spark.conf.get(name) == "64"
+    finally:
+        spark.conf.set(name, before)
+    assert {o["numShufflePartitions"] for r in reports for o in r["stateOperators"]} == {max(16, 2 * spark.sparkContext.defaultParallelism)}
+    batch = {r.job_id: (r.status, r.progress) for r in W.job_snapshots(news(spark, *events)).collect()}
+    assert {r.job_id: (r.status, r.progress) for r in Q.last_snapshots(out).collect()} == batch
