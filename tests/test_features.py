@@ -357,3 +357,14 @@ def test_state_partitions_follow_the_cluster(spark):
     assert {o["numShufflePartitions"] for r in reports for o in r["stateOperators"]} == {max(16, 2 * spark.sparkContext.defaultParallelism)}
     batch = {r.job_id: (r.status, r.progress) for r in W.job_snapshots(news(spark, *events)).collect()}
     assert {r.job_id: (r.status, r.progress) for r in Q.last_snapshots(out).collect()} == batch
+
+
+def test_rows_of_a_feed_are_made_once(spark):
+    """The parts of the feed hold the rows that were given, in the order of time, and run none of their windows and joins again."""
+    events = news(spark, *((f"j{k % 7}", 0, k, "progress", "running", k) for k in range(40))).drop("seq")
+    rows = events.withColumn("seq", F.row_number().over(W.Window.partitionBy("job_id").orderBy("ts"))).join(events.select("job_id", "ts"), ["job_id", "ts"])
+    parts = Q.in_parts(rows, "ts", 4)
+    assert [sorted(r.progress for r in p.collect()) for p in parts] == [list(range(10 * k, 10 * k + 10)) for k in range(4)]
+    assert sorted(map(tuple, rows.collect()), key=str) == sorted((tuple(r) for p in parts for r in p.select(rows.columns).collect()), key=str)
+    plans = [p._jdf.queryExecution().optimizedPlan().toString() for p in parts]
+    assert not any("Window" in plan or "Join" in plan for plan in plans)
