@@ -15,7 +15,7 @@ from ..operators.model_batches import map_model
 from ..sources import assets as AS, files as FS, payloads as P, subtitles as T
 from ..streaming import live
 from .feeds import by_time, fed, in_parts, shared_folder
-from .views import view, with_views
+from .views import JOB_EVENT, view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -716,14 +716,20 @@ ORACLES["str1_job_state_stream"] = with_views("WITH " + SNAPSHOTS + " SELECT job
 DONE, TOTAL = "(event_id % 65)", 64
 
 
-def _progress_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lined_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Progress comes as lines of the workers, some of them no JSON or without a total; puts, ends and cancels as events."""
-    e = view(spark, sf_dir, "v_job_events").join(view(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("job_id"), "ts", "event_id"), ["job_id", "ts"]).withColumn("ts", F.col("ts").cast("timestamp"))
+    own = spark.sql(f"SELECT user_id, event_id, {JOB_EVENT} FROM {{events}}", events=view(spark, sf_dir, "events"))
+    # the SQL joins an event with all of its job's events of that time; the window has them next to each other, without another shuffle
+    with_ids = own.withColumn("e", F.collect_list(F.struct("event_id")).over(Window.partitionBy("user_id", "ts"))).withColumn("e", F.explode("e"))
+    e = with_ids.filter("job_id IS NOT NULL AND ts IS NOT NULL").withColumn("event_id", F.col("e.event_id")).withColumn("ts", F.col("ts").cast("timestamp"))
     line = F.when(F.col("event_id") % 11 == 0, "size=12").when(F.col("event_id") % 13 == 0, '{"done": 3, "total": 0}').when(F.col("event_id") % 17 == 0, '{"done": ').otherwise(F.to_json(F.struct(F.expr(DONE).alias("done"), F.lit(TOTAL).alias("total"))))
     worker = F.col("stage").isin("transcribing", "translating") & (F.col("kind") == "progress") & (F.col("status") == "running")
-    rows = e.select("job_id", "seq", "ts", "kind", "status", "stage", "progress", F.when(worker, line).alias("line"))
-    stream = lambda r: live.job_state_of_lines(r.filter("line IS NULL"), r.filter("line IS NOT NULL"), keep_terminal_ms=FOR_GOOD, keep_idle_ms=FOR_GOOD)
-    return last_snapshots(fed(in_parts(rows, "ts", 2), stream, "lines", "update"))
+    return e.select("job_id", "seq", "ts", "kind", "status", "stage", "progress", F.when(worker, line).alias("line"))
+
+
+def _progress_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events and lines as one stream; the last snapshot of each job."""
+    return last_snapshots(fed(in_parts(lined_events(spark, sf_dir), "ts", 2), lambda r: live.job_state_of_lines(r, keep_terminal_ms=FOR_GOOD, keep_idle_ms=FOR_GOOD), "lines", "update"))
 
 
 QUERIES["str1_progress_lines"] = _progress_lines

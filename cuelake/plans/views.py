@@ -11,6 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark conversations".split()
 
+#: The columns of v_job_events, for queries that need others of the same event beside them.
+JOB_EVENT = """CAST(user_id AS STRING) AS job_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS seq, ts,
+        CASE WHEN event_type = 'error' AND event_id % 4 = 0 THEN 'cancel' WHEN event_type = 'view' THEN 'put' ELSE 'progress' END AS kind,
+        CASE WHEN value > 200 THEN 'failed' WHEN event_type = 'view' THEN 'queued' WHEN event_type = 'signup' AND value > 100 THEN 'succeeded' ELSE 'running' END AS status,
+        CASE event_type WHEN 'click' THEN 'transcribing' WHEN 'purchase' THEN 'translating' WHEN 'signup' THEN 'ready' ELSE 'queued' END AS stage,
+        CAST(event_id % 100 AS INT) AS progress"""
+
 VIEWS = {
     # conversations as tracks: a turn lasts 40 ms a character
     "v_segments": """SELECT CAST(conv_id AS STRING) AS track_id, CAST(turn + 1 AS INT) AS idx,
@@ -37,11 +44,7 @@ VIEWS = {
     "v_direct": """SELECT 'n' || c_nationkey AS source, 'n' || s_nationkey AS target FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
         JOIN {customer} ON o_custkey = c_custkey JOIN {supplier} ON l_suppkey = s_suppkey GROUP BY c_nationkey, s_nationkey HAVING count(*) % 3 = 0""",
     "v_requests": "SELECT o_orderkey, 'n' || (o_custkey % 25) AS source, 'n' || (o_orderkey % 25) AS target FROM {orders}",
-    "v_job_events": """SELECT CAST(user_id AS STRING) AS job_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS seq, ts,
-        CASE WHEN event_type = 'error' AND event_id % 4 = 0 THEN 'cancel' WHEN event_type = 'view' THEN 'put' ELSE 'progress' END AS kind,
-        CASE WHEN value > 200 THEN 'failed' WHEN event_type = 'view' THEN 'queued' WHEN event_type = 'signup' AND value > 100 THEN 'succeeded' ELSE 'running' END AS status,
-        CASE event_type WHEN 'click' THEN 'transcribing' WHEN 'purchase' THEN 'translating' WHEN 'signup' THEN 'ready' ELSE 'queued' END AS stage,
-        CAST(event_id % 100 AS INT) AS progress FROM {events}""",
+    "v_job_events": f"SELECT {JOB_EVENT} FROM {{events}}",
     "v_stage_rows": """SELECT user_id || '-' || CAST(CAST(ts AS DATE) AS STRING) AS run_id, ts, event_id,
         CASE event_type WHEN 'view' THEN 'audioExtraction' WHEN 'click' THEN 'vad' WHEN 'purchase' THEN 'transcription' WHEN 'signup' THEN 'translation' ELSE 'srtFormatting' END AS stage,
         CASE WHEN event_id % 3 = 0 THEN 'server-fallback' ELSE 'browser' END AS runtime,

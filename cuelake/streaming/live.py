@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from operator import itemgetter
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
@@ -18,6 +19,11 @@ SNAPSHOT = "job_id string, seq long, status string, stage string, progress int"
 STATE = "job_id array<string>, seq array<long>, status array<string>, stage array<string>, progress array<int>, expires array<long>"
 #: Jobs are dealt over so many buckets; one is read and written as a whole.
 BUCKETS = 1024
+#: The events of a bucket, one list for each column (us: their time in microseconds), and the time of the latest.
+NEWS = ["job_id", "seq", "kind", "status", "stage", "progress", "us"]
+PACK = "bucket int, ts timestamp, job_id array<string>, seq array<long>, kind array<string>, status array<string>, stage array<string>, progress array<int>, us array<long>"
+#: So many events are packed at a time.
+PACK_ROWS = 131_072
 HOUR_MS = 3600 * 1000
 #: How long a finished and an unfinished job is kept without news.
 KEEP_TERMINAL_MS, KEEP_IDLE_MS = 24 * HOUR_MS, 7 * 24 * HOUR_MS
@@ -33,6 +39,59 @@ def fold(state: tuple | None, seq: int, kind: str, status: str | None, stage: st
     return seq, status, stage, progress
 
 
+def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Events (bucket and NEWS) as rows of PACK, one for each bucket among PACK_ROWS events."""
+
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).sort_by("bucket").combine_chunks()
+        bucket = rows["bucket"].to_numpy()
+        starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        offsets = pa.array(np.append(starts, len(bucket)), pa.int32())
+        latest = pa.array(np.maximum.reduceat(rows["us"].to_numpy(), starts), pa.timestamp("us", tz="UTC"))
+        lists = [pa.ListArray.from_arrays(offsets, rows[c].chunk(0)) for c in NEWS]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[starts], pa.int32()), latest, *lists], names=["bucket", "ts", *NEWS])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= PACK_ROWS:
+            yield packed(held)
+            held, n = [], 0
+    if n:
+        yield packed(held)
+
+
+def folded(before: list[tuple | None], code: np.ndarray, seq: np.ndarray, kind: np.ndarray, status: np.ndarray, stage: np.ndarray, progress: np.ndarray) -> Iterator[tuple[int, tuple]]:
+    """fold() over the events of many jobs by columns: (number of the job, its state after them) of each that changes.
+
+    Event i belongs to job code[i], whose state so far is before[code[i]]; events may come in any order.
+    """
+    known = np.array([k for k, state in enumerate(before) if state], int)
+    floor = np.full(len(before), np.iinfo(np.int64).min)
+    floor[known] = [before[k][0] for k in known]
+    new = seq > floor[code]
+    # the states so far come first, as events that aren't cancels
+    had = [np.array([before[k][j] for k in known], object) for j in (1, 2, 3)]
+    code, seq, cancel = np.concatenate([known, code[new]]), np.concatenate([floor[known], seq[new]]), np.concatenate([np.zeros(len(known), bool), kind[new] == "cancel"])
+    order = np.lexsort((seq, code))
+    code, seq, cancel = code[order], seq[order], cancel[order]
+    status, stage, progress = (np.concatenate([a, b[new]])[order] for a, b in zip(had, (status, stage, progress), strict=True))
+    news = ~cancel
+    at = np.flatnonzero(news)
+    news[at[1:][(code[at[1:]] == code[at[:-1]]) & (seq[at[1:]] == seq[at[:-1]])]] = False  # of one seq the first counts
+    last = np.maximum.accumulate(np.where(news, np.arange(len(code)), -1))
+    open_before = (last >= 0) & (code[last] == code) & (seq[last] < seq) & ~np.isin(status, TERMINAL)[last]
+    ends = np.flatnonzero(cancel & open_before | news & (status == "cancelled"))
+    at = np.flatnonzero(news)
+    found = dict(zip(code[at].tolist(), at.tolist(), strict=True))  # the last of each job
+    found.update(zip(code[ends][::-1].tolist(), ends[::-1].tolist(), strict=True))  # but the first that absorbs the rest
+    for job, i in found.items():
+        if order[i] >= len(known):
+            p = progress[last[i]]
+            yield job, (int(seq[i]), *(("cancelled", "cancelled") if cancel[i] else (status[i], stage[i])), None if p is None or p != p else int(p))
+
+
 class JobStates(StatefulProcessor):
     """Keeps the snapshot of each job, those of a bucket of jobs in one value; a job goes when the watermark, in event time, is keep_terminal_ms past its end, or keep_idle_ms past its last event.
 
@@ -67,23 +126,20 @@ class JobStates(StatefulProcessor):
         return at_ms + (self.keep_terminal_ms if now[1] in TERMINAL else self.keep_idle_ms)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        news: dict[str | None, list[tuple]] = {}
-        for chunk in rows:
-            columns = [chunk[c].tolist() for c in ("seq", "kind", "status", "stage", "progress", "ms")]
-            for job, event in zip(chunk["job_id"].tolist(), zip(*columns, strict=True), strict=True):
-                news.setdefault(job, []).append(event)
-        jobs = self.held()
+        chunks = list(rows)
+        job_id, seq, kind, status, stage, progress, us = (np.concatenate([cell for chunk in chunks for cell in chunk[c]]) for c in NEWS)
+        if (late := us <= timerValues.getCurrentWatermarkInMs() * 1000).any():  # Spark drops a row of events only if all are late
+            job_id, seq, kind, status, stage, progress, us = (c[~late] for c in (job_id, seq, kind, status, stage, progress, us))
+        numbers: dict[str | None, int] = {}
+        code = np.array([numbers.setdefault(job, len(numbers)) for job in job_id], int)
+        last = np.zeros(len(numbers), np.int64)
+        np.maximum.at(last, code, us // 1000)
+        jobs, names = self.held(), list(numbers)
         due = min((now[4] for now in jobs.values()), default=None)
         changed = []
-        for job, events in news.items():
-            before = jobs[job][:4] if job in jobs else None
-            now, last = before, 0
-            for seq, kind, status, stage, progress, ms in sorted(events, key=itemgetter(0)):
-                now = fold(now, int(seq), kind, status, stage, None if progress is None or progress != progress else int(progress))
-                last = max(last, int(ms))
-            if now is not None and now != before:
-                jobs[job] = (*now, self.expires(now, last))
-                changed.append((job, *now))
+        for k, now in folded([jobs[job][:4] if job in jobs else None for job in names], code, seq, kind, status, stage, progress):
+            jobs[names[k]] = (*now, self.expires(now, int(last[k])))
+            changed.append((names[k], *now))
         if changed:
             self.keep(jobs, due)
             yield pd.DataFrame(changed, columns=["job_id", "seq", "status", "stage", "progress"]).astype({"progress": "Int32"})
@@ -108,15 +164,16 @@ class JobStates(StatefulProcessor):
 def job_state_stream(events: DataFrame, snapshots: DataFrame | None = None, late: str = "10 minutes", keep_terminal_ms: int = KEEP_TERMINAL_MS, keep_idle_ms: int = KEEP_IDLE_MS, buckets: int = BUCKETS) -> DataFrame:
     """STR-1. Events (job_id, seq, ts TIMESTAMP, kind, status, stage, progress) -> the snapshot of each job that changed, in update mode.
 
-    Events with a seq at or below the last one are ignored, and so are those later than the watermark. A job is dropped from the state when the watermark
+    Events with a seq at or below the last one are ignored, and so are those later than the watermark. Spark hands rows to Python one by one, so events
+    travel packed, a row of lists for each bucket. A job is dropped from the state when the watermark
     is keep_terminal_ms past its end, or keep_idle_ms past its last event if it never ended. `snapshots` (the rows of
     WIN-2: job_id, seq, status, stage, progress, updated_at) are the jobs known before the stream began. The session's state
     store becomes RocksDB, which timers need. Jobs are dealt by hash over `buckets`, which a checkpoint holds: a stream keeps the number it began with.
     """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     dealt = lambda rows: rows.withColumn("bucket", F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int"))
-    columns = events.select(F.col("job_id").cast("string").alias("job_id"), F.col("seq").cast("long").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), "kind", "status", "stage", F.col("progress").cast("int").alias("progress"))
-    rows = dealt(columns.withWatermark("ts", late).withColumn("ms", F.unix_millis("ts")))
+    columns = events.select(F.col("job_id").cast("string").alias("job_id"), F.col("seq").cast("long").alias("seq"), "kind", "status", "stage", F.col("progress").cast("int").alias("progress"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    rows = dealt(columns).mapInArrow(pack, PACK).withWatermark("ts", late)
     first = None
     if snapshots is not None:
         known = snapshots.select(F.col("job_id").cast("string").alias("job_id"), F.col("seq").cast("long").alias("seq"), "status", "stage", F.col("progress").cast("int").alias("progress"), F.unix_millis(F.col("updated_at").cast("timestamp")).alias("ms"))
@@ -124,18 +181,33 @@ def job_state_stream(events: DataFrame, snapshots: DataFrame | None = None, late
     return rows.groupBy("bucket").transformWithStateInPandas(JobStates(keep_terminal_ms, keep_idle_ms), StructType.fromDDL(SNAPSHOT), "Update", "EventTime", first)
 
 
+def with_share(rows: DataFrame, line_col: str) -> DataFrame:
+    """rows with __share, done by total of a line that is a JSON object with such numbers; a line is parsed once for it."""
+    p = F.from_json(F.col(line_col), "done double, total double")
+    return rows.withColumn("__share", F.transform(F.array(p), lambda x: F.when(x["total"] > 0, x["done"] / x["total"]))[0])
+
+
+def percent_done() -> Column:
+    share = F.col("__share")
+    return F.when(F.col("stage") == "translating", 55 + F.rint(share * 35)).otherwise(F.rint(share * 55)).cast("int")
+
+
 def progress_events(lines: DataFrame, line_col: str = "line") -> DataFrame:
     """Worker lines (job_id, seq, ts, stage, line) as progress events: JSON objects with numbers done and total; other lines are skipped."""
-    p = F.from_json(F.col(line_col), "done double, total double")
-    share = p["done"] / p["total"]
-    percent = F.when(F.col("stage") == "translating", 55 + F.rint(share * 35)).otherwise(F.rint(share * 55)).cast("int")
-    return lines.filter(p["done"].isNotNull() & (p["total"] > 0)).select("job_id", "seq", "ts", F.lit("progress").alias("kind"), F.lit("running").alias("status"), "stage", percent.alias("progress"))
+    return with_share(lines, line_col).filter("__share IS NOT NULL").select("job_id", "seq", "ts", F.lit("progress").alias("kind"), F.lit("running").alias("status"), "stage", percent_done().alias("progress"))
+
 
+def job_state_of_lines(events: DataFrame, lines: DataFrame | None = None, line_col: str = "line", **options) -> DataFrame:
+    """STR-1 with the workers' own lines: both streams go through one state, in the order of their seq.
 
-def job_state_of_lines(events: DataFrame, lines: DataFrame, **options) -> DataFrame:
-    """STR-1 with the workers' own lines: both streams go through one state, in the order of their seq."""
+    Without `lines` the one stream holds both, its events with a null line, and is read once."""
     columns = ["job_id", "seq", "ts", "kind", "status", "stage", "progress"]
-    return job_state_stream(events.select(*columns).unionByName(progress_events(lines).select(*columns)), **options)
+    if lines is not None:
+        return job_state_stream(events.select(*columns).unionByName(progress_events(lines, line_col).select(*columns)), **options)
+    said = F.col(line_col).isNotNull()
+    rows = with_share(events, line_col).filter(~said | F.col("__share").isNotNull())
+    told = {"kind": F.lit("progress"), "status": F.lit("running"), "progress": percent_done()}
+    return job_state_stream(rows.select(*(F.when(said, told[c]).otherwise(F.col(c)).alias(c) if c in told else c for c in columns)), **options)
 
 
 def speech_sessions_stream(frames: DataFrame, noise_db: float = -35.0, gap: str = "450 milliseconds", late: str = "10 seconds", min_s: float = MIN_SEGMENT, max_s: float = MAX_SEGMENT) -> DataFrame:

@@ -8,6 +8,7 @@ import os
 import random
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -368,3 +369,61 @@ def test_rows_of_a_feed_are_made_once(spark):
     assert sorted(map(tuple, rows.collect()), key=str) == sorted((tuple(r) for p in parts for r in p.select(rows.columns).collect()), key=str)
     plans = [p._jdf.queryExecution().optimizedPlan().toString() for p in parts]
     assert not any("Window" in plan or "Join" in plan for plan in plans)
+
+
+def test_events_with_lines_take_one_shuffle(spark, tmp_path):
+    """Each event meets all events of its job and time, as in the SQL's join, null ids and times not; the plan has a window, one exchange and no join."""
+    at = lambda m: None if m is None else dt.datetime(2024, 1, 1, 0, m)
+    rows = [(k, at(m), user, kind, 5.0) for k, (m, user, kind) in enumerate([(0, 1, "click"), (0, 1, "purchase"), (0, 2, "click"), (1, 1, "error"), (None, 1, "click"), (1, None, "click"), (2, 2, "signup"), (2, 2, "view"), (2, 2, "click")])]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(f"file://{tmp_path}/events.parquet")
+    found = Q.lined_events(spark, f"file://{tmp_path}")
+    view = lambda name: Q.view(spark, f"file://{tmp_path}", name)
+    joined = view("v_job_events").join(view("events").select(F.col("user_id").cast("string").alias("job_id"), "ts", "event_id"), ["job_id", "ts"])
+    columns = ["job_id", "seq", "ts", "kind", "status", "stage", "progress"]
+    assert found.count() == 2 * 2 + 1 + 1 + 3 * 3
+    assert sorted(map(str, found.select(columns).collect())) == sorted(map(str, joined.select(columns).collect()))
+    assert {r.line for r in found.filter("job_id = 1 AND seq = 2").collect()} == {"size=12", '{"done":1,"total":64}'}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_events_are_packed_by_bucket(spark, tmp_path):
+    """The state gets one row of lists for each bucket of a task's events, whatever their number; none is lost, and lines are read in one scan."""
+    events = news(spark, *((f"j{k}", k, k, "progress" if k % 3 else "cancel", None if k % 5 == 0 else "running", None if k % 7 == 0 else k) for k in range(1000))).coalesce(1)
+    told = events.select("job_id", "seq", "kind", "status", "stage", "progress", F.unix_micros("ts").alias("us"), (F.col("seq") % 3).cast("int").alias("bucket"))
+    packs = told.mapInArrow(live.pack, live.PACK)
+    rows = packs.collect()
+    assert sorted(r.bucket for r in rows) == [0, 1, 2] and all(len(r[c]) == len(r.seq) for r in rows for c in live.NEWS)
+    assert sorted((x for r in rows for x in zip(*(r[c] for c in live.NEWS), strict=True)), key=str) == sorted((tuple(r) for r in told.select(live.NEWS).collect()), key=str)
+    assert packs.filter("unix_micros(ts) <> array_max(us)").count() == 0
+    stream = live.job_state_of_lines(spark.readStream.schema(JOBS + ", line string").parquet(f"file://{tmp_path}"))
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("StreamingRelation") == 1 and "Union" not in plan
+
+
+def test_late_events_of_a_pack_go_alone(spark):
+    """One bucket, so late and timely events share a row; only the late ones go. Times are kept to the microsecond."""
+    parts = [
+        news(spark, ("a", 1, 0, "put", "running", 1), ("b", 1, 10, "put", "running", 1)),  # the watermark comes to 9 hours
+        news(spark, ("a", 2, 9, "progress", "running", 2), ("b", 2, 9, "progress", "running", 2), ("b", 3, 11, "progress", "running", 3), ("c", 1, 1, "put", "running", 9)).unionByName(
+            news(spark, ("d", 1, 9, "put", "running", 4)).withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 MICROSECOND"))
+        ),
+    ]
+    out = fed([p.coalesce(1) for p in parts], lambda e: live.job_state_stream(e, late="1 hour", keep_idle_ms=10**12, keep_terminal_ms=10**12, buckets=1), "late-pack", "update")
+    assert sorted((r.job_id, r.seq, r.progress) for r in out.collect()) == [("a", 1, 1), ("b", 1, 1), ("b", 3, 3), ("d", 1, 4)]
+
+
+def test_fold_by_columns_is_the_plain_fold():
+    draw = random.Random(7)
+    for n in range(400):
+        jobs = draw.randint(1, 5)
+        events = [(draw.randrange(jobs), draw.randint(1, 6 if n % 2 else 10**6), draw.choice(["put", "progress", "cancel"]), draw.choice(["running", None, "failed", "succeeded", "cancelled"]), draw.choice(["a", None]), draw.choice([None, 1, 50])) for _ in range(draw.randint(1, 20))]
+        before = [draw.choice([None, (draw.randint(0, 4), draw.choice(["running", "failed", "cancelled", None]), "s", draw.choice([None, 7]))]) for _ in range(jobs)]
+        want = {}
+        for job, state in enumerate(before):
+            for _, *event in sorted((e for e in events if e[0] == job), key=lambda e: e[1]):
+                state = live.fold(state, *event)
+            if state != before[job]:
+                want[job] = state
+        code, seq, *texts, progress = (np.array(c, t) for c, t in zip(zip(*events, strict=True), (int, np.int64, object, object, object, object), strict=True))
+        assert dict(live.folded(before, code, seq, *texts, progress)) == want
